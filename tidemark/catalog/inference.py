@@ -207,7 +207,7 @@ def _effect(measure: str, limits: tuple[float, float, float]) -> str:
     p AS (SELECT a.g AS g1, b.g AS g2, a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2 FROM k a JOIN k b ON a.g < b.g),
     r AS (SELECT g1, g2, n1, n2, m1, m2, g, rank() OVER w + (count(*) OVER (PARTITION BY g1, g2, v) - 1) / 2.0 AS r
       FROM p JOIN e ON g IN (g1, g2) WINDOW w AS (PARTITION BY g1, g2 ORDER BY v)),
-    u AS (SELECT g1, g2, n1, n2, m1, m2, sum(r) FILTER (WHERE g = g1) - n1 * (n1 + 1) / 2.0 AS u FROM r GROUP BY ALL),
+    u AS (SELECT g1, g2, n1, n2, m1, m2, sum(r) FILTER (WHERE g = g1) - n1 * (n1 + 1) / 2.0 AS u FROM r GROUP BY g1, g2, n1, n2, m1, m2),
     t AS (SELECT g1, g2, sum(c ** 3 - c) AS ties FROM (SELECT g1, g2, v, count(*)::DOUBLE AS c FROM p JOIN e
       ON g IN (g1, g2) GROUP BY ALL) GROUP BY 1, 2),
     z AS (SELECT *, 1 - 2 * u / (n1 * n2) AS rb, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0
