@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import chi2_sf, normal_quantile, normal_sf2, t_sf2
-from tidemark.functions.types import as_double, numeric_columns, require_columns, string_columns
+from tidemark.functions.types import as_double, is_missing, numeric_columns, require_columns, string_columns
 from tidemark.plans.joining import attach
 from tidemark.plans.ordered import prefix_sums
+from tidemark.plans.quantiles import melt, value_counts
+from tidemark.plans.storage import freeze
 
 MIN_SIGNIFICANCE = 0.05
 
@@ -116,7 +118,7 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def _paired_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct (pair, x, y) with their count and the average rank of x and of y.
+    """Distinct (pair, x, y) with their count and the centred average ranks of x and y.
 
     Equal rows are merged first; ranks come from running counts of the distinct
     values of each side, so no task holds a whole column.
@@ -129,41 +131,72 @@ def _paired_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for i, (a, b) in enumerate(_pairs(columns))
         ]
     )
-    merged = (
+    merged = freeze(
         df.select(F.inline(rows))
         .where("x is not null and y is not null")
         .groupBy("pair", "x", "y")
         .agg(F.count(F.lit(1)).alias("c"))
     )
     for side in ("x", "y"):
-        per_value = merged.groupBy("pair", side).agg(F.sum("c").alias("__c"))
-        ranked = prefix_sums(per_value, ["pair"], [side], {"__before": "__c"}).select(
-            "pair", side, (F.col("__before") + (F.col("__c") + 1) / 2).alias(f"rank_{side}")
-        )
-        merged = attach(merged, ranked, ["pair", side])
+        per_value = merged.groupBy("pair", side).agg(F.sum("c").alias("c"))
+        merged = attach(merged, _centred_ranks(per_value, "pair", side, f"u_{side}"), ["pair", side])
     return merged
 
 
+def _centred_ranks(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Average rank of each distinct value less the mean rank, per key.
+
+    Centring by the known mean (n + 1) / 2 keeps the later sums small.
+    """
+    ranked = prefix_sums(counts, [key], [value], {"__before": "c"}, {"__n": "c"})
+    rank = F.col("__before") + (F.col("c") + 1) / 2 - (F.col("__n") + 1) / 2
+    return ranked.select(key, value, rank.alias(out))
+
+
+def _rank_sums_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rank products per pair when no value is missing: each column is ranked once."""
+    counts = freeze(value_counts(melt(df, columns), ["column"]))
+    ranked = freeze(_centred_ranks(counts, "column", "value", "u"))
+    wide = df.select(*[(as_double(df, c) + 0).alias(f"v{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        one = ranked.where(F.col("column") == c).select(F.col("value").alias(f"v{i}"), F.col("u").alias(f"u{i}"))
+        wide = attach(wide, one, [f"v{i}"], stored=True).drop(f"v{i}")
+    place = {c: i for i, c in enumerate(columns)}
+    pairs = [(place[a], place[b]) for a, b in _pairs(columns)]
+    product = lambda i, j: F.col(f"u{i}") * F.col(f"u{j}")
+    one = wide.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(product(i, i)).alias(f"s{i}") for i in range(len(columns))],
+        *[F.sum(product(i, j)).alias(f"p{k}") for k, (i, j) in enumerate(pairs)],
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("pair"), F.col("n").alias("sample_size"), F.col(f"p{k}").alias("uv"),
+                F.col(f"s{i}").alias("uu"), F.col(f"s{j}").alias("vv"),
+            )
+            for k, (i, j) in enumerate(pairs)
+        ]
+    )
+    return one.select(F.inline(rows))
+
+
+def _rank_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rank products per pair, each pair ranked over its own complete rows."""
+    c, u, v = F.col("c"), F.col("u_x"), F.col("u_y")
+    return _paired_ranks(df, columns).groupBy("pair").agg(
+        F.sum("c").alias("sample_size"), F.sum(c * u * v).alias("uv"), F.sum(c * u * u).alias("uu"),
+        F.sum(c * v * v).alias("vv"),
+    )
+
+
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Spearman's rho: Pearson r of average ranks."""
     columns = numeric_columns(df) if columns is None else list(columns)
     require_columns(df, columns)
     pairs = _pairs(columns)
-    ranks = _paired_ranks(df, columns)
-    # Ranks are centred by their known mean (n + 1) / 2, which keeps the sums small.
-    n_of = ranks.groupBy("pair").agg(F.sum("c").alias("sample_size"))
-    centred = attach(ranks, n_of, ["pair"]).select(
-        "pair",
-        "sample_size",
-        "c",
-        (F.col("rank_x") - (F.col("sample_size") + 1) / 2).alias("u"),
-        (F.col("rank_y") - (F.col("sample_size") + 1) / 2).alias("v"),
-    )
-    sums = centred.groupBy("pair", "sample_size").agg(
-        F.sum(F.col("c") * F.col("u") * F.col("v")).alias("uv"),
-        F.sum(F.col("c") * F.col("u") * F.col("u")).alias("uu"),
-        F.sum(F.col("c") * F.col("v") * F.col("v")).alias("vv"),
-    )
+    gaps = df.agg(*[F.bool_or(is_missing(df, c)).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    sums = _rank_sums(df, columns) if any(gaps) else _rank_sums_complete(df, columns)
     names = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in pairs])[F.col("pair")]
     found = sums.select(
         names[0].alias("column1"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.moments import percent, sample_kurtosis, sample_skewness, share
 from tidemark.functions.summaries import summarise
 from tidemark.functions.types import (
-    as_double,
     datetime_columns,
     is_missing,
     numeric_columns,
@@ -19,7 +18,7 @@ from tidemark.functions.types import (
 )
 from tidemark.operators.aggregate import duplicate_rows
 from tidemark.plans.joining import null_safe_join
-from tidemark.plans.quantiles import SMALL_VALUES, quantiles
+from tidemark.plans.quantiles import SMALL_VALUES, melt, quantiles
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -41,24 +40,33 @@ def overview(df: DataFrame) -> DataFrame:
     return counted.withColumn("__k", F.lit(1)).join(duplicate_rows(df).withColumn("__k", F.lit(1)), "__k").drop("__k")
 
 
+def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, moments, extremes and sign counts per column.
+
+    In long form one compact aggregation serves all columns; side by side, the
+    aggregates of many columns outgrow generated code.
+    """
+    v = F.col("value")
+    return melt(df, columns).groupBy("column").agg(
+        F.count(v).alias("count"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        sample_skewness(v).alias("skewness"),
+        sample_kurtosis(v).alias("kurtosis"),
+        F.count_if(v == 0).alias("zero_count"),
+        F.count_if(v < 0).alias("negative_count"),
+        F.count_if(v > 0).alias("positive_count"),
+    )
+
+
 def describe_numeric(
     df: DataFrame, columns: Sequence[str] | None = None, small_values: int = SMALL_VALUES, accuracy: int | None = None
 ) -> DataFrame:
     """Count, mean, deviation, extremes, skewness, kurtosis and quartiles per column."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    moments = summarise(
-        df,
-        columns,
-        lambda c: {
-            "count": F.count(as_double(df, c)),
-            "mean": F.avg(as_double(df, c)),
-            "std": F.stddev_samp(as_double(df, c)),
-            "min": F.min(as_double(df, c)),
-            "max": F.max(as_double(df, c)),
-            "skewness": sample_skewness(as_double(df, c)),
-            "kurtosis": sample_kurtosis(as_double(df, c)),
-        },
-    ).where("count > 0")
+    moments = numeric_moments(df, columns).drop("zero_count", "negative_count", "positive_count")
     q = quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, small_values=small_values, accuracy=accuracy)
     return null_safe_join(moments, q, ["column"]).withColumn("median", F.col("q50"))
 

@@ -20,6 +20,8 @@ STARTS = 30
 MAX_STEPS = 30
 # Accuracy of the distance quantile that steers the concentration steps.
 STEP_ACCURACY = 10_000
+# Steps end when the determinant falls by less than this share.
+STEP_GAIN = 1e-6
 
 
 def _distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def fit_envelope(
         cut = points.agg(F.percentile_approx(distance, half, STEP_ACCURACY).alias("q")).first()["q"]
         new_mean, new_cov = _moments(points.where(distance <= F.lit(cut)), columns)
         det = float(np.linalg.det(new_cov))
-        if not det < last * (1 - 1e-9):
+        if not det < last * (1 - STEP_GAIN):
             break
         mean, cov, last = new_mean, new_cov, det
     measured = points.withColumn("__d", mahalanobis(columns, mean, cov))

@@ -16,7 +16,8 @@ from tidemark.functions.special import chi2_sf, f_sf, normal_tail, t_ppf, t_sf2
 from tidemark.functions.types import as_double, require_columns
 from tidemark.plans.joining import attach, null_safe_join
 from tidemark.plans.ordered import prefix_sums, with_position
-from tidemark.plans.quantiles import SMALL_VALUES, long_quantiles, melt, running_counts, value_counts
+from tidemark.plans.quantiles import SMALL_VALUES, count_quantiles, melt, running_counts, value_counts
+from tidemark.plans.storage import freeze
 
 ALPHA = 0.05
 SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
@@ -40,38 +41,58 @@ def interpret_effect(effect: Column, measure: str) -> Column:
     )
 
 
-def grouped_values(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1) -> DataFrame:
-    """Long form (column, grp, value) of the groups with at least ``min_size`` values."""
+_KEYS = ["column", "grp"]
+
+
+def grouped_values(df: DataFrame, group: str, targets: Sequence[str]) -> DataFrame:
+    """Long form (column, grp, value) of several targets over the groups."""
     require_columns(df, [group, *targets])
     present = df.where(F.col(f"`{group}`").isNotNull()).withColumn("grp", F.col(f"`{group}`").cast("string"))
-    long = melt(present, targets, ["grp"])
+    return melt(present, targets, ["grp"])
+
+
+def grouped_counts(long: DataFrame, min_size: int = 1) -> DataFrame:
+    """Stored (column, grp, value, c): equal values of a group merged, small groups left out.
+
+    Medians and rank tests read this table instead of the input.
+    """
+    counts = freeze(value_counts(long, _KEYS))
     if min_size <= 1:
-        return long
-    sizes = long.groupBy("column", "grp").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_size)
-    return attach(long, sizes, ["column", "grp"]).drop("__n")
-
-
-def group_moments(long: DataFrame) -> DataFrame:
-    return long.groupBy("column", "grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        (F.var_pop("value") * F.count(F.lit(1))).alias("within"),
+        return counts
+    sizes = counts.groupBy(*_KEYS).agg(F.sum("c").alias("__n")).where(F.col("__n") >= min_size)
+    return attach(counts, sizes, _KEYS).drop("__n")
+
+
+def group_moments(long: DataFrame, min_size: int = 1) -> DataFrame:
+    """Per group: n, mean, sample deviation, extremes and inner sum of squares."""
+    n = F.count(F.lit(1))
+    return (
+        long.groupBy(*_KEYS)
+        .agg(
+            n.alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            (F.var_pop("value") * n).alias("within"),
+        )
+        .where(F.col("n") >= min_size)
     )
 
 
 def _f_test(moments: DataFrame) -> DataFrame:
     """One-way F statistic per column from group sizes, means and inner sums of squares."""
-    whole = moments.groupBy("column").agg(
-        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")
-    )
-    gap = F.col("mean") - F.col("grand")
+    stored = freeze(moments)
+    grand = stored.groupBy("column").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m")).collect()
+    if not grand:
+        raise ValueError("no groups to compare")
+    # One overall mean per tested column.
+    of_column = F.create_map(*[x for r in grand for x in (F.lit(r["column"]), F.lit(r["m"]))])[F.col("column")]
+    gap = F.col("mean") - of_column
     sums = (
-        attach(moments, whole, ["column"])
-        .groupBy("column", "total")
+        stored.groupBy("column")
         .agg(
+            F.sum("n").alias("total"),
             F.count(F.lit(1)).alias("groups"),
             F.sum(F.col("n") * gap * gap).alias("between"),
             F.sum("within").alias("inner"),
@@ -93,19 +114,18 @@ def _f_test(moments: DataFrame) -> DataFrame:
     )
 
 
-def anova_of(long: DataFrame) -> DataFrame:
-    return _f_test(group_moments(long))
+def anova_of(long: DataFrame, min_size: int = 1) -> DataFrame:
+    return _f_test(group_moments(long, min_size))
 
 
 def anova(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1) -> DataFrame:
     """One-way ANOVA of each target over the groups, with eta²."""
-    return anova_of(grouped_values(df, group, targets, min_size))
+    return anova_of(grouped_values(df, group, targets), min_size)
 
 
-def levene_of(long: DataFrame, small_values: int = SMALL_VALUES) -> DataFrame:
-    keys = ["column", "grp"]
-    medians = long_quantiles(long, keys, {"__median": 0.5}, small_values)
-    spread = attach(long, medians, keys).select(*keys, F.abs(F.col("value") - F.col("__median")).alias("value"))
+def levene_of(long: DataFrame, counts: DataFrame, small_values: int = SMALL_VALUES) -> DataFrame:
+    medians = count_quantiles(counts, _KEYS, {"__median": 0.5}, small_values)
+    spread = attach(long, medians, _KEYS).select(*_KEYS, F.abs(F.col("value") - F.col("__median")).alias("value"))
     return anova_of(spread).drop("eta_squared")
 
 
@@ -113,20 +133,20 @@ def levene(
     df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1, small_values: int = SMALL_VALUES
 ) -> DataFrame:
     """Levene's test around group medians: ANOVA of the absolute deviations."""
-    return levene_of(grouped_values(df, group, targets, min_size), small_values)
+    long = grouped_values(df, group, targets)
+    return levene_of(long, grouped_counts(long, min_size), small_values)
 
 
-def kruskal_of(long: DataFrame) -> DataFrame:
-    cells = value_counts(long, ["column", "grp"])
+def kruskal_of(cells: DataFrame) -> DataFrame:
     per_value = cells.groupBy("column", "value").agg(F.sum("c").alias("t"))
     ranked = prefix_sums(per_value, ["column"], ["value"], {"before": "t"}, {"total": "t"})
     t = F.col("t").cast("double")
-    totals = ranked.groupBy("column", "total").agg(F.sum(t * t * t - t).alias("ties"))
+    totals = per_value.groupBy("column").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"))
     middle = (F.col("total") + 1) / 2
     centred = ranked.select("column", "value", (F.col("before") + (F.col("t") + 1) / 2 - middle).alias("u"))
     # Equal values of one group are one row, so a value has at most one row per group.
     sums = (
-        null_safe_join(cells, centred, ["column", "value"])
+        cells.join(centred, ["column", "value"])
         .groupBy("column", "grp")
         .agg(F.sum(F.col("c") * F.col("u")).alias("r"), F.sum("c").alias("n"))
         .groupBy("column")
@@ -152,25 +172,25 @@ def kruskal_of(long: DataFrame) -> DataFrame:
 
 def kruskal(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1) -> DataFrame:
     """Kruskal-Wallis H, tie-corrected, with epsilon²."""
-    return kruskal_of(grouped_values(df, group, targets, min_size))
+    return kruskal_of(grouped_counts(grouped_values(df, group, targets), min_size))
 
 
-def shapiro_of(long: DataFrame) -> DataFrame:
-    sizes = long.groupBy("column", "grp").agg(F.count(F.lit(1)).alias("__n"))
-    fitting = attach(long, sizes.where(F.col("__n").between(SHAPIRO_MIN, SHAPIRO_MAX)), ["column", "grp"])
+def shapiro_of(counts: DataFrame) -> DataFrame:
+    sizes = counts.groupBy(*_KEYS).agg(F.sum("c").alias("__n")).where(F.col("__n").between(SHAPIRO_MIN, SHAPIRO_MAX))
 
     def test(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(frame["value"].to_numpy())
-        return pd.DataFrame({"column": [key[0]], "grp": [key[1]], "n": [len(frame)], "statistic": [w], "p_value": [p]})
+        sample = np.repeat(frame["value"].to_numpy(), frame["c"].to_numpy())
+        w, p = shapiro_wilk(sample)
+        return pd.DataFrame({"column": [key[0]], "grp": [key[1]], "n": [len(sample)], "statistic": [w], "p_value": [p]})
 
     schema = "column string, grp string, n long, statistic double, p_value double"
-    tested = fitting.select("column", "grp", "value").groupBy("column", "grp").applyInPandas(test, schema)
-    return tested.withColumn("normal", F.col("p_value") > ALPHA)
+    fitting = attach(counts, sizes, _KEYS).select(*_KEYS, "value", "c")
+    return fitting.groupBy(*_KEYS).applyInPandas(test, schema).withColumn("normal", F.col("p_value") > ALPHA)
 
 
 def shapiro(df: DataFrame, group: str, targets: Sequence[str]) -> DataFrame:
     """Shapiro-Wilk per group of 3 to 5000 values; the test is not defined for larger ones."""
-    return shapiro_of(grouped_values(df, group, targets))
+    return shapiro_of(grouped_counts(grouped_values(df, group, targets)))
 
 
 def anderson_darling(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -215,7 +235,8 @@ def normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         [], "column string, test string, statistic double, p_value double, is_normal boolean"
     )
     if short:
-        tested = shapiro_of(melt(df, short).withColumn("grp", F.lit("all")))
+        counts = value_counts(melt(df, short), ["column"]).withColumn("grp", F.lit("all"))
+        tested = shapiro_of(freeze(counts))
         out = out.union(tested.select("column", F.lit("shapiro_wilk"), "statistic", "p_value", "normal"))
     if long:
         tested = anderson_darling(df, long)
@@ -284,12 +305,12 @@ def pairwise_mann_whitney(df: DataFrame, group: str, target: str, min_size: int
     Distinct values carry one count per group; running counts per group give, for
     each value of one group, how many values of every other group lie below it.
     """
-    long = grouped_values(df, group, [target], min_size).select("grp", "value")
-    sizes = long.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    cells = grouped_counts(grouped_values(df, group, [target]), min_size)
+    sizes = cells.groupBy("grp").agg(F.sum("c").alias("n"))
     names = sorted(r["grp"] for r in sizes.collect())
     if len(names) < 2:
         raise ValueError("need at least two groups")
-    counts = value_counts(long, ["grp"]).groupBy("value").pivot("grp", names).agg(F.sum("c"))
+    counts = cells.groupBy("value").pivot("grp", names).agg(F.sum("c"))
     counts = counts.select(
         "value", *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(f"c{i}") for i, g in enumerate(names)]
     )
@@ -308,7 +329,7 @@ def pairwise_mann_whitney(df: DataFrame, group: str, target: str, min_size: int
         F.posexplode(F.array(*[F.col(f"t{i}") for i in range(len(names))])).alias("j", "own_ties")
     )
     label = F.array(*[F.lit(g) for g in names])
-    medians = long_quantiles(long, ["grp"], {"median": 0.5})
+    medians = count_quantiles(cells, ["grp"], {"median": 0.5})
     stats = null_safe_join(sizes, medians, ["grp"])
     first_of = stats.select(F.col("grp").alias("group1"), F.col("n").alias("n1"), F.col("median").alias("median1"))
     second_of = stats.select(F.col("grp").alias("group2"), F.col("n").alias("n2"), F.col("median").alias("median2"))
@@ -336,8 +357,8 @@ def pairwise_mann_whitney(df: DataFrame, group: str, target: str, min_size: int
     )
 
 
-def _moment_pairs(long: DataFrame) -> DataFrame:
-    m = group_moments(long).where("n >= 2")
+def _moment_pairs(long: DataFrame, min_size: int) -> DataFrame:
+    m = freeze(group_moments(long, max(2, min_size)))
     a = m.select("column", *[F.col(c).alias(f"{c}1") for c in ("grp", "n", "mean", "std")])
     b = m.select("column", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "mean", "std")])
     # One row per group and column on both sides: the result is the pair table itself.
@@ -352,7 +373,7 @@ def pairwise_t_tests(df: DataFrame, group: str, targets: Sequence[str], min_size
     pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof)
     gap = F.col("mean1") - F.col("mean2")
     pairs = (
-        _moment_pairs(grouped_values(df, group, targets, min_size))
+        _moment_pairs(grouped_values(df, group, targets), min_size)
         .withColumn("pooled", F.nullif(pooled, F.lit(0.0)))
         .withColumn("mean_difference", gap)
         .withColumn("statistic", gap / (F.col("pooled") * F.sqrt(1 / n1 + 1 / n2)))
@@ -385,7 +406,7 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = ALPH
     """
     col = F.col(f"`{p}`")
     raw = F.coalesce(col, F.lit(1.0)) if null_as_one else col
-    tested = tests.withColumn("__p", raw)
+    tested = freeze(tests.withColumn("__p", raw))
     distinct = tested.where("__p is not null").groupBy("__p").agg(F.count(F.lit(1)).alias("c"))
     ranked = prefix_sums(distinct, [], ["__p"], {"before": "c"}, {"tests": "c"})
     scaled = ranked.withColumn("__q", F.col("__p") * F.col("tests") / (F.col("before") + F.col("c")))
@@ -421,13 +442,14 @@ def compare_groups(
     df: DataFrame, group: str, targets: Sequence[str], min_size: int = 3, small_values: int = SMALL_VALUES
 ) -> DataFrame:
     """ANOVA where every group passes Shapiro-Wilk and variances agree, else Kruskal-Wallis."""
-    long = grouped_values(df, group, targets, min_size)
-    normal = shapiro_of(long).groupBy("column").agg(F.min("p_value").alias("lowest_normal_p"))
-    equal = levene_of(long, small_values).select("column", F.col("p_value").alias("levene_p"))
-    f = anova_of(long).select(
+    long = grouped_values(df, group, targets)
+    counts = grouped_counts(long, min_size)
+    normal = shapiro_of(counts).groupBy("column").agg(F.min("p_value").alias("lowest_normal_p"))
+    equal = levene_of(long, counts, small_values).select("column", F.col("p_value").alias("levene_p"))
+    f = anova_of(long, min_size).select(
         "column", "groups", "n", F.col("statistic").alias("f"), F.col("p_value").alias("f_p"), "eta_squared"
     )
-    h = kruskal_of(long).select("column", F.col("statistic").alias("h"), F.col("p_value").alias("h_p"), "epsilon_squared")
+    h = kruskal_of(counts).select("column", F.col("statistic").alias("h"), F.col("p_value").alias("h_p"), "epsilon_squared")
     met = (F.coalesce("lowest_normal_p", F.lit(1.0)) > ALPHA) & (F.coalesce("levene_p", F.lit(0.0)) > ALPHA)
     pick = lambda a, b: F.when(F.col("assumptions_met"), F.col(a)).otherwise(F.col(b))
     joined = null_safe_join(null_safe_join(f, h, ["column"], "left"), equal, ["column"], "left")

@@ -15,6 +15,7 @@ from tidemark.functions.types import as_double, numeric_columns, require_columns
 from tidemark.operators.correlation import _describe_pairs, _pairs, approximate_interval
 from tidemark.plans.joining import attach, null_safe_join
 from tidemark.plans.ordered import prefix_sums, with_position
+from tidemark.plans.storage import freeze
 
 BLOCK_ROWS = 200_000
 _BITS = 4
@@ -48,8 +49,10 @@ def _inversions(cells: DataFrame, block_rows: int) -> DataFrame:
     """
     distinct_y = cells.select("pair", "y").distinct()
     y_rank = with_position(distinct_y, ["y"], ["pair"], pos="yr", size="levels").select("pair", "y", "yr")
-    placed = with_position(attach(cells, y_rank, ["pair", "y"]), ["x", "y"], ["pair"]).withColumn(
-        "block", F.floor(F.col("pos") / block_rows)
+    placed = freeze(
+        with_position(attach(cells, y_rank, ["pair", "y"]), ["x", "y"], ["pair"]).withColumn(
+            "block", F.floor(F.col("pos") / block_rows)
+        )
     )
 
     def inside(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +126,7 @@ def kendall(df: DataFrame, columns: Sequence[str] | None = None, block_rows: int
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    cells = (
+    cells = freeze(
         df.select(F.inline(rows))
         .where("x is not null and y is not null")
         .groupBy("pair", "x", "y")

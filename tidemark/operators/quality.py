@@ -18,9 +18,11 @@ from tidemark.functions.types import (
 )
 from tidemark.operators.aggregate import duplicate_rows
 from tidemark.operators.correlation import pearson_pairs
+from tidemark.operators.describe import missing_by_column
 from tidemark.operators.profile import column_profile, fence_counts
 from tidemark.plans.joining import null_safe_join
 from tidemark.plans.quantiles import SMALL_VALUES, quantiles
+from tidemark.plans.storage import freeze
 
 # Name parts, placeholders, and marks of date-like text.
 ID_WORDS = ["id", "key", "index", "uuid"]
@@ -65,13 +67,25 @@ def column_quality(df: DataFrame) -> DataFrame:
 
 def completeness(df: DataFrame) -> DataFrame:
     """Completeness score, missing cells, columns with missing and mostly missing columns."""
-    profile = column_profile(df, approximate_distinct=True)
-    return profile.agg(
-        F.round(percent(F.sum("non_null_count"), F.sum("count")), 2).alias("completeness_score"),
-        F.sum("null_count").alias("total_missing_cells"),
-        F.round(percent(F.sum("null_count"), F.sum("count")), 2).alias("missing_percentage"),
-        F.count_if(F.col("null_count") > 0).alias("columns_with_missing"),
-        F.count_if(F.round("null_percentage", 2) > 80).alias("columns_mostly_missing"),
+    m, pct = F.col("missing"), F.col("missing_pct")
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("__k", F.lit(1))
+    cells = F.col("rows") * len(df.columns)
+    return (
+        missing_by_column(df)
+        .agg(
+            F.sum("missing").alias("total_missing_cells"),
+            F.count_if(m > 0).alias("columns_with_missing"),
+            F.count_if(F.round(pct, 2) > 80).alias("columns_mostly_missing"),
+        )
+        .withColumn("__k", F.lit(1))
+        .join(rows, "__k")
+        .select(
+            F.round(percent(cells - F.col("total_missing_cells"), cells), 2).alias("completeness_score"),
+            "total_missing_cells",
+            F.round(percent(F.col("total_missing_cells"), cells), 2).alias("missing_percentage"),
+            "columns_with_missing",
+            "columns_mostly_missing",
+        )
     )
 
 
@@ -187,10 +201,14 @@ def identical_columns(df: DataFrame) -> DataFrame:
     return one.select(F.inline(rows)).where("same").select("column1", "column2")
 
 
-def uniqueness_findings(df: DataFrame) -> DataFrame:
-    """Duplicate rows, identical columns and identifier columns with repeats."""
+def uniqueness_findings(df: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """Duplicate rows, identical columns and identifier columns with repeats.
+
+    ``duplicates`` is the result of ``duplicate_rows``, where it is known already.
+    """
+    duplicates = duplicate_rows(df) if duplicates is None else duplicates
     rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("__k", F.lit(1))
-    dup = duplicate_rows(df).withColumn("__k", F.lit(1)).join(rows, "__k").withColumn("column", F.lit(None).cast("string"))
+    dup = duplicates.withColumn("__k", F.lit(1)).join(rows, "__k").withColumn("column", F.lit(None).cast("string"))
     out = _finding(
         dup.where("duplicate_rows > 0"), "uniqueness", "duplicate_rows", F.col("duplicate_rows"),
         percent(F.col("duplicate_rows"), F.col("rows")),
@@ -232,20 +250,31 @@ def accuracy_findings(df: DataFrame) -> DataFrame:
     return out
 
 
-def issues(df: DataFrame) -> DataFrame:
+def issues(df: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
     """Priority issues: mostly missing, 5-90 % missing, all rows duplicated, constant columns."""
-    profile = column_profile(df)
-    pct = F.col("null_percentage")
+    duplicates = duplicate_rows(df) if duplicates is None else duplicates
+    # Equal extremes mean at most one distinct value, without a distinct count.
+    profile = freeze(
+        summarise(
+            df,
+            df.columns,
+            lambda c: {
+                "pct": percent(F.count_if(is_missing(df, c)), F.count(F.lit(1))),
+                "constant": F.min(F.col(f"`{c}`")).eqNullSafe(F.max(F.col(f"`{c}`"))),
+            },
+        )
+    )
+    pct = F.col("pct")
     mostly = profile.where(pct > 90).select(
         F.lit("critical").alias("severity"), F.lit("mostly_missing").alias("type"), "column"
     )
     some = profile.where((pct >= 5) & (pct <= 90)).select(F.lit("high"), F.lit("high_missing_values"), "column")
-    constant = profile.where("unique_count <= 1").select(F.lit("high"), F.lit("constant_column"), "column")
+    constant = profile.where("constant").select(F.lit("high"), F.lit("constant_column"), "column")
     # Every row repeats an earlier one only in a table without rows, so the check
     # asks whether one distinct row fills the table.
     rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("__k", F.lit(1))
     repeated = (
-        duplicate_rows(df)
+        duplicates
         .withColumn("__k", F.lit(1))
         .join(rows, "__k")
         .where("rows > 1 and duplicate_rows = rows - 1")
@@ -254,12 +283,14 @@ def issues(df: DataFrame) -> DataFrame:
     return mostly.union(some).union(repeated).union(constant)
 
 
-def findings(df: DataFrame, small_values: int = SMALL_VALUES) -> DataFrame:
+def findings(
+    df: DataFrame, small_values: int = SMALL_VALUES, duplicates: DataFrame | None = None
+) -> DataFrame:
     """Every finding of the four aspects."""
     return (
         consistency_findings(df)
         .union(validity_findings(df, small_values))
-        .union(uniqueness_findings(df))
+        .union(uniqueness_findings(df, duplicates))
         .union(accuracy_findings(df))
     )
 
@@ -270,14 +301,15 @@ def quality_scores(df: DataFrame, small_values: int = SMALL_VALUES) -> DataFrame
     Each score starts at 100 and loses points per finding; uniqueness also loses
     the share of duplicate rows.  Overall is their mean less two per issue.
     """
-    counted = findings(df, small_values).agg(
+    duplicates = freeze(duplicate_rows(df))
+    counted = findings(df, small_values, duplicates).agg(
         *[
             F.count_if(F.col("aspect") == a).alias(a) for a in ("consistency", "validity", "accuracy")
         ],
         F.count_if(F.col("type") == "duplicate_columns").alias("same_columns"),
         F.coalesce(F.max(F.when(F.col("type") == "duplicate_rows", F.col("percentage"))), F.lit(0.0)).alias("dup_pct"),
     )
-    issue_count = issues(df).agg(F.count(F.lit(1)).alias("issues"))
+    issue_count = issues(df, duplicates).agg(F.count(F.lit(1)).alias("issues"))
     floor = lambda lost: F.greatest(F.lit(0.0), F.lit(100.0) - lost)
     scored = (
         completeness(df)

@@ -4,29 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.storage import freeze
+
 BROADCAST_ROWS = 200_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` in which null matches null; keeps one copy of the keys."""
+    """Equi-join on ``keys`` in which null matches null; keeps one copy of the keys.
+
+    Keys that cannot be null on one side are compared plainly, so the join can use
+    the partitioning a window or aggregation on the same keys left behind.
+    """
     if not keys:
         raise ValueError("null_safe_join needs at least one key")
+
+    def same(key: str) -> Column:
+        a, b = F.col(f"`{key}`"), F.col(f"`__r_{key}`")
+        can_be_null = left.schema[key].nullable and right.schema[key].nullable
+        return a.eqNullSafe(b) if can_be_null else a == b
+
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in keys])
+    on = reduce(lambda a, b: a & b, [same(k) for k in keys])
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def hint_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it holds at most ``limit`` rows.
+def attach(
+    rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", stored: bool = False
+) -> DataFrame:
+    """Join per-key statistics to rows.
 
-    Beyond the limit the join shuffles, where adaptive execution splits hot keys.
+    The statistics are stored once, so checking their size does not compute them
+    twice.  Up to ``BROADCAST_ROWS`` rows they are broadcast; beyond that the join
+    shuffles, where adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join per-key statistics to rows."""
-    return null_safe_join(rows, hint_if_small(stats), keys, how)
+    kept = stats if stored else freeze(stats)
+    small = kept.count() <= BROADCAST_ROWS
+    return null_safe_join(rows, F.broadcast(kept) if small else kept, keys, how)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.types import as_double
 from tidemark.plans.ordered import prefix_sums
+from tidemark.plans.storage import freeze
 
-# Up to this many (row, column) values Spark's own `percentile` is used: its
-# per-group value map is then bounded by the same number.
-SMALL_VALUES = 4_000_000
+# Up to this many distinct (key, value) pairs Spark's own `percentile` is used: they
+# bound the value map its tasks hold.
+SMALL_VALUES = 1_000_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -56,6 +57,22 @@ def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], probs: Mapping[
     return grouped.select(*[F.col(f"`{k}`") for k in keys], *outs)
 
 
+def count_quantiles(
+    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], small_values: int = SMALL_VALUES
+) -> DataFrame:
+    """Exact quantiles from stored value counts (keys, ``value``, ``c``).
+
+    Few distinct values go to ``percentile``; more are range-partitioned and located
+    by running counts.
+    """
+    key_cols = [F.col(f"`{k}`") for k in keys]
+    if counts.count() > small_values:
+        return quantiles_of_counts(running_counts(counts, keys), keys, probs)
+    points = F.array(*[F.lit(float(p)) for p in probs.values()])
+    grouped = counts.groupBy(*key_cols).agg(F.percentile("value", points, F.col("c")).alias("__q"))
+    return grouped.select(*key_cols, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
+
+
 def long_quantiles(
     long: DataFrame,
     keys: Sequence[str],
@@ -65,20 +82,14 @@ def long_quantiles(
 ) -> DataFrame:
     """Quantiles of ``value`` per key, one output column per probability.
 
-    Small inputs (counted first) use ``percentile``; larger ones are reduced to
-    value counts, range-partitioned and located by running counts.  With
+    Rows are merged to value counts and stored, in one pass over the input.  With
     ``accuracy`` the caller accepts ``percentile_approx`` instead.
     """
-    points = F.array(*[F.lit(float(p)) for p in probs.values()])
+    if accuracy is None:
+        return count_quantiles(freeze(value_counts(long, keys)), keys, probs, small_values)
     key_cols = [F.col(f"`{k}`") for k in keys]
-    if accuracy is not None:
-        packed = F.percentile_approx("value", points, accuracy)
-    elif long.count() <= small_values:
-        packed = F.percentile("value", points)
-    else:
-        counted = running_counts(value_counts(long, keys), keys)
-        return quantiles_of_counts(counted, keys, probs)
-    grouped = long.groupBy(*key_cols).agg(packed.alias("__q"))
+    points = F.array(*[F.lit(float(p)) for p in probs.values()])
+    grouped = long.groupBy(*key_cols).agg(F.percentile_approx("value", points, accuracy).alias("__q"))
     return grouped.select(*key_cols, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
 
 

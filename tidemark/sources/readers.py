@@ -53,6 +53,16 @@ def read_table(
     return df.limit(row_limit) if row_limit is not None else df
 
 
+def spread(df: DataFrame, parts: int = 32) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to more tasks.
+
+    A file written as one row group is read by one task.  Large tables have more
+    splits than ``parts`` and are returned unchanged; ``df`` must be a plain scan.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, parts)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """A seeded random sample (an opt-in operator; nothing else here samples)."""
     return df.sample(fraction=fraction, seed=seed)
