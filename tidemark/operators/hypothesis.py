@@ -446,33 +446,30 @@ def compare_groups(
     counts = grouped_counts(long, min_size)
     normal = shapiro_of(counts).groupBy("column").agg(F.min("p_value").alias("lowest_normal_p"))
     equal = levene_of(long, counts, small_values).select("column", F.col("p_value").alias("levene_p"))
-    f = anova_of(long, min_size).select(
-        "column", "groups", "n", F.col("statistic").alias("f"), F.col("p_value").alias("f_p"), "eta_squared"
-    )
-    h = kruskal_of(counts).select("column", F.col("statistic").alias("h"), F.col("p_value").alias("h_p"), "epsilon_squared")
     met = (F.coalesce("lowest_normal_p", F.lit(1.0)) > ALPHA) & (F.coalesce("levene_p", F.lit(0.0)) > ALPHA)
-    pick = lambda a, b: F.when(F.col("assumptions_met"), F.col(a)).otherwise(F.col(b))
-    joined = null_safe_join(null_safe_join(f, h, ["column"], "left"), equal, ["column"], "left")
-    return (
-        null_safe_join(joined, normal, ["column"], "left")
-        .withColumn("assumptions_met", met)
-        .withColumn("p_value", pick("f_p", "h_p"))
-        .withColumn("effect_size", pick("eta_squared", "epsilon_squared"))
-        .select(
-            "column",
-            "groups",
-            "n",
-            F.when(F.col("assumptions_met"), "anova").otherwise("kruskal_wallis").alias("test"),
-            pick("f", "h").alias("statistic"),
-            "p_value",
-            (F.col("p_value") < ALPHA).alias("significant"),
-            "effect_size",
-            F.when(F.col("assumptions_met"), "eta_squared").otherwise("epsilon_squared").alias("effect_measure"),
-            interpret_effect(F.col("effect_size"), "variance").alias("interpretation"),
-            "lowest_normal_p",
-            "levene_p",
-            "assumptions_met",
-        )
+    checked = freeze(null_safe_join(equal, normal, ["column"], "left").withColumn("assumptions_met", met))
+    # One row per target: only the test that applies is then computed.
+    flags = {r["column"]: r["assumptions_met"] for r in checked.select("column", "assumptions_met").collect()}
+    if not flags:
+        raise ValueError("need at least two groups of the wanted size")
+    parts = []
+    for wanted, name, measure in ((True, "anova", "eta_squared"), (False, "kruskal_wallis", "epsilon_squared")):
+        chosen = F.col("column").isin([c for c, flag in flags.items() if flag == wanted])
+        if wanted in flags.values():
+            tested = anova_of(long.where(chosen), min_size) if wanted else kruskal_of(counts.where(chosen))
+            parts.append(
+                tested.select(
+                    "column", "groups", "n", F.lit(name).alias("test"), "statistic", "p_value",
+                    F.col(measure).alias("effect_size"), F.lit(measure).alias("effect_measure"),
+                )
+            )
+    results = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return null_safe_join(results, checked, ["column"]).select(
+        "column", "groups", "n", "test", "statistic", "p_value",
+        (F.col("p_value") < ALPHA).alias("significant"),
+        "effect_size", "effect_measure",
+        interpret_effect(F.col("effect_size"), "variance").alias("interpretation"),
+        "lowest_normal_p", "levene_p", "assumptions_met",
     )
 
 
