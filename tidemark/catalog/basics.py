@@ -512,7 +512,7 @@ def overview(spark, folder):
 @query(
     "describe_numeric",
     union_all(
-        """SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 6) AS mean,
+        """SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 7) AS mean,
         round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
         round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis,
         round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50,
@@ -522,7 +522,7 @@ def overview(spark, folder):
     ),
 )
 def describe_numeric(spark, folder):
-    return rounded(describe.describe_numeric(table(spark, folder, "lineitem")))
+    return rounded(describe.describe_numeric(table(spark, folder, "lineitem")), 6, mean=7)
 
 
 _TOP = """(SELECT {c} FROM orders WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"""

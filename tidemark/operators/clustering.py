@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.types import as_double, require_columns
-from tidemark.operators.derive import choose_features, clip_to_quantiles, robust_scale
+from tidemark.operators.derive import choose_features
 from tidemark.plans.joining import null_safe_join
 from tidemark.plans.quantiles import SMALL_VALUES, quantiles
 from tidemark.plans.storage import freeze
@@ -21,6 +21,7 @@ MAX_ITERATIONS = 100
 TOLERANCE = 1e-3
 CANDIDATE_K = range(2, 11)
 LARGEST_K = 6
+MIN_ROWS = 10
 NOISE = -1
 
 
@@ -35,9 +36,22 @@ def prepare_features(df: DataFrame, features: Sequence[str] | None = None, small
     if len(features) < 2:
         raise ValueError("need at least two numeric features")
     numbers = df.withColumns({f: as_double(df, f) for f in features}).dropna(subset=features)
-    clipped = clip_to_quantiles(numbers, features, small_values=small_values)
-    copies = clipped.withColumns({scaled_name(f): F.col(f"`{f}`") for f in features})
-    return robust_scale(copies, [scaled_name(f) for f in features], small_values=small_values)
+    if numbers.limit(MIN_ROWS).count() < MIN_ROWS:
+        raise ValueError(f"need at least {MIN_ROWS} complete rows")
+    # Clipping the outer percents leaves the quartiles where they are, so one pass
+    # gives the limits and the scale.
+    points = {"low": 0.01, "q1": 0.25, "q2": 0.5, "q3": 0.75, "high": 0.99}
+    found = {r["column"]: r for r in quantiles(numbers, features, points, small_values=small_values).collect()}
+
+    def clipped(f: str) -> Column:
+        return F.least(F.greatest(F.col(f"`{f}`"), F.lit(found[f]["low"])), F.lit(found[f]["high"]))
+
+    def scaled(f: str) -> Column:
+        return (F.col(f"`{f}`") - F.lit(found[f]["q2"])) / F.lit((found[f]["q3"] - found[f]["q1"]) or 1.0)
+
+    return numbers.withColumns({f: clipped(f) for f in features}).withColumns(
+        {scaled_name(f): scaled(f) for f in features}
+    )
 
 
 def _vectors(prepared: DataFrame, features: Sequence[str]) -> DataFrame:

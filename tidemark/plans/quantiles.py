@@ -13,7 +13,7 @@ from tidemark.plans.storage import freeze
 
 # Up to this many distinct (key, value) pairs Spark's own `percentile` is used: they
 # bound the value map its tasks hold.
-SMALL_VALUES = 1_000_000
+SMALL_VALUES = 200_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
