@@ -1,7 +1,6 @@
 """Ordered computations and quantiles against plain pandas."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,5 +122,3 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {got[i] for i in range(201)} == {0}
     assert {got[i] for i in range(1000, 1050)} == {1000}
     assert got[5000] == 5000
-
-

@@ -536,6 +536,16 @@ def seasonal_pattern(spark, folder):
     return rounded(out, 4, seasonal_variation=6)
 
 
+@query(
+    "seasonal_pattern_of_picked_columns",
+    f"""SELECT {_PEAKS} FROM (SELECT month(l_shipdate) AS mo, avg(l_quantity) AS mean, count(*) AS n FROM lineitem
+    WHERE l_quantity > 0 GROUP BY 1) HAVING count(*) >= 12""",
+)
+def seasonal_pattern_of_picked_columns(spark, folder):
+    line = table(spark, folder, "lineitem")
+    return rounded(timeseries.seasonal_pattern(line, *timeseries.pick_seasonal_columns(line)), 4, seasonal_variation=6)
+
+
 @query("seasonal_test")
 def seasonal_test(spark, folder):
     return rounded(timeseries.seasonal_test(table(spark, folder, "lineitem"), "l_shipdate", "l_quantity"))
@@ -569,15 +579,15 @@ def loaded_lines(spark, folder):
     )
 
 
-@query(
-    "numeric_drivers",
-    f"""SELECT factor, round(r, 8) AS correlation, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS relationship,
+_NUMERIC_DRIVERS = f"""SELECT factor, round(r, 8) AS correlation, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS relationship,
       CASE WHEN abs(r) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength, n AS sample_size,
       round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 8) AS ci_lower,
       round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 8) AS ci_upper FROM ({union_all(
           f"SELECT '{{c}}' AS factor, corr(load, {{c}}) AS r, count(*) AS n FROM {_LOADED}",
-          ["l_quantity", "l_extendedprice", "l_discount"])}) WHERE n >= 30 AND abs(r) >= 0.3""",
-)
+          ["l_quantity", "l_extendedprice", "l_discount"])}) WHERE n >= 30 AND abs(r) >= 0.3"""
+
+
+@query("numeric_drivers", _NUMERIC_DRIVERS)
 def numeric_drivers(spark, folder):
     return rounded(drivers.numeric_drivers(loaded_lines(spark, folder)), 8)
 
@@ -608,6 +618,17 @@ def category_drivers(spark, folder):
     return rounded(out, 8, statistic=6)
 
 
+@query(
+    "all_drivers",
+    f"""SELECT factor, 'correlation' AS kind, round(correlation, 6) AS measure, NULL::DOUBLE AS p_value
+      FROM ({_NUMERIC_DRIVERS})
+    UNION ALL SELECT factor, 'group_difference', round(statistic, 6), round(p_value, 6) FROM ({_bh(_DRIVER_TESTS)})
+      WHERE significant_corrected""",
+)
+def all_drivers(spark, folder):
+    return rounded(drivers.all_drivers(loaded_lines(spark, folder)))
+
+
 @query(
     "driver_confidence",
     f"""SELECT count(*) AS tests, count(*) FILTER (WHERE significant_corrected) AS significant_tests,

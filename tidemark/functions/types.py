@@ -25,10 +25,6 @@ def datetime_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, _DATETIMES)]
 
 
-def boolean_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
-
-
 def is_float(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
 

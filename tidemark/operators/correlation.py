@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.special import chi2_sf, normal_quantile, normal_sf2, t_sf2
+from tidemark.functions.special import chi2_sf, normal_quantile, t_sf2
 from tidemark.functions.types import as_double, is_missing, numeric_columns, require_columns, string_columns
 from tidemark.plans.joining import attach
 from tidemark.plans.ordered import prefix_sums

@@ -151,7 +151,7 @@ def bottlenecks(
     )
 
 
-def correlation_drivers_with_groups(df: DataFrame, target: str | None = None) -> DataFrame:
+def all_drivers(df: DataFrame, target: str | None = None) -> DataFrame:
     """Both kinds of driver in one table (factor, kind, measure, p_value)."""
     numbers = numeric_drivers(df, target).select(
         "factor", F.lit("correlation").alias("kind"), F.col("correlation").alias("measure"),
