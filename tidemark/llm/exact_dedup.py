@@ -20,12 +20,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import fuse
 from tidemark.llm.common import broadcast_if_small, freeze, query, table, whole_text
+from tidemark.plans.shipping import ship_package
 
 # Expected distinct digests of a bucket; its keys and filter fit a task's memory.
 BUCKET_KEYS = 100_000
@@ -57,15 +58,18 @@ class Snapshot:
 
 def build_snapshot(rows: DataFrame) -> Snapshot:
     """Group the (id, sha) rows of a snapshot and store a filter for each of its buckets."""
+    ship_package(rows.sparkSession)
     groups = freeze(_groups(rows))
     buckets = max(LEAST_BUCKETS, 1 << (groups.count() // BUCKET_KEYS).bit_length())
     groups = groups.withColumn("bucket", _bucket(buckets))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed, segment, prints = fuse.build(pdf["key"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"bucket": pdf["bucket"][:1], "seed": seed, "segment": segment, "prints": [prints]})
+    def one(part: pa.Table) -> pa.Table:
+        seed, segment, prints = fuse.build(part.column("key").to_numpy().view(np.uint64))
+        number = part.column("bucket")[0].as_py()
+        columns = {"bucket": pa.array([number], pa.int32()), "seed": [seed], "segment": [segment], "prints": [prints]}
+        return pa.table(columns)
 
-    filters = groups.select("bucket", "key").groupBy("bucket").applyInPandas(
+    filters = groups.select("bucket", "key").groupBy("bucket").applyInArrow(
         one, "bucket int, seed long, segment long, prints binary"
     )
     return Snapshot(groups, freeze(filters), buckets)
@@ -74,16 +78,17 @@ def build_snapshot(rows: DataFrame) -> Snapshot:
 def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
     """Add ``maybe`` to the distinct digests of a batch: false only where the snapshot lacks the digest."""
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        maybe = np.zeros(len(left), dtype=bool)
-        if len(right) and len(left):
-            keys = left["key"].to_numpy().view(np.uint64)
-            maybe = fuse.contains(keys, int(right["seed"][0]), int(right["segment"][0]), right["prints"][0])
-        return left.assign(maybe=maybe)
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        maybe = np.zeros(left.num_rows, dtype=bool)
+        if left.num_rows and right.num_rows:
+            row = right.to_pylist()[0]
+            keys = left.column("key").to_numpy().view(np.uint64)
+            maybe = fuse.contains(keys, row["seed"], row["segment"], row["prints"])
+        return left.append_column("maybe", pa.array(maybe))
 
     keyed = batch.withColumn("bucket", _bucket(snapshot.buckets))
     schema = "sha string, keep_id long, n long, key long, bucket int, maybe boolean"
-    return keyed.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInPandas(one, schema)
+    return keyed.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInArrow(one, schema)
 
 
 def merge(snapshots: list[Snapshot], batch: DataFrame) -> DataFrame:
