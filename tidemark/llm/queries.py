@@ -1,4 +1,13 @@
 """The registered queries of the training-data operators."""
 
-from tidemark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, substring_dedup, url_filters  # noqa: F401
+from tidemark.llm import (  # noqa: F401
+    chat,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    near_dedup,
+    packing,
+    substring_dedup,
+    url_filters,
+)
 from tidemark.llm.common import ORACLES, QUERIES  # noqa: F401
