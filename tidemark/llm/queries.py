@@ -4,6 +4,7 @@ from tidemark.llm import (  # noqa: F401
     chat,
     decontaminate,
     exact_dedup,
+    html_text,
     language_id,
     near_dedup,
     packing,
