@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor reaches.
+
+    Only a session on one machine (``local`` or ``local[...]``) that names none,
+    as in tests, gets a temporary folder.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        shared = sc.getCheckpointDir()
+    if shared is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def freeze(df: DataFrame) -> DataFrame:
@@ -25,5 +33,5 @@ def freeze(df: DataFrame) -> DataFrame:
     Used where a column must not change if a task runs again (a partition
     number, say), and between rounds of an iterative operator.
     """
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
