@@ -19,7 +19,9 @@ further columns are not looked at.  A document's ids may be of any number.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,12 +38,19 @@ SEGMENTS = 256
 END_ID = 1
 SHARD_ITEMS = 4096
 
-# What the word cache of a Python worker holds at most before it starts anew.
-WORDS_KEPT = 300_000
+# How many words, and lower-cased pieces of words, a Python worker remembers before it starts anew.
+WORDS_KEPT = 1_000_000
 # A word of these letters followed by ASCII marks is letters and marks to the tokenizer, each encoded by itself.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class WordTokenizer:
     """Token ids of whole texts from a tokenizer file that splits at white space.
 
@@ -58,6 +67,8 @@ class WordTokenizer:
 
     @staticmethod
     def _split(word: bytes) -> list[str]:
+        if word.isalpha():
+            return [word.lower().decode()]
         text = word.decode()
         plain = PLAIN_WORD.fullmatch(text)
         if plain is None:
@@ -69,12 +80,18 @@ class WordTokenizer:
             self.words.clear()
         if len(self.pieces) > WORDS_KEPT:
             self.pieces.clear()
-        new = {w: self._split(w) for w in words if w not in self.words}
-        missing = list({p for parts in new.values() for p in parts if p not in self.pieces})
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.pieces[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
-        for word, parts in new.items():
-            self.words[word] = b"".join([self.pieces[p] for p in parts])
+        new = words.difference(self.words)
+        parts = list(map(self._split, new))
+        missing = list(set().union(*parts).difference(self.pieces))
+        # lower-case ASCII letters reach the model as they are
+        plain = [p for p in missing if p.isascii() and p.isalpha() and p.islower()]
+        model = self.tokenizer.model.tokenize
+        self.pieces.update([(p, _bytes([t.id for t in model(p)])) for p in plain])
+        other = list(set(missing).difference(plain))
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.pieces.update(zip(other, [_bytes(f.ids) for f in found]))
+        get = self.pieces.__getitem__
+        self.words.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -101,8 +118,8 @@ def cut_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist())):
                     ids += end
@@ -126,31 +143,32 @@ def fill_bins(demands: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np
     """
     classes, of, counts = np.unique(demands, axis=0, return_inverse=True, return_counts=True)
     order = np.argsort(of.ravel(), kind="stable")
-    nexts, counts = np.concatenate([[0], np.cumsum(counts)[:-1]]), counts.copy()
-    scaled, limit = classes / capacity, capacity.astype(float)
+    nexts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    columns, scaled = [np.ascontiguousarray(c) for c in classes.T], classes / capacity
     bins, places = np.empty(len(demands), dtype=np.int64), np.empty(len(demands), dtype=np.int64)
-    number, left = 0, len(demands)
-    open_ = np.flatnonzero(counts)
-    while left:
-        rest, place = capacity.astype(np.int64), 0
-        live = open_
-        while True:
-            if place:
-                live = live[(classes[live] <= rest).all(axis=1)]
-            live = live[counts[live] > 0]
-            if not len(live):
+    number, open_ = 0, np.arange(len(classes))
+    while len(open_):
+        rest, place, live = capacity.tolist(), 0, open_
+        while len(live):
+            score = scaled[live] @ np.array([r / c for r, c in zip(rest, capacity.tolist())])
+            fits = np.ones(len(live), dtype=bool)
+            for column, r in zip(columns, rest):
+                fits &= column[live] <= r
+            if fits.any():
+                live, score = live[fits], score[fits]
+            elif place:
                 break
-            fits = live if place else live[(classes[live] <= rest).all(axis=1)]
-            pool = fits if len(fits) else live
-            best = pool[np.argmax(scaled[pool] @ (rest / limit))]
+            best = int(live[score.argmax()])
             item = order[nexts[best]]
             bins[item], places[item] = number, place
             nexts[best] += 1
             counts[best] -= 1
-            rest = rest - classes[best]
-            place, left = place + 1, left - 1
-            live = fits
-        open_ = open_[counts[open_] > 0]
+            rest = [r - int(c[best]) for r, c in zip(rest, columns)]
+            place += 1
+            if not counts[best]:
+                live, open_ = live[live != best], open_[open_ != best]
+            if min(rest) < 0 or rest[0] == 0:
+                break
         number += 1
     return bins, places
 
@@ -164,7 +182,7 @@ def pack_pieces(
     shards = max(1, stored.count() // SHARD_ITEMS)
     capacity = np.array([tokens, segments, loss_tokens])
 
-    def pack(part: pa.Table) -> pa.Table:
+    def fill(part: pa.Table) -> pa.Table:
         part = part.sort_by([(n, "ascending") for n in ("doc_id", "start", "ids_crc32")])
         length = part.column("length").to_numpy()
         demands = np.stack([length, np.ones_like(length), part.column(loss_col).to_numpy()], axis=1)
@@ -181,7 +199,7 @@ def pack_pieces(
 
     dealt = stored.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return dealt.groupBy("shard").applyInArrow(pack, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(
