@@ -57,7 +57,13 @@ def test_hot_minimisers_take_the_other_way_to_the_same_result(spark):
     base = " ".join(f"w{i}" for i in range(30))
     rows = [(i, f"{base} tail{i % 7} {i}", "") for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id as doc", "0L as mark", "text")
-    assert sd.hot_minimisers(df, 4)
+    assert sd.hot_minimisers(sd.shared_minimisers(df), 4)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_too_many_shared_minimisers_to_send(spark, monkeypatch):
+    rows = texts(5, 60)
+    monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
     assert run(spark, rows) == brute(rows)
 
 

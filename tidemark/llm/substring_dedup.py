@@ -5,12 +5,15 @@ document.  Consecutive windows that share a minimiser (the word pair with the
 smallest hash among those of the window) travel together as one packed string, a
 super-k-mer, to the minimiser's bucket.  Equal windows have equal minimisers, so
 they meet; there the windows of a bucket are sorted, and the smallest document of
-each window sequence is found exactly, bytes compared.
+each window sequence is found exactly, bytes compared.  Minimisers are counted
+first: one that lies in a single document cannot bring windows together, so its
+super-k-mers stay at home.  The shared ones are sent to the tasks while they fit
+``BROADCAST_BYTES``; beyond that every super-k-mer travels.
 
 Skew: equal texts are found first by digest; one of them takes part and the others
 are known to be covered.  A minimiser that holds more than a quarter of a
-partition's share of all super-k-mers is hot; there are at most four per shuffle
-partition.  Its windows are not gathered by bucket: each is a key of its own, the
+partition's share of the super-k-mers that travel is hot; there are at most four
+per shuffle partition.  Its windows are not gathered by bucket: each is a key of its own, the
 smallest document comes from a partial aggregation, and a join, which adaptive
 execution can split, brings it back to the occurrences.
 
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, freeze, query, shuffle_parts, table, whole_text
@@ -79,48 +82,66 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[b
                 yield docs[i].as_py(), marks[i].as_py(), words
 
 
-def hot_minimisers(rows: DataFrame, parts: int) -> list[int]:
-    """Minimisers of more than 1 / (4 * parts) of all super-k-mers.
-
-    One with such a share overall has it in some task, so a task reports only
-    those; what it leaves out lowers a sum but cannot drop a key of that share
-    everywhere.
-    """
-    least = 1.0 / (4 * parts)
+def shared_minimisers(rows: DataFrame) -> DataFrame:
+    """(key, n) of the minimisers that lie in more than one document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [minimisers(words)[0] for _, _, words in _texts(batches)]
-        if not found:
-            return
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        own = n >= max(2, least * n.sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(keys[own], np.uint64(0)).view(np.int64)),
-                pa.array(np.append(n[own], n.sum())),
-                pa.array(np.append(np.zeros(own.sum(), bool), True)),
-            ],
-            names=["key", "n", "whole"],
-        )
+        keys, docs = [], []
+        for doc, _, words in _texts(batches):
+            keys.append(np.unique(minimisers(words)[0]))
+            docs.append(np.full(len(keys[-1]), doc))
+            if len(keys) >= 20_000:
+                yield grouped(np.concatenate(keys), np.concatenate(docs))
+                keys, docs = [], []
+        if keys:
+            yield grouped(np.concatenate(keys), np.concatenate(docs))
+
+    def grouped(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        last = np.append(first[1:], len(keys)) - 1
+        columns = [keys[first].view(np.int64), last - first + 1, docs[first], docs[last]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n", "lo", "hi"])
+
+    sums = rows.mapInArrow(count, "key long, n long, lo long, hi long").groupBy("key")
+    sums = sums.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return freeze(sums.where("lo < hi").select("key", "n"))
+
+
+def hot_minimisers(shared: DataFrame, parts: int) -> list[int]:
+    """Minimisers of more than 1 / (4 * parts) of what travels: fewer than 4 * parts."""
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    return [r["key"] for r in shared.where(F.col("n") > max(2, total / (4 * parts))).select("key").collect()]
 
-    sums = rows.mapInArrow(count, "key long, n long, whole boolean").groupBy("key", "whole").agg(F.sum("n").alias("n"))
-    stored = freeze(sums)
-    total = stored.where("whole").agg(F.sum("n")).first()[0] or 0
-    return [r["key"] for r in stored.where(~F.col("whole") & (F.col("n") > least * total)).collect()]
 
+def _keys(values) -> np.ndarray:
+    return np.sort(np.asarray(values, dtype=np.int64).view(np.uint64))
 
-def super_kmers(rows: DataFrame, hot: list[int]) -> DataFrame:
-    """(key, doc, mark, at, packed) of the super-k-mers whose minimiser is not hot."""
-    hot_keys = np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def super_kmers(rows: DataFrame, shared: DataFrame, hot: list[int]) -> DataFrame:
+    """(key, doc, mark, at, packed) of the super-k-mers whose minimiser is shared and not hot."""
+    sc, hot_keys = rows.sparkSession.sparkContext, _keys(hot)
+    few = shared.count() * 8 <= BROADCAST_BYTES
+    held = sc.broadcast(_keys(shared.select("key").toArrow().column("key").to_numpy())) if few else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
         for doc, mark, words in _texts(batches):
             keys, first = minimisers(words)
+            own = ~_among(keys, hot_keys)
+            if held is not None:
+                own &= _among(keys, held.value)
+            if not own.any():
+                continue
             ends = np.append(first[1:], len(words) - WINDOW + 1) + WINDOW - 1
-            if len(hot_keys):
-                own = ~np.isin(keys, hot_keys)
-                keys, first, ends = keys[own], first[own], ends[own]
+            keys, first, ends = keys[own], first[own], ends[own]
             out[0].append(keys.view(np.int64))
             out[1].append(np.full(len(keys), doc))
             out[2].append(np.full(len(keys), mark))
@@ -223,13 +244,13 @@ def covered_runs(kmers: DataFrame, parts: int) -> DataFrame:
 
 def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
     """(doc, mark, at, n) for the windows of hot minimisers."""
-    hot_keys = np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
+    hot_keys = _keys(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, mark, words in _texts(batches):
             keys, first = minimisers(words)
             ends = np.append(first[1:], len(words) - WINDOW + 1)
-            own = np.isin(keys, hot_keys)
+            own = _among(keys, hot_keys)
             at = [i for a, b in zip(first[own].tolist(), ends[own].tolist()) for i in range(a, b)]
             if at:
                 columns = [
@@ -264,16 +285,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = F.broadcast(copies) if copies.count() * 32 <= BROADCAST_BYTES else copies
     own = rows.join(few, ["doc", "mark"], "left_anti").select("doc", "mark", "text")
 
-    hot = hot_minimisers(own, parts)
-    runs = covered_runs(super_kmers(own, hot), parts)
+    shared = shared_minimisers(own)
+    hot = hot_minimisers(shared, parts)
+    runs = covered_runs(super_kmers(own, shared, hot), parts)
     if hot:
         runs = runs.union(hot_runs(own, hot))
     runs = runs.union(copies.select("doc", "mark", F.lit(0).cast("long"), F.lit(NO_ID // 2)))
-    cuts = freeze(runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
+    cuts = freeze(runs.groupBy("doc", "mark").agg(_joined(F.collect_list(F.struct("at", "n"))).alias("runs")))
     width = cuts.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0
     return _cut(rows.join(F.broadcast(cuts) if width <= BROADCAST_BYTES else cuts, ["doc", "mark"], "left"))
 
 
+def _joined(runs: Column) -> Column:
+    """Runs of one document in order, those whose words touch made one."""
+    kind = "array<struct<at:bigint,n:bigint>>"
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.element_at(done, -1)
+        end = F.greatest(last["at"] + last["n"], run["at"] + run["n"])
+        longer = F.array(F.struct(last["at"].alias("at"), (end - last["at"]).alias("n")))
+        touches = run["at"] <= last["at"] + last["n"] + (WINDOW - 1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), longer)
+        return (
+            F.when(F.size(done) == 0, F.array(run))
+            .when(touches, grown)
+            .otherwise(F.concat(done, F.array(run)))
+            .cast(kind)
+        )
+
+    return F.aggregate(F.sort_array(runs), F.expr(f"cast(array() as {kind})"), add)
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
