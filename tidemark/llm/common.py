@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.storage import freeze
+from tidemark.plans.storage import checkpoint_folder, freeze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches: that of the checkpoints."""
+    return checkpoint_folder(spark)
+
+
 def broadcast_if_small(stored: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a stored table for broadcast when its rows, at most ``row_bytes`` wide, fit the bound."""
     return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_BYTES else stored
@@ -64,6 +69,7 @@ __all__ = [
     "freeze",
     "keep_rows",
     "query",
+    "shared_folder",
     "shuffle_parts",
     "table",
     "whole_text",
