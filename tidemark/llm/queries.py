@@ -9,6 +9,7 @@ from tidemark.llm import (  # noqa: F401
     near_dedup,
     packing,
     substring_dedup,
+    suffix_dedup,
     url_filters,
 )
 from tidemark.llm.common import ORACLES, QUERIES  # noqa: F401
