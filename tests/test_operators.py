@@ -340,3 +340,49 @@ def test_profile_parts_of_a_mixed_table(spark, folder):
     parts = profile.profile_table(table(spark, folder, "events"))
     assert {"schema", "columns", "numeric", "categorical", "datetime_ts"} <= set(parts)
     assert parts["schema"].count() == 6
+
+
+def test_samples_of_repeated_rows_have_the_wanted_size(spark):
+    """Copies of a row are drawn one by one, so 40 distinct rows can fill a sample."""
+    from tidemark.operators import sampling
+
+    df = spark.range(400_000).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 8).cast("double").alias("y"))
+    for size in (25_600, 1_500):
+        drawn = sampling.bounded_sample(df, df.columns, size, 400_000, 42, unique=False)
+        counts = [r["count"] for r in drawn.groupBy("x", "y").count().collect()]
+        assert sum(counts) == size and len(counts) == 40
+        assert max(counts) < 2 * size / 40
+    spoilt = df.union(spark.createDataFrame([(900.0, 900.0), (-900.0, 5.0)], df.schema))
+    found = anomalies.multivariate_anomalies(spoilt, ["x", "y"], 0.000004, "elliptic_envelope")
+    assert {r["x"] for r in found.orderBy("score").limit(2).collect()} == {900.0, -900.0}
+    flagged = anomalies.multivariate_anomalies(df, ["x", "y"], 0.05).where("is_anomaly").count()
+    assert 0 < flagged <= 20_000
+
+
+def test_mean_filling_leaves_complete_columns_alone(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1, None), (big + 1, None, "a"), (big + 2, 4, "a")], "id long, x int, t string")
+    got = cleaning.fill_means_and_modes(df)
+    assert dict(got.dtypes) == {"id": "bigint", "x": "double", "t": "string"}
+    assert sorted(map(tuple, got.collect())) == [(big, 1.0, "a"), (big + 1, 2.5, "a"), (big + 2, 4.0, "a")]
+
+
+@pytest.mark.parametrize("size", [4000, 6000])
+def test_skewed_groups_are_never_taken_for_normal(spark, size):
+    """The test must not change only because groups outgrow the range of Shapiro-Wilk."""
+    rng = np.random.default_rng(size)
+    grp = np.repeat(["a", "b"], size)
+    skewed, normal = rng.lognormal(size=2 * size), rng.normal(size=2 * size)
+    df = frame(spark, {"g": grp, "skewed": skewed, "normal": normal})
+    got = {r["column"]: r for r in hypothesis.compare_groups(df, "g", ["skewed", "normal"]).collect()}
+    assert got["skewed"]["test"] == "kruskal_wallis" and not got["skewed"]["assumptions_met"]
+    assert got["normal"]["test"] == "anova" and got["normal"]["assumptions_met"]
+    tested = {(r["column"], r["test"]) for r in hypothesis.shapiro(df, "g", ["skewed"]).collect()}
+    assert tested == {("skewed", "shapiro_wilk" if size <= 5000 else "anderson_darling")}
+
+
+def test_exact_u_has_no_limit_on_the_larger_sample():
+    small = hypothesis._exact_u_tail(20.0, 3, 9)
+    brute = [sum(1 for a in pick for b in range(12) if b not in pick and a > b) for pick in __import__("itertools").combinations(range(12), 3)]
+    assert small == pytest.approx(sum(u >= 20 for u in brute) / len(brute))
+    assert 0.4 < hypothesis._exact_u_tail(100_000.0, 2, 100_000) < 0.6

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.catalog.registry import table
 from tidemark.sources import readers
@@ -29,6 +30,38 @@ def test_json_array_and_lines(spark, tmp_path):
         assert dict(df.dtypes)["when"].startswith("timestamp")
 
 
+def test_json_lines_are_read_whole_by_default(spark, tmp_path):
+    lines, array = tmp_path / "lines.json", tmp_path / "array.json"
+    lines.write_text("\n" + "\n".join(json.dumps({"id": i}) for i in range(3)))
+    array.write_text("\n  [" + ",\n".join(json.dumps({"id": i}) for i in range(4)) + "]")
+    assert readers.read_table(spark, str(lines)).count() == 3
+    assert readers.read_table(spark, str(array)).count() == 4
+
+
+def test_csv_quotes_commas_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('id,said,n\n1,"say ""hi"", ok",2\n2,"a, b",3\n')
+    df = readers.read_table(spark, str(path))
+    assert sorted(map(tuple, df.collect())) == [(1, 'say "hi", ok', 2), (2, "a, b", 3)]
+    path.write_text('id,said\n1,"two\nlines"\n2,one\n')
+    df = readers.read_table(spark, str(path), csv_multiline=True)
+    assert sorted(map(tuple, df.collect())) == [(1, "two\nlines"), (2, "one")]
+
+
+def test_malformed_csv_rows_are_counted(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("id,x\n1,2\nfew\n3,4,5\n6,7\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("x", T.IntegerType())])
+    assert tuple(readers.malformed_rows(spark, str(path), schema).first())[:2] == (4, 2)
+
+
+def test_a_keyed_sample_does_not_depend_on_partitions(spark):
+    df = spark.range(20_000)
+    one = {r["id"] for r in readers.sample_rows(df.repartition(1), 0.1, keys=["id"]).collect()}
+    assert one == {r["id"] for r in readers.sample_rows(df.repartition(7), 0.1, keys=["id"]).collect()}
+    assert abs(len(one) - 2000) < 200
+
+
 def test_parquet_round_trip_limit_and_unknown_suffix(spark, folder, tmp_path):
     out = str(tmp_path / "part.parquet")
     readers.write_table(table(spark, folder, "part"), out)

@@ -250,7 +250,7 @@ def missing_drop_rows(spark, folder):
     "missing_mean_and_mode",
     f"""WITH f AS (SELECT avg(c_acctbal) AS a, avg(c_nationkey) AS k, (SELECT c_mktsegment FROM {_SPARSE}
       WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS m FROM {_SPARSE})
-    SELECT c_custkey::DOUBLE AS c_custkey, round(coalesce(c_nationkey, k), 6) AS c_nationkey,
+    SELECT c_custkey, round(coalesce(c_nationkey, k), 6) AS c_nationkey,
     round(coalesce(c_acctbal, a), 6) AS c_acctbal, coalesce(c_mktsegment, m) AS c_mktsegment FROM {_SPARSE}, f""",
 )
 def missing_mean_and_mode(spark, folder):

@@ -34,12 +34,17 @@ def drop_constant_columns(df: DataFrame) -> DataFrame:
 
 
 def fill_means_and_modes(df: DataFrame) -> DataFrame:
-    """Numbers take the column mean, other columns their mode (tie: smallest)."""
+    """Numbers take the column mean, other columns their mode (tie: smallest).
+
+    Columns with nothing missing stay as they are; a filled number column is double.
+    """
     fills: dict[str, object] = {}
     numbers = numeric_columns(df)
     if numbers:
-        for r in summarise(df, numbers, lambda c: {"v": F.avg(as_double(df, c))}).collect():
-            fills[r["column"]] = r["v"]
+        measured = summarise(
+            df, numbers, lambda c: {"v": F.avg(as_double(df, c)), "gaps": F.count_if(as_double(df, c).isNull())}
+        )
+        fills |= {r["column"]: r["v"] for r in measured.collect() if r["gaps"]}
     texts = string_columns(df)
     if texts:
         order = F.struct(-F.col("count"), F.col("value"))

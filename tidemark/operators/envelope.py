@@ -75,7 +75,12 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndar
 
 
 def fit_envelope(
-    points: DataFrame, columns: Sequence[str], keys: Sequence[str], seed: int = 42, small_values: int = SMALL_VALUES
+    points: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    seed: int = 42,
+    small_values: int = SMALL_VALUES,
+    unique: bool = True,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Reweighted minimum-covariance-determinant estimate over all rows of ``points``.
 
@@ -85,7 +90,7 @@ def fit_envelope(
     d, total = len(columns), points.count()
     if total < d + 1:
         raise ValueError("too few complete rows for an envelope")
-    start = bounded_sample(points, keys, START_ROWS, total, seed).select(*columns).toPandas().to_numpy(dtype=float)
+    start = bounded_sample(points, keys, START_ROWS, total, seed, unique).select(*columns).toPandas().to_numpy(dtype=float)
     mean, cov = concentrate(start, np.random.default_rng(seed))
     half = math.ceil(0.5 * (total + d + 1)) / total
     last = math.inf
@@ -125,7 +130,7 @@ def elliptic_envelope(
         }
     )
     complete = freeze(scaled.select(*dict.fromkeys([*keys, *columns])).dropna(subset=columns))
-    mean, cov = fit_envelope(complete, columns, keys, seed, small_values)
+    mean, cov = fit_envelope(complete, columns, keys, seed, small_values, set(keys) != set(df.columns))
     cut = scalar_quantiles(
         complete.withColumn("__s", -mahalanobis(columns, mean, cov)), "__s", {"cut": contamination}, small_values
     )["cut"]

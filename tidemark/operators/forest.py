@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.types import as_double
 from tidemark.operators.sampling import bounded_sample, key_hash
+from tidemark.plans.shipping import ship_package
 from tidemark.plans.quantiles import SMALL_VALUES, scalar_quantiles
 from tidemark.plans.storage import freeze
 
@@ -88,8 +89,9 @@ def fit_forest(
 ) -> Forest:
     """Grow each tree from its own sample of rows; at most ``trees * sample`` rows leave the scan.
 
-    ``keys`` should identify a row, so that the sample treats copies as separate rows.
+    ``keys`` should identify a row; when they are all columns, equal rows are counted as copies.
     """
+    ship_package(df.sparkSession)
     wide = df.select(*[F.col(f"`{k}`").alias(f"k_{k}") for k in keys],
                      *[as_double(df, f).alias(f"f{i}") for i, f in enumerate(features)]).dropna(
         subset=[f"f{i}" for i in range(len(features))]
@@ -100,7 +102,7 @@ def fit_forest(
     if total < 10:
         raise ValueError("an isolation forest needs at least ten complete rows")
     size = min(sample, total)
-    pool = bounded_sample(wide, named, trees * size, total, seed)
+    pool = bounded_sample(wide, named, trees * size, total, seed, unique=set(keys) != set(df.columns))
     if total >= trees * size:
         # The pool is in random order: deal it to the trees in turn.
         numbered = pool.withColumn("tree", ((F.row_number().over(W.orderBy("__h")) - 1) % trees).cast("int"))
@@ -131,7 +133,9 @@ def fit_forest(
 
 def forest_score(df: DataFrame, forest: Forest, features: Sequence[str]) -> Column:
     """Score column; null where a feature is missing."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    ship_package(df.sparkSession)
+    parts = (forest.feature, forest.threshold, forest.left, forest.right, forest.path, forest.depth, forest.sample)
+    shared = df.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("double")
     def score(frame: pd.DataFrame) -> pd.Series:
@@ -139,7 +143,7 @@ def forest_score(df: DataFrame, forest: Forest, features: Sequence[str]) -> Colu
         good = ~np.isnan(x).any(axis=1)
         out = np.full(len(x), np.nan)
         if good.any():
-            out[good] = shared.value.score(x[good])
+            out[good] = Forest(*shared.value).score(x[good])
         return pd.Series(out)
 
     raw = score(F.struct(*[as_double(df, f).alias(f"f{i}") for i, f in enumerate(features)]))

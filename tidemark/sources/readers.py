@@ -30,27 +30,56 @@ def read_table(
     path: str,
     schema: T.StructType | None = None,
     row_limit: int | None = None,
-    json_lines: bool = False,
+    json_lines: bool | None = None,
     csv_sampling: float = 1.0,
+    csv_multiline: bool = False,
 ) -> DataFrame:
     """Read a table by file suffix: ``.parquet``, ``.csv`` or ``.json``.
 
     CSV and JSON types are inferred unless a schema is given, and text columns in
-    which every value is a date become timestamps.
+    which every value is a date become timestamps.  JSON is one object per line
+    unless the first character is ``[``; ``json_lines`` settles it beforehand.
+    Quotes inside quoted CSV fields are doubled; fields with line breaks need
+    ``csv_multiline``, which reads each file in one task.  A row limit applies
+    before dates are looked for.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if suffix == "parquet":
         df = reader.parquet(path)
     elif suffix == "csv":
-        df = reader.csv(path, header=True, inferSchema=schema is None, samplingRatio=csv_sampling)
+        df = reader.csv(
+            path, header=True, inferSchema=schema is None, samplingRatio=csv_sampling, quote='"', escape='"',
+            multiLine=csv_multiline,
+        )
     elif suffix == "json":
-        df = reader.json(path, multiLine=not json_lines)
+        lines = not _starts_array(spark, path) if json_lines is None else json_lines
+        df = reader.json(path, multiLine=not lines)
     else:
         raise ValueError(f"unsupported file format: .{suffix}")
-    if schema is None and suffix != "parquet":
-        df = promote_dates(df)
-    return df.limit(row_limit) if row_limit is not None else df
+    if row_limit is not None:
+        df = df.limit(row_limit)
+    return promote_dates(df) if schema is None and suffix != "parquet" else df
+
+
+def _starts_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with anything on it starts with ``[``."""
+    line = spark.read.text(path).where("trim(value) != ''").first()
+    return line is not None and line["value"].lstrip("\ufeff \t\r\n").startswith("[")
+
+
+def malformed_rows(spark: SparkSession, path: str, schema: T.StructType, csv_multiline: bool = False) -> DataFrame:
+    """(rows, malformed, checksum) of a CSV file: malformed are rows that do not fit the schema."""
+    mark = "_malformed"
+    wide = T.StructType([*schema.fields, T.StructField(mark, T.StringType())])
+    df = spark.read.schema(wide).csv(
+        path, header=True, quote='"', escape='"', multiLine=csv_multiline, columnNameOfCorruptRecord=mark
+    )
+    # the marker cannot be read alone, so the other columns give a checksum
+    others = F.xxhash64(*[F.col(f"`{f.name}`") for f in schema])
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count(mark).alias("malformed"), F.bit_xor(others).alias("checksum")
+    )
 
 
 def spread(df: DataFrame, parts: int = 32) -> DataFrame:
@@ -63,9 +92,17 @@ def spread(df: DataFrame, parts: int = 32) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """A seeded random sample (an opt-in operator; nothing else here samples)."""
-    return df.sample(fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """A seeded random sample (an opt-in operator; nothing else here samples).
+
+    With ``keys``, which should identify a row, rows are chosen by the MD5 digest
+    of seed and keys, so the choice does not depend on order or partitioning.
+    """
+    if not keys:
+        return df.sample(fraction=fraction, seed=seed)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in keys])
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return df.where(number < F.lit(int(fraction * (1 << 32))))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:
