@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import sqlmath
 from tidemark.catalog.basics import MEASURES
 from tidemark.catalog.inference import (
+    _anderson,
     _CATEGORY_ORDERS, _R_P, _anova_core, _bh, _chi_square, _kruskal, _stacked, category_orders,
 )
 from tidemark.catalog.registry import query, rounded, table, union_all
@@ -597,10 +598,11 @@ def _driver_test(group: str) -> str:
     spread = f'SELECT "column", grp, abs(v - median(v) OVER (PARTITION BY "column", grp)) AS v FROM ({rows})'
     f_of = lambda core: f"(SELECT *, (between / (groups - 1)) / (inner_ss / (n - groups)) AS f FROM ({_anova_core(core)}))"
     p_of = sqlmath.f_tail("f", "(groups - 1)", "(n - groups)")
-    return f"""SELECT '{group}' AS factor, CASE WHEN lp > 0.05 THEN 'anova' ELSE 'kruskal_wallis' END AS test,
-      CASE WHEN lp > 0.05 THEN f ELSE h END AS statistic, CASE WHEN lp > 0.05 THEN fp ELSE hp END AS p_value
+    met = "lp > 0.05 AND np > 0.05"
+    return f"""SELECT '{group}' AS factor, CASE WHEN {met} THEN 'anova' ELSE 'kruskal_wallis' END AS test,
+      CASE WHEN {met} THEN f ELSE h END AS statistic, CASE WHEN {met} THEN fp ELSE hp END AS p_value
       FROM (SELECT f, {p_of} AS fp FROM {f_of(rows)}), (SELECT {p_of} AS lp FROM {f_of(spread)}),
-      (SELECT statistic AS h, p_value AS hp FROM ({_kruskal(rows)}))"""
+      (SELECT statistic AS h, p_value AS hp FROM ({_kruskal(rows)})), (SELECT np FROM ({_anderson(rows)}))"""
 
 
 _DRIVER_TESTS = _driver_test("l_returnflag") + " UNION ALL " + _driver_test("l_linestatus")
