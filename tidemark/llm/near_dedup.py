@@ -8,10 +8,10 @@ and the labels a shingle meets are one contiguous slice of the label table.
 
 32 bands of four coordinates: a pair at similarity 0.75 shares none with a
 probability of 5e-6.  Equal sets are one class from the start.  In a bucket every
-class is compared with the smallest one; where a bucket still holds several
-components, classes of different components in it are compared as well, so no
-pair that shares a bucket and could be a new link is left out, and copies of one
-text are never paired with each other.  Every candidate is confirmed on the whole
+class is compared with the smallest one.  The classes of buckets that still hold
+several components meet across components by an exact prefix filter, so no new
+link between them is left out, classes already joined are not paired again, and a
+passage that many documents share pairs none of them.  Every candidate is confirmed on the whole
 sets, by integers: 100 * intersection >= 75 * union.
 
 Shingles are compared by 64-bit hashes of their five word hashes.
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, freeze, keep_rows, query, table, whole_text
@@ -161,6 +162,36 @@ def _could(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def pairs_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that could be similar enough.
+
+    An exact prefix filter.  Such a pair shares at least percent of the shingles of
+    either side, and none that lies in one component only.  So a class needs that
+    many shingles that lie in several components, and with these in order from the
+    rarest on, the pair must share one among the first k - needed + 1 of both.
+    Shingles that many components share stand last and bring no pairs together.
+    """
+    one = sets.join(placed, sets["row"] == placed["class"]).select(
+        "class", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s")
+    )
+    one = one.withColumn("needed", F.ceil(F.col("size") * percent / 100))
+    spread = one.groupBy("s").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    common = one.join(spread.where("lo < hi").select("s", "n"), "s")
+    enough = common.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.min("needed").alias("least")).where("k >= least")
+    ranked = common.join(enough.drop("least"), "class").withColumn(
+        "rank", F.row_number().over(W.partitionBy("class").orderBy("n", "s"))
+    )
+    first = ranked.where("rank <= k - needed + 1").withColumn("rest", F.col("k") - F.col("rank") + 1)
+    first = freeze(first.select("class", "component", "size", "s", "rest"))
+    left, right = (first.select("s", *[F.col(c).alias(f"{c}_{x}") for c in first.columns if c != "s"]) for x in "ab")
+    # at the first shingle that a pair shares, what is left of both must hold the whole intersection
+    reach = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
+    met = left.join(right, "s").where((F.col("component_a") < F.col("component_b")) & reach)
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
 def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows_: int = ROWS) -> DataFrame:
     """(row, size, component) of (row, text) with distinct rows; empty sets are components of their own."""
     sketch = freeze(sketches(rows, bands, rows_))
@@ -184,14 +215,11 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     nodes = classes.select(F.col("class").alias("node"))
     found = freeze(connected_components(nodes, links))
 
-    # buckets that hold several components: compare across them
-    placed = shared.select("key", "class", "size").join(found.withColumnRenamed("node", "class"), "class")
+    # buckets that still hold several components
+    placed = shared.select("key", "class").join(found.withColumnRenamed("node", "class"), "class")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = freeze(placed.join(mixed.select("key"), "key"))
-    left = open_.select("key", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("of_a"))
-    right = open_.select("key", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("of_b"))
-    across = left.join(right, "key").where((F.col("of_a") < F.col("of_b")) & _could("size_a", "size_b", percent))
-    across = freeze(across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    open_ = placed.join(mixed.select("key"), "key").select("class", "component").distinct()
+    across = freeze(pairs_across(open_, sets, percent).join(stars, ["a", "b"], "left_anti"))
     more = freeze(confirm(across, sets, percent))
     if not more.isEmpty():
         found = freeze(connected_components(nodes, links.union(more)))
