@@ -14,8 +14,9 @@ Skew: equal texts are found first by digest; one of them takes part and the othe
 are known to be covered.  A minimiser that holds more than a quarter of a
 partition's share of the super-k-mers that travel is hot; there are at most four
 per shuffle partition.  Its windows are not gathered by bucket: each is a key of its own, the
-smallest document comes from a partial aggregation, and a join, which adaptive
-execution can split, brings it back to the occurrences.
+smallest document comes from a partial aggregation, and a join brings it back to
+the occurrences: by broadcast below a checked size, else by a shuffle, which
+adaptive execution can split.
 
 Defined results: a null or empty text has no words; a document with fewer words
 than a window loses nothing; rows without an id count as later than all others;
@@ -263,9 +264,10 @@ def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
 
     windows = rows.mapInArrow(cut, "doc long, mark long, at long, packed binary")
     first = windows.groupBy("packed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first")
-    return windows.join(first.drop("last"), "packed").where("doc > first").select(
-        "doc", "mark", "at", F.lit(1).cast("long").alias("n")
-    )
+    stored = freeze(first.drop("last"))
+    width = stored.agg(F.sum(F.length("packed") + 48)).first()[0] or 0
+    few = F.broadcast(stored) if width <= BROADCAST_BYTES else stored
+    return windows.join(few, "packed").where("doc > first").select("doc", "mark", "at", F.lit(1).cast("long").alias("n"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
