@@ -386,3 +386,56 @@ def test_exact_u_has_no_limit_on_the_larger_sample():
     brute = [sum(1 for a in pick for b in range(12) if b not in pick and a > b) for pick in __import__("itertools").combinations(range(12), 3)]
     assert small == pytest.approx(sum(u >= 20 for u in brute) / len(brute))
     assert 0.4 < hypothesis._exact_u_tail(100_000.0, 2, 100_000) < 0.6
+
+
+def test_description_in_one_call_and_profile_with_normality(spark):
+    df = frame(spark, {"x": [float(i % 7) for i in range(40)], "t": ["a", "b"] * 20})
+    parts = describe.describe_dataset(df)
+    assert {"overview", "types", "missing", "missing_summary", "numeric", "categorical"} == set(parts)
+    assert all(p.count() > 0 for p in parts.values())
+    whole = profile.profile_table(df)
+    assert whole["normality"].first()["test"] == "shapiro_wilk" and whole["types"].count() == 2
+
+
+def test_pairs_follow_a_significant_comparison(spark):
+    rng = np.random.default_rng(3)
+    df = frame(spark, {
+        "g": np.repeat(["a", "b", "c"], 60), "far": np.concatenate([rng.normal(m, 1, 60) for m in (0, 0, 9)]),
+        "same": rng.normal(0, 1, 180), "skewed": np.concatenate([rng.lognormal(m, 1, 60) for m in (0, 0, 3)]),
+    })
+    compared = hypothesis.compare_groups(df, "g", ["far", "same", "skewed"])
+    pairs = hypothesis.follow_up(df, "g", compared).collect()
+    assert {(r["column"], r["test"]) for r in pairs} == {("far", "t_test"), ("skewed", "mann_whitney")}
+    small = {(r["column"], r["group1"], r["group2"]) for r in pairs if r["p_value"] < 0.001}
+    assert small == {(c, a, "c") for c in ("far", "skewed") for a in ("a", "b")}
+
+
+def test_series_and_groups_too_small_are_named_with_a_reason(spark):
+    rows = [(u, f"2024-01-{d + 1:02d}", float(d)) for u, n in (("a", 9), ("b", 12)) for d in range(n)]
+    df = spark.createDataFrame(rows, "u string, d string, v double").withColumn("d", F.to_timestamp("d"))
+    short = anomalies.short_series(df, "d", "v", [], ["u"]).collect()
+    assert [(r["u"], r["n"]) for r in short] == [("a", 9)] and "at least 10" in short[0]["reason"]
+    few = bootstrap.undrawn_groups(df, "u", ["v"]).collect()
+    assert [(r["grp"], r["n"], r["median"]) for r in few] == [("a", 9, 4.0)]
+
+
+def test_one_short_series_does_not_cost_the_others_their_lags(spark):
+    rng = np.random.default_rng(1)
+    days = pd.date_range("2024-01-01", periods=200)
+    long = pd.DataFrame({"u": "long", "d": days, "v": rng.normal(size=200)})
+    mid = pd.DataFrame({"u": "mid", "d": days[:25], "v": rng.normal(size=25)})
+    found = anomalies.series_forest_anomalies(spark.createDataFrame(pd.concat([long, mid])), "d", "v", [], ["u"])
+    counts = {r["u"]: r["count"] for r in found.groupBy("u").count().collect()}
+    assert counts["long"] == 170 and counts["mid"] == 18
+
+
+def test_statistics_are_joined_by_their_bytes(spark, monkeypatch):
+    from tidemark.plans import joining
+
+    rows = spark.range(50).select((F.col("id") % 5).alias("k"), "id")
+    stats = spark.range(5).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("wide"))
+    stored = joining.freeze(stats)
+    assert 5000 < joining.stored_bytes(stored) < 6000
+    one = sorted(map(tuple, joining.attach(rows, stats, ["k"]).collect()))
+    monkeypatch.setattr(joining, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, joining.attach(rows, stats, ["k"]).collect())) == one and len(one) == 50

@@ -648,10 +648,10 @@ def schema_info(spark, folder):
     n AS (SELECT count(*) AS rows, (1 - count(rich) / count(*)) * 100 AS pct FROM d),
     u AS (SELECT count(*) AS kinds FROM (SELECT DISTINCT * FROM d))
     SELECT 'high_missing_values' AS type, 'rich' AS "column", CASE WHEN pct > 80 THEN 'high' ELSE 'medium' END AS severity,
-      printf('Column ''rich'' has %.1f%% missing values', pct) AS description FROM n WHERE pct > 50
-    UNION ALL SELECT 'constant_column', 'same', 'medium', 'Column ''same'' has only one unique value'
+      printf('%.1f%% of the values of ''rich'' are missing', pct) AS description FROM n WHERE pct > 50
+    UNION ALL SELECT 'constant_column', 'same', 'medium', '''same'' holds the same value everywhere'
     UNION ALL SELECT 'duplicate_rows', NULL, CASE WHEN (rows - kinds) / rows * 100 > 10 THEN 'high' ELSE 'medium' END,
-      printf('%d duplicate rows (%.1f%%)', rows - kinds, (rows - kinds) / rows * 100) FROM n, u WHERE rows > kinds""",
+      printf('%d rows (%.1f%%) repeat another one', rows - kinds, (rows - kinds) / rows * 100) FROM n, u WHERE rows > kinds""",
 )
 def detect_issues(spark, folder):
     df = table(spark, folder, "customer").select(

@@ -26,6 +26,8 @@ IQR_MULTIPLIER = 1.5
 Z_THRESHOLD = 3.0
 SERIES_THRESHOLD = 2.0
 LAGS = (1, 7, 30)
+# Fewest points of a series that is judged.
+SERIES_LEAST = 10
 
 
 def iqr_bounds(
@@ -317,7 +319,7 @@ def _series(
     require_columns(df, [date, value, *ties, *keys])
     kept = df.where(F.col(f"`{date}`").isNotNull() & as_double(df, value).isNotNull())
     placed = with_position(kept, [date, *ties], keys)
-    return placed.where("n >= 10"), kept
+    return placed.where(F.col("n") >= SERIES_LEAST), kept
 
 
 def _window_size(placed: DataFrame, keys: Sequence[str], size) -> Column | int:
@@ -383,12 +385,36 @@ def series_forest_anomalies(
     keys: Sequence[str] = (),
     small_values: int = SMALL_VALUES,
 ) -> DataFrame:
-    """Isolation forest over the series features; contamination 0.1 above 100 rows, else 0.05."""
+    """Isolation forest over the series features; contamination 0.1 above 100 rows, else 0.05.
+
+    A series no longer than a lag has no such feature.  Series are therefore
+    judged by length, those with the same usable lags together.
+    """
     features = freeze(series_features(df, date, value, ties, keys))
-    columns = [value, "hour", "day_of_week", "day_of_month", "month", "rolling_mean", "rolling_std"]
-    # A series no longer than a lag has no such feature; the lag is then left out for all.
-    shortest = features.agg(F.min("n").alias("n")).first()["n"]
-    columns += [f"lag_{k}" for k in LAGS if shortest is not None and shortest > k]
-    complete = features.dropna(subset=columns)
-    contamination = 0.1 if complete.count() > 100 else 0.05
-    return isolation_forest(complete, columns, [*keys, "pos"], contamination, small_values=small_values)
+    base = [value, "hour", "day_of_week", "day_of_month", "month", "rolling_mean", "rolling_std"]
+    found = None
+    for i in range(len(LAGS) + 1):
+        lags, longer = LAGS[:i], LAGS[i:]
+        own = features.where((F.col("n") > F.lit(lags[-1] if lags else 0)) & (F.col("n") <= F.lit(longer[0] if longer else 1 << 62)))
+        columns = [*base, *[f"lag_{k}" for k in lags]]
+        complete = own.dropna(subset=columns)
+        rows = complete.count()
+        if rows < 10:
+            continue
+        part = isolation_forest(
+            complete, columns, [*keys, "pos"], 0.1 if rows > 100 else 0.05, small_values=small_values
+        )
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError("no series is long enough to be judged")
+    return found
+
+
+def short_series(
+    df: DataFrame, date: str, value: str, ties: Sequence[str], keys: Sequence[str], least: int = SERIES_LEAST
+) -> DataFrame:
+    """(keys, n, reason) of the series that are too short to be judged."""
+    require_columns(df, [date, value, *ties, *keys])
+    kept = df.where(F.col(f"`{date}`").isNotNull() & as_double(df, value).isNotNull())
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
+    return sizes.withColumn("reason", F.format_string("%d points, at least %d are needed", "n", F.lit(least)))

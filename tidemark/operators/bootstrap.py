@@ -102,6 +102,15 @@ def median_intervals(
     return _limits(median_draws(grouped_values(df, group, targets), draws, seed), "median", _KEYS)
 
 
+def undrawn_groups(df: DataFrame, group: str, targets: Sequence[str]) -> DataFrame:
+    """(column, grp, n, median, reason) of the groups with too few values for a bootstrap interval."""
+    long = grouped_values(df, group, targets)
+    sizes = long.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < MIN_VALUES)
+    few = attach(long, sizes, _KEYS)
+    medians = few.groupBy(*_KEYS, "n").agg(F.median("value").alias("median"))
+    return medians.withColumn("reason", F.format_string("%d values, at least %d are needed", "n", F.lit(MIN_VALUES)))
+
+
 def median_difference_interval(
     df: DataFrame, group: str, first: str, second: str, target: str, draws: int = DRAWS, seed: int = 42
 ) -> DataFrame:

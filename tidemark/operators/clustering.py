@@ -75,10 +75,12 @@ def elbow(costs: Sequence[float], first_k: int = 2, largest: int = LARGEST_K) ->
     return min(first_k + 1 + drops.index(max(drops)), largest)
 
 
-def choose_k(vectors: DataFrame, seed: int = 42, candidates: Sequence[int] = CANDIDATE_K) -> int:
-    """Number of clusters from the training cost of each candidate; one fit per k."""
+def choose_k(
+    vectors: DataFrame, seed: int = 42, candidates: Sequence[int] = CANDIDATE_K, largest: int = LARGEST_K
+) -> int:
+    """Number of clusters, at most ``largest``, from the training cost of each candidate; one fit per k."""
     costs = [fit_kmeans(vectors, k, seed).summary.trainingCost for k in candidates]
-    return elbow(costs, candidates[0])
+    return elbow(costs, candidates[0], largest)
 
 
 def kmeans(
@@ -87,12 +89,13 @@ def kmeans(
     k: int | None = None,
     seed: int = 42,
     small_values: int = SMALL_VALUES,
+    largest: int = LARGEST_K,
 ) -> DataFrame:
     """Complete rows with a ``cluster`` column (0 … k-1), clipped and scaled features."""
     features = choose_features(df) if features is None else list(features)
     prepared = freeze(prepare_features(df, features, small_values))
     vectors = _vectors(prepared, features)
-    k = choose_k(vectors, seed) if k is None else k
+    k = choose_k(vectors, seed, largest=largest) if k is None else k
     return fit_kmeans(vectors, k, seed).transform(vectors).drop("vector")
 
 

@@ -144,6 +144,23 @@ def missing_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def describe_dataset(df: DataFrame) -> dict[str, DataFrame]:
+    """The whole description in one call, each part its own lazy table."""
+    parts = {
+        "overview": overview(df),
+        "types": type_counts(df),
+        "missing": missing_by_column(df),
+        "missing_summary": missing_summary(df),
+    }
+    if numeric_columns(df):
+        parts["numeric"] = describe_numeric(df)
+    if string_columns(df):
+        parts["categorical"] = describe_categorical(df)
+    if datetime_columns(df):
+        parts["datetime"] = describe_datetime(df)
+    return parts
+
+
 def type_counts(df: DataFrame) -> DataFrame:
     """Number of columns per type and the groups they fall in (schema only)."""
     rows = [(f.dataType.simpleString(), type_group(df, f.name)) for f in df.schema]

@@ -70,13 +70,17 @@ def category_candidates(df: DataFrame, min_levels: int = 2, max_levels: int = 10
 
 
 def category_drivers(
-    df: DataFrame, target: str | None = None, categories: Sequence[str] | None = None, min_rows: int = 10
+    df: DataFrame,
+    target: str | None = None,
+    categories: Sequence[str] | None = None,
+    min_rows: int = 10,
+    levels: tuple[int, int] = (2, 10),
 ) -> DataFrame:
     """Does the target differ between the levels of each category?  BH-corrected."""
     target = pick_target(df) if target is None else target
-    categories = category_candidates(df) if categories is None else list(categories)
+    categories = category_candidates(df, *levels) if categories is None else list(categories)
     if not categories:
-        raise ValueError("no category column with 2 to 10 levels")
+        raise ValueError(f"no category column with {levels[0]} to {levels[1]} levels")
     tests = None
     for c in categories:
         one = compare_groups(df, c, [target], min_size=min_rows).withColumn("column", F.lit(c))
@@ -101,15 +105,15 @@ def most_variable(df: DataFrame, k: int = 8) -> list[str]:
 
 
 def bottlenecks(
-    df: DataFrame, columns: Sequence[str] | None = None, small_values: int = SMALL_VALUES
+    df: DataFrame, columns: Sequence[str] | None = None, small_values: int = SMALL_VALUES, k: int = 8
 ) -> DataFrame:
     """Rows far above the usual load of each column: count, severity, frequency and score.
 
-    Default columns are those named like a load, else the eight most variable.
+    Default columns are those named like a load, else the ``k`` most variable.
     """
     if columns is None:
         named = [c for c in numeric_columns(df) if any(w in c.lower() for w in LOAD_WORDS)]
-        columns = named or most_variable(df)
+        columns = named or most_variable(df, k)
     require_columns(df, columns)
     if not columns:
         raise ValueError("no numeric columns")

@@ -128,6 +128,11 @@ def apply_filters(
     raise ValueError(f"unknown on_empty: {on_empty}")
 
 
+def filter_sample(df: DataFrame, filters: Mapping[str, object] | Sequence[Spec], k: int = 10) -> DataFrame:
+    """``k`` of the rows that pass a filter chain, for its report."""
+    return apply_filters(df, filters).limit(k)
+
+
 def filter_accounting(df: DataFrame, filters: Mapping[str, object] | Sequence[Spec]) -> DataFrame:
     """Rows before and after each step of a filter chain, from one pass."""
     steps = [(s, p) for s in as_specs(filters) if (p := predicate(df, s)) is not None]

@@ -522,6 +522,27 @@ def compare_groups(
     )
 
 
+def follow_up(df: DataFrame, group: str, compared: DataFrame) -> DataFrame:
+    """(column, group1, group2, test, statistic, p_value) of all pairs of groups of the targets that differ.
+
+    ``compared`` is the result of ``compare_groups``: t-tests follow an ANOVA,
+    Mann-Whitney tests a Kruskal-Wallis test.  p-values are not corrected yet.
+    """
+    # One row per target.
+    chosen = {r["column"]: r["test"] for r in compared.where("significant").select("column", "test").collect()}
+    names = ["group1", "group2", "test", "statistic", "p_value"]
+    out = df.sparkSession.createDataFrame(
+        [], "column string, group1 string, group2 string, test string, statistic double, p_value double"
+    )
+    for target, test in chosen.items():
+        if test == "anova":
+            pairs = pairwise_t_tests(df, group, [target]).withColumn("test", F.lit("t_test"))
+        else:
+            pairs = pairwise_mann_whitney(df, group, target).withColumn("test", F.lit("mann_whitney"))
+        out = out.union(pairs.select(F.lit(target).alias("column"), *names))
+    return out
+
+
 def compare_two_groups(df: DataFrame, group: str, first: str, second: str, target: str) -> DataFrame:
     """Pooled t-test if both samples look normal with equal variance, else Mann-Whitney."""
     two = df.where(F.col(f"`{group}`").cast("string").isin(first, second))

@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.storage import freeze
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -31,15 +32,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a stored table take."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = 16 * (len(df.columns) + 1)
+    length = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in texts], F.lit(fixed))
+    return df.agg(F.sum(length.cast("long")).alias("b")).first()["b"] or 0
+
+
 def attach(
     rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", stored: bool = False
 ) -> DataFrame:
     """Join per-key statistics to rows.
 
     The statistics are stored once, so checking their size does not compute them
-    twice.  Up to ``BROADCAST_ROWS`` rows they are broadcast; beyond that the join
+    twice.  Up to ``BROADCAST_BYTES`` they are broadcast; beyond that the join
     shuffles, where adaptive execution splits hot keys.
     """
     kept = stats if stored else freeze(stats)
-    small = kept.count() <= BROADCAST_ROWS
+    small = stored_bytes(kept) <= BROADCAST_BYTES
     return null_safe_join(rows, F.broadcast(kept) if small else kept, keys, how)
