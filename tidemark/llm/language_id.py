@@ -142,8 +142,11 @@ def evidence_table(rows: DataFrame, tables, languages: list[str], column: int) -
     return {r["value"]: share[:, j] for j, r in enumerate(kept)}
 
 
-def host_shares(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(__host, __suffix, __share): the smoothed share of each language at each host."""
+def host_shares(rows: DataFrame, languages: list[str], suffixed: bool = True) -> DataFrame:
+    """(__host, __suffix, __share): the smoothed share of each language at each host.
+
+    Without suffixes hosts are smoothed towards the whole corpus.
+    """
 
     def counted(keys: list[str], name: str) -> DataFrame:
         each = [F.sum((F.col("declared") == x).cast("double")).alias(f"c{i}") for i, x in enumerate(languages)]
@@ -162,6 +165,10 @@ def host_shares(rows: DataFrame, languages: list[str]) -> DataFrame:
     overall = counted([], "o").first()["o"]
     flat = [(c + 1.0) / (sum(overall) + len(languages)) for c in overall]
     base = F.array(*[F.lit(p) for p in flat])
+    if not suffixed:
+        hosts = counted(["host"], "h")
+        none = F.lit(None).cast("string").alias("__suffix")
+        return hosts.select(F.col("host").alias("__host"), none, smooth("h", base, HOST_WEIGHT).alias("__share"))
     suffixes = counted(["suffix"], "s").select(F.col("suffix").alias("__s"), smooth("s", base, SUFFIX_WEIGHT).alias("of_suffix"))
     hosts = counted(["host", "suffix"], "h")
     joined = hosts.join(suffixes, hosts["suffix"].eqNullSafe(suffixes["__s"]))
@@ -197,10 +204,12 @@ def identify(
     tables = likelihoods(*count_trigrams(rows.select("text", "declared"), languages))
     of_declared = evidence_table(rows.select("text", "declared", "suffix"), tables, languages, 1)
     of_suffix = {} if suffix is None else evidence_table(rows.select("text", "declared", "suffix"), tables, languages, 2)
-    shares = freeze(host_shares(rows, languages))
+    shares = freeze(host_shares(rows, languages, suffix is not None))
     small = broadcast_if_small(shares, 100 + 8 * len(languages))
     keyed = docs.withColumns({f"__own_{k}": c for k, c in evidence.items()})
-    on = keyed["__own_host"].eqNullSafe(small["__host"]) & keyed["__own_suffix"].eqNullSafe(small["__suffix"])
+    on = keyed["__own_host"].eqNullSafe(small["__host"])
+    if suffix is not None:
+        on &= keyed["__own_suffix"].eqNullSafe(small["__suffix"])
     keyed = keyed.join(small, on, "left").drop("__host", "__suffix", "__own_host")
     flat = np.full(len(languages), 1.0 / len(languages))
     noise_prior, zero = math.log(NOISE_PRIOR), np.zeros(len(languages))
