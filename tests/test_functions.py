@@ -80,3 +80,15 @@ def test_elbow_takes_the_largest_drop_of_gain():
     assert elbow([100.0, 40.0, 30.0, 25.0]) == 3
     assert elbow([100.0, 50.0]) == 2
     assert elbow([1000, 900, 800, 700, 600, 500, 100, 90, 80]) == 6
+
+
+def test_t_tail_keeps_its_digits_at_many_degrees_of_freedom():
+    for dof in (1e5, 1e6, 2e6, 1e8, 1e10, 1e12):
+        assert special.t_two_sided(1.96, dof) == pytest.approx(0.0499957902964409, abs=3e-6 * 1e5 / dof + 2e-9)
+    assert special.f_tail(3.0, 2, 1e10) == pytest.approx(math.exp(-3.0), rel=1e-7)
+
+
+def test_t_quantiles_at_many_sizes():
+    dof = np.array([1.0, 2.0, 2.0, 30.5, 999.0, 1001.0, 1e7])
+    got = special.t_quantiles(0.975, dof)
+    assert got == pytest.approx([special.t_quantile(0.975, float(d)) for d in dof], rel=1e-9)
