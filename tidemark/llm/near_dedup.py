@@ -267,6 +267,25 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keep_rows(docs, id_col, gone, keep=False)
 
 
-@query("op8_minhash_near_dedup")
+@query(
+    "op8_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+        THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+          FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+    r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM d JOIN c ON doc_id = x LEFT JOIN n USING (doc_id)
+    """,
+)
 def op8_minhash_near_dedup(spark, folder):
     return near_dedup(table(spark, folder, "documents"))
