@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.shipping import ship_package
 from tidemark.plans.storage import checkpoint_folder, freeze
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,6 +15,18 @@ ORACLES: dict[str, str] = {}
 
 # Up to so many bytes a stored table is broadcast; beyond that its join shuffles.
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to Python workers, and hand them texts in batches of a bounded number of rows.
+
+    Rows are whole texts, so Spark's ten thousand to a batch would take a task much
+    memory on both sides; a setting that the user has changed stays.
+    """
+    ship_package(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def query(name: str, sql: str | None = None):
@@ -68,6 +81,7 @@ __all__ = [
     "broadcast_if_small",
     "freeze",
     "keep_rows",
+    "prepare",
     "query",
     "shared_folder",
     "shuffle_parts",

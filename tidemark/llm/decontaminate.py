@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_rows, query, table, whole_text
-from tidemark.plans.shipping import ship_package
+from tidemark.llm.common import keep_rows, prepare, query, table, whole_text
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -184,7 +183,7 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of the documents that hold a benchmark item."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     items = benchmark.select(
         F.col(f"`{item_col}`").cast("long").alias("item_id"), whole_text(item_text_col).alias("text")

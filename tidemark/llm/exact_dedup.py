@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import fuse
-from tidemark.llm.common import broadcast_if_small, freeze, query, table, whole_text
-from tidemark.plans.shipping import ship_package
+from tidemark.llm.common import broadcast_if_small, freeze, prepare, query, table, whole_text
 
 # Expected distinct digests of a bucket; its keys and filter fit a task's memory.
 BUCKET_KEYS = 100_000
@@ -58,7 +57,7 @@ class Snapshot:
 
 def build_snapshot(rows: DataFrame) -> Snapshot:
     """Group the (id, sha) rows of a snapshot and store a filter for each of its buckets."""
-    ship_package(rows.sparkSession)
+    prepare(rows.sparkSession)
     groups = freeze(_groups(rows))
     buckets = max(LEAST_BUCKETS, 1 << (groups.count() // BUCKET_KEYS).bit_length())
     groups = groups.withColumn("bucket", _bucket(buckets))

@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
-from tidemark.plans.shipping import ship_package
+from tidemark.llm.common import prepare, query, table
 
 TRAINING_PAGES = 200
 # Features of one node depend on each other; no single one may weigh more.
@@ -381,7 +380,7 @@ def extract(
 ) -> DataFrame:
     """(page_id, url, text, n_chars) per row."""
     spark = pages.sparkSession
-    ship_package(spark)
+    prepare(spark)
     held = spark.sparkContext.broadcast(model or fit(pages, id_col, url_col, html_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

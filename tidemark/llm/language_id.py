@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, freeze, query, table
-from tidemark.plans.shipping import ship_package
+from tidemark.llm.common import broadcast_if_small, freeze, prepare, query, table
 
 BUCKETS = 1 << 15
 # Most frequent declared languages that are told apart.
@@ -185,7 +184,7 @@ def identify(
     suffix: Column | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` and __lang, __confidence, __kept."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     none = F.lit(None).cast("string")
     evidence = {
         "declared": none if declared is None else declared.cast("string"),

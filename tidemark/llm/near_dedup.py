@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, freeze, keep_rows, query, table, whole_text
+from tidemark.llm.common import BROADCAST_BYTES, freeze, keep_rows, prepare, query, table, whole_text
 from tidemark.operators.components import connected_components
-from tidemark.plans.shipping import ship_package
 
 SHINGLE = 5
 RING = 1 << 20
+# How many word hashes a Python worker remembers before it starts anew.
+WORDS_KEPT = 100_000
 BANDS = 32
 ROWS = 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +63,7 @@ def shingle_set(text: str) -> np.ndarray:
     words = text.encode().translate(_LOWER).split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_WORD_HASHES) > 500_000:
+    if len(_WORD_HASHES) > WORDS_KEPT:
         _WORD_HASHES.clear()
     for w in set(words).difference(_WORD_HASHES):
         _WORD_HASHES[w] = xxhash.xxh3_64_intdigest(w)
@@ -231,7 +232,7 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     odd = base.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
     if not odd:

@@ -35,11 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, freeze, query, shuffle_parts, table, whole_text
-from tidemark.plans.shipping import ship_package
+from tidemark.llm.common import BROADCAST_BYTES, freeze, prepare, query, shuffle_parts, table, whole_text
 
 WINDOW = 13
 GRAM = 2
+# How many word hashes a Python worker remembers before it starts anew.
+WORDS_KEPT = 100_000
 # Buckets are judged together until so many super-k-mers are at hand.
 BLOCK_ROWS = 8_000
 NO_ID = (1 << 63) - 1
@@ -51,7 +52,7 @@ _WORD_HASHES: dict[bytes, int] = {}
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word; known words are looked up."""
-    if len(_WORD_HASHES) > 500_000:
+    if len(_WORD_HASHES) > WORDS_KEPT:
         _WORD_HASHES.clear()
     for w in set(words).difference(_WORD_HASHES):
         _WORD_HASHES[w] = xxhash.xxh3_64_intdigest(w)
@@ -273,7 +274,7 @@ def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row; ``kept`` is the text that remains."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     parts = shuffle_parts(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     repeated = base.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0

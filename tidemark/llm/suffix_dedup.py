@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_BYTES, broadcast_if_small, freeze, query, shuffle_parts, table, whole_text
+from tidemark.llm.common import BROADCAST_BYTES, broadcast_if_small, freeze, prepare, query, shuffle_parts, table, whole_text
 from tidemark.llm.induced_sort import suffix_order
-from tidemark.plans.shipping import ship_package
 
 WINDOW = 400
 CONTEXT = 80
@@ -291,7 +290,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists the removed (start, length) runs of bytes.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     parts = shuffle_parts(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     odd = base.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
