@@ -30,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import freeze, query, table, whole_text
-from tidemark.plans.shipping import ship_package
+from tidemark.llm.common import freeze, prepare, query, table, whole_text
 
 TOKENS = 2048
 SEGMENTS = 256
 END_ID = 1
 SHARD_ITEMS = 4096
 
-# How many words, and lower-cased pieces of words, a Python worker remembers before it starts anew.
-WORDS_KEPT = 1_000_000
+# A Python worker's cache has two generations of at most so many words, and as many pieces of words.
+WORDS_KEPT = 150_000
 # A word of these letters followed by ASCII marks is letters and marks to the tokenizer, each encoded by itself.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
@@ -51,6 +50,26 @@ def _bytes(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
+class Memory:
+    """A bounded cache: what is not asked for while a generation fills is forgotten with it."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys that have to be added; known ones are moved to the young generation."""
+        if len(self.young) > WORDS_KEPT:
+            self.old, self.young = self.young, {}
+        missing = []
+        for key in keys.difference(self.young):
+            if key in self.old:
+                self.young[key] = self.old[key]
+            else:
+                missing.append(key)
+        return missing
+
+
 class WordTokenizer:
     """Token ids of whole texts from a tokenizer file that splits at white space.
 
@@ -62,8 +81,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(), Memory()
 
     @staticmethod
     def _split(word: bytes) -> list[str]:
@@ -76,28 +94,24 @@ class WordTokenizer:
         return [p for p in (plain[1].lower(), plain[2]) if p]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces.clear()
-        new = words.difference(self.words)
+        new = self.words.unknown(words)
         parts = list(map(self._split, new))
-        missing = list(set().union(*parts).difference(self.pieces))
+        missing = self.pieces.unknown(set().union(*parts))
         # lower-case ASCII letters reach the model as they are
         plain = [p for p in missing if p.isascii() and p.isalpha() and p.islower()]
         model = self.tokenizer.model.tokenize
-        self.pieces.update([(p, _bytes([t.id for t in model(p)])) for p in plain])
+        self.pieces.young.update([(p, _bytes([t.id for t in model(p)])) for p in plain])
         other = list(set(missing).difference(plain))
         found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self.pieces.update(zip(other, [_bytes(f.ids) for f in found]))
-        get = self.pieces.__getitem__
-        self.words.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]))
+        self.pieces.young.update(zip(other, [_bytes(f.ids) for f in found]))
+        get = self.pieces.young.__getitem__
+        self.words.young.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.encode().split() for t in texts]
         self.learn(set().union(*split))
-        get = self.words.__getitem__
+        get = self.words.young.__getitem__
         for words in split:
             yield b"".join(map(get, words))
 
@@ -111,15 +125,15 @@ def cut_documents(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece of every document."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist())):
                     ids += end
@@ -177,7 +191,7 @@ def pack_pieces(
     pieces: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int = TOKENS, loss_col: str = "length"
 ) -> DataFrame:
     """Add sequence_id and offset to pieces; ``loss_col`` says how many tokens of a piece bear loss."""
-    ship_package(pieces.sparkSession)
+    prepare(pieces.sparkSession)
     stored = freeze(pieces)
     shards = max(1, stored.count() // SHARD_ITEMS)
     capacity = np.array([tokens, segments, loss_tokens])
