@@ -145,6 +145,8 @@ def cut_documents(
                             column.append(value)
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+        # the worker stays for other tasks: only the recent words are worth their memory
+        coder.words.old, coder.pieces.old = {}, {}
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(cut, schema)
