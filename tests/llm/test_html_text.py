@@ -80,3 +80,13 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, ht.extract(df).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (None, "u", "", 0), (2, "u", got[2][2], len(got[2][2]))] * 2, key=str)
     assert ht.extract(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>The ander enst of it, erly.</p></article>", "The ander enst of it, erly."),
+    ("<article><h1>The onshe</h1><p>{}</p><p>Short one.</p></article>".format(PROSE[2].strip()), f"The onshe\n\n{PROSE[2].strip()}\n\nShort one."),
+    ("<html><body><div><h1>A title</h1><p>The ander enst of it, erly.</p><p>So it was.</p></div></body></html>", "A title\n\nThe ander enst of it, erly.\n\nSo it was."),
+])
+def test_tables_of_plain_articles_keep_their_text(spark, page, text):
+    df = spark.createDataFrame([(i, "u", page) for i in range(3)], "page_id long, url string, html string")
+    assert [tuple(r) for r in ht.extract(df).collect()] == [(i, "u", text, len(text)) for i in range(3)]

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import prepare, query, table
 
 TRAINING_PAGES = 200
+# A few samples are set into more layouts each, up to this number together.
+LEAST_LAYOUTS = 60
 # Features of one node depend on each other; no single one may weigh more.
 LEAF_WEIGHT, ELEMENT_WEIGHT = 2.0, 4.0
 
@@ -287,10 +289,26 @@ OTHER_NAMES = (
     "topbar toolbar logo pagination pager tags author bio popup modal overlay"
 ).split()
 
+# What a sample without an article, or without short texts around it, is filled up with.
+PLAIN_PROSE = [
+    "A walk along the river",
+    "The path begins at the old bridge and follows the water for about an hour, past two mills, a row of poplars and "
+    "a meadow that is under water in most winters.",
+    "It is easy to walk. Good shoes help after rain, when the lower part is soft and the stones are slippery.",
+    "Halfway there is a bench, and from it one sees the whole valley, the church on the other side and, on clear "
+    "days, the first of the mountains behind it.",
+    "Nobody knows who put it there.",
+]
+PLAIN_SHORT = ["Home", "About us", "Contact", "Search", "More to read", "Terms of use", "Log in", "Next page", "Help"]
+
 
 def training_pages(samples: list[str]) -> list[str]:
-    """Labelled pages: the texts of each sample set into layouts with known sections."""
+    """Labelled pages: the texts of each sample set into layouts with known sections.
+
+    A sample that lacks an article or short texts gets fixed ones, so every sample gives layouts.
+    """
     out = []
+    turns = max(3, -(-LEAST_LAYOUTS // max(1, len(samples))))
     for k, html in enumerate(samples):
         nodes = parse(html)
         inside = [False] * len(nodes)
@@ -300,10 +318,8 @@ def training_pages(samples: list[str]) -> list[str]:
         prose = [nodes[i].text for i in runs if inside[i]]
         prose = prose or [nodes[i].text for i in runs if len(nodes[i].text.split()) > 20 and not nodes[i].linked]
         short = [nodes[i].text for i in runs if not inside[i] and len(nodes[i].text.split()) <= 20]
-        if not prose or not short:
-            continue
-        for turn in range(3):
-            out.append(_layout(3 * k + turn, prose, short))
+        for turn in range(turns):
+            out.append(_layout(turns * k + turn, prose or PLAIN_PROSE, short or PLAIN_SHORT))
     return out
 
 
