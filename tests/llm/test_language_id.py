@@ -60,3 +60,14 @@ def test_evidence_from_markup_and_address(spark):
     )
     got = df.select(li.declared_in_markup(F.col("h")), li.address_suffix(F.col("u"))).collect()
     assert [tuple(r) for r in got] == [("de", "de"), (None, None), (None, None)]
+
+
+def test_no_row_declares_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "source")
+    odd = spark.createDataFrame([(t, "odd") for t in (None, "", "1234 ---", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059")], docs.schema)
+    rows = docs.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    found = li.identify(rows, "text", F.col("lang"), F.col("source"), F.lit("org")).collect()
+    assert len(found) == 1004 and all(r["__lang"] is None and r["__confidence"] == 0.0 for r in found)
+    assert all(r["__kept"] for r in found if sum(c.isalpha() for c in r["text"] or "") > 0.5 * len(r["text"] or "x"))
+    assert not any(r["__kept"] for r in found if not any(map(str.isalpha, r["text"] or "")))
+    assert li.keep_identified(rows.where("source = 'odd'")).count() == 1

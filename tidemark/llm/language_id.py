@@ -19,8 +19,10 @@ times ``BUCKETS`` and by ``LANGUAGES``.  Host shares are joined to documents by
 broadcast below a checked size and by a join that can be split above it.
 
 Defined results: null and empty texts are rejected with a null language; null or
-unknown evidence counts as none; repeated rows are judged each; an empty table
-gives no rows; all columns of a row are kept as they are.
+unknown evidence counts as none; where no row declares a language there is one
+unnamed model over all documents, which still competes with noise, and every row has
+a null language and confidence 0; repeated rows are judged each; an empty table gives
+no rows; all columns of a row are kept as they are.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def _texts(column: pa.Array) -> Iterator[str]:
     return (t.as_py() or "" for t in column)
 
 
-def count_trigrams(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def count_trigrams(rows: DataFrame, languages: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(languages x BUCKETS trigram counts, 256 byte counts) over all documents."""
     number = {name: i for i, name in enumerate(languages)}
 
@@ -149,7 +151,7 @@ def host_shares(rows: DataFrame, languages: list[str], suffixed: bool = True) ->
 
     def counted(keys: list[str], name: str) -> DataFrame:
         each = [F.sum((F.col("declared") == x).cast("double")).alias(f"c{i}") for i, x in enumerate(languages)]
-        known = rows.where(F.col("declared").isin(languages))
+        known = rows.where("declared is not null" if None in languages else F.col("declared").isin(languages))
         sums = (known.groupBy(*keys) if keys else known).agg(*each)
         counts = F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(len(languages))])
         return sums.select(*keys, counts.alias(name))
@@ -199,7 +201,7 @@ def identify(
     if not languages:
         if docs.isEmpty():
             return docs.selectExpr("*", "cast(null as string) __lang", "0d __confidence", "false __kept")
-        raise ValueError("no document declares a language to learn from")
+        languages = [None]
     tables = likelihoods(*count_trigrams(rows.select("text", "declared"), languages))
     of_declared = evidence_table(rows.select("text", "declared", "suffix"), tables, languages, 1)
     of_suffix = {} if suffix is None else evidence_table(rows.select("text", "declared", "suffix"), tables, languages, 2)
@@ -231,7 +233,8 @@ def identify(
                 best = int(scores.argmax())
                 against = np.append(scores, noise + noise_prior)
                 names.append(languages[best])
-                confidence.append(round(float(1.0 / np.exp(against - scores[best]).clip(0, 1e300).sum()), 4))
+                sure = float(1.0 / np.exp(against - scores[best]).clip(0, 1e300).sum())
+                confidence.append(0.0 if languages[best] is None else round(sure, 4))
                 kept.append(bool(scores[best] >= noise + noise_prior))
             found = [pa.array(names, pa.string()), pa.array(confidence, pa.float64()), pa.array(kept, pa.bool_())]
             yield pa.RecordBatch.from_arrays(
