@@ -71,3 +71,44 @@ def test_no_row_declares_a_language(spark):
     assert all(r["__kept"] for r in found if sum(c.isalpha() for c in r["text"] or "") > 0.5 * len(r["text"] or "x"))
     assert not any(r["__kept"] for r in found if not any(map(str.isalpha, r["text"] or "")))
     assert li.keep_identified(rows.where("source = 'odd'")).count() == 1
+
+
+def many_languages(n, each):
+    """(text, tag, host, language) of n invented languages, each of words of its own letters."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        letters = [chr(0x0531 + 40 * i + j) for j in range(12)] if i < 2 else rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+        for k in range(each):
+            text = " ".join(rng.choice(words) for _ in range(80))
+            rows.append((text, None if k == 0 else f"q{i:02}" + ("", "-US", "_GB")[k % 3], f"h{i % 7}", f"q{i:02}"))
+    return rows
+
+
+def test_every_declared_language_is_told_apart(spark, monkeypatch):
+    rows = many_languages(80, 4)
+    df = spark.createDataFrame(rows, "text string, tag string, host string, truth string")
+    found = li.identify(df, "text", F.col("tag"), F.col("host"), F.col("host")).collect()
+    assert len(found) == len(rows) and all(r["__kept"] and r["__lang"] == r["truth"] for r in found)
+    monkeypatch.setattr(li, "LANGUAGES", 200)
+    whole = li.identify(df, "text", F.col("tag"), F.col("host"), F.col("host")).collect()
+    assert sorted((r["text"], r["__lang"], r["__kept"]) for r in whole) == sorted(
+        (r["text"], r["__lang"], r["__kept"]) for r in found
+    )
+
+
+def test_every_value_of_the_evidence_counts(spark):
+    rows = [("t", f"v{i:03}") for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, suffix string")
+    held = li.models(df.selectExpr("text", "'en' declared"), ["en", "de"])
+    keyed = df.withColumn("__own_suffix", F.col("suffix"))
+    joined, size = li.join_evidence(keyed, df, held, ["en", "de"], "suffix")
+    assert all(r["__own_suffix"]["__n"] == [1] for r in joined.collect()) and size.tolist() == [450.5, 150.5]
+
+
+def test_primary_language(spark):
+    tags = ["en-US", "EN_us", " de ", "zh-Hant-TW", "x-own", "", None]
+    df = spark.createDataFrame([(t,) for t in tags], "t string")
+    got = [r[0] for r in df.select(li.primary_language(F.col("t"))).collect()]
+    assert got == ["en", "en", "de", "zh", "x-own", None, None]

@@ -14,9 +14,12 @@ A noise model that draws bytes one by one, half of them at their frequency in
 the corpus and half evenly, competes with the languages.  A document
 is rejected if it has no letter or if noise explains it better.
 
-All counts cover all documents; what reaches the driver is bounded by languages
-times ``BUCKETS`` and by ``LANGUAGES``.  Host shares are joined to documents by
-broadcast below a checked size and by a join that can be split above it.
+All counts cover all documents, every declared language and every value of the
+evidence.  Models are made and sent in blocks of ``LANGUAGES`` languages, one block
+on the driver and one in a task at a time; a document is scored by all of them.
+Host shares and evidence counts are joined to documents by broadcast below a
+checked size and by a join that can be split above it.  Declared tags count by
+their primary language (``en-US`` as ``en``).
 
 Defined results: null and empty texts are rejected with a null language; null or
 unknown evidence counts as none; where no row declares a language there is one
@@ -27,18 +30,20 @@ no rows; all columns of a row are kept as they are.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small, freeze, prepare, query, table
 
 BUCKETS = 1 << 15
-# Most frequent declared languages that are told apart.
+# Languages whose models are in memory at once; there may be any number of such blocks.
 LANGUAGES = 64
 # A text counts as at most so many independent trigrams.
 EFFECTIVE_TRIGRAMS = 200
@@ -59,6 +64,13 @@ def address_suffix(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"://(?:[^/?#]*\.)?([^/?#.:]+)(?::\d+)?(?:[/?#]|$)", 1)), F.lit(""))
 
 
+def primary_language(tag: Column) -> Column:
+    """The primary language of a declared tag, lower-cased; private tags (``x-...``) stay whole; null if empty."""
+    whole = F.lower(F.trim(F.translate(tag, "_", "-")))
+    first = F.substring_index(whole, "-", 1)
+    return F.nullif(F.when(F.length(first) > 1, first).otherwise(whole), F.lit(""))
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each byte trigram, the bytes) of a lower-cased text set between spaces."""
     raw = np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8)
@@ -72,26 +84,62 @@ def _texts(column: pa.Array) -> Iterator[str]:
     return (t.as_py() or "" for t in column)
 
 
-def count_trigrams(rows: DataFrame, languages: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(languages x BUCKETS trigram counts, 256 byte counts) over all documents."""
+def count_trigrams(rows: DataFrame, languages: list[str | None]) -> DataFrame:
+    """(language number, bucket, n) over all documents; number -1 counts bytes instead of trigrams."""
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages) + 1, BUCKETS), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for i, sums in total.items():
+                at = np.flatnonzero(sums)
+                columns = [pa.array(np.full(len(at), i)), pa.array(at), pa.array(sums[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["language", "bucket", "n"])
+            total.clear()
+
+        def sums_of(i: int) -> np.ndarray:
+            if i not in total:
+                total[i] = np.zeros(BUCKETS, dtype=np.int64)
+            return total[i]
+
         for batch in batches:
             for text, name in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
                 bucket, raw = trigrams(text)
-                total[-1, :256] += np.bincount(raw, minlength=256)
+                sums_of(-1)[:256] += np.bincount(raw, minlength=256)
                 if name in number:
-                    total[number[name]] += np.bincount(bucket, minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
-
-    sums = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((len(languages) + 1) * BUCKETS)
-    total[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    total = total.reshape(len(languages) + 1, BUCKETS)
-    return total[:-1], total[-1, :256]
+                    sums_of(number[name])[:] += np.bincount(bucket, minlength=BUCKETS)
+                if len(total) > LANGUAGES:
+                    yield from flush()
+        yield from flush()
+
+    kinds = "language long, bucket long, n long"
+    return rows.mapInArrow(count, kinds).groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+
+
+def models(rows: DataFrame, languages: list[str | None]) -> list[Broadcast]:
+    """The tables of ``likelihoods`` for each block of languages, held for the tasks."""
+    sums = count_trigrams(rows, languages)
+    if len(languages) > LANGUAGES:
+        sums = freeze(sums)
+
+    def dense(first: int, size: int) -> np.ndarray:
+        found = sums.where(F.col("language").between(first, first + size - 1)).toArrow()
+        total = np.zeros((size, BUCKETS))
+        at = [found.column(c).to_numpy() for c in ("language", "bucket")]
+        total[at[0] - first, at[1]] = found.column("n").to_numpy()
+        return total
+
+    held, context, byte_counts = [], rows.sparkSession.sparkContext, None
+    for first in range(0, len(languages), LANGUAGES):
+        size = min(LANGUAGES, len(languages) - first)
+        if byte_counts is None:
+            both = dense(-1, size + 1)
+            byte_counts, counts = both[0, :256], both[1:]
+        else:
+            counts = dense(first, size)
+        held.append(context.broadcast(likelihoods(counts, byte_counts)))
+    return held
 
 
 def likelihoods(counts: np.ndarray, byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,31 +164,65 @@ def text_scores(text: str, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     return own * weight, drawn * weight, any(map(str.isalpha, text))
 
 
-def evidence_table(rows: DataFrame, tables, languages: list[str], column: int) -> dict[str, np.ndarray]:
-    """log P(value | language) of the evidence in ``column``, counted against the text's best language."""
+def batch_scores(texts: list[str], held: list[Broadcast]) -> list[tuple[np.ndarray, float, bool]]:
+    """``text_scores`` of every text by all blocks of languages; of several blocks one is in memory at a time."""
+    if len(held) == 1:
+        return [text_scores(t, held[0].value) for t in texts]
+    parts = []
+    for block in held:
+        tables = block.value
+        parts.append([text_scores(t, tables) for t in texts])
+        del tables
+        block.__dict__.pop("_value", None)
+    return [(np.concatenate([own for own, _, _ in each]), *each[0][1:]) for each in zip(*parts)]
+
+
+def _slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose scores, ``width`` to a row, take at most some 16 MB."""
+    step = max(1, (2 << 20) // width)
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
+def evidence_counts(rows: DataFrame, held: list[Broadcast], languages: list[str | None], column: str) -> DataFrame:
+    """(value, best, n): how often each value of the evidence goes with each language, by the text alone."""
+    width = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, best = [], []
-            for text, value in zip(_texts(batch.column(0)), batch.column(column).to_pylist()):
-                if value is not None and text:
-                    values.append(value)
-                    best.append(int(text_scores(text, tables)[0].argmax()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, pa.string()), pa.array(best, pa.int32())], names=["value", "best"]
-            )
-
-    found = rows.mapInArrow(count, "value string, best int").groupBy("value", "best").count()
-    common = found.groupBy("value").agg(
-        F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("best", "count"))).alias("by")
-    )
-    kept = common.orderBy(F.desc("n"), "value").limit(4 * LANGUAGES).collect()
-    seen = np.full((len(languages), len(kept) + 1), 0.5)
-    for j, r in enumerate(kept):
-        for best, n in r["by"].items():
-            seen[best, j] += n
-    share = np.log(seen / seen.sum(axis=1, keepdims=True))
-    return {r["value"]: share[:, j] for j, r in enumerate(kept)}
+            for part in _slices(batch, width):
+                pairs = [(t, v) for t, v in zip(_texts(part.column(0)), part.column(1).to_pylist()) if v is not None and t]
+                best = [int(own.argmax()) for own, _, _ in batch_scores([t for t, _ in pairs], held)] if pairs else []
+                columns = [pa.array([v for _, v in pairs], pa.string()), pa.array(best, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "best"])
+
+    found = rows.select("text", column).mapInArrow(count, "value string, best int")
+    return found.groupBy("value", "best").agg(F.count("*").alias("n"))
+
+
+def join_evidence(
+    docs: DataFrame, rows: DataFrame, held: list[Broadcast], languages: list[str | None], column: str
+) -> tuple[DataFrame, np.ndarray]:
+    """``docs`` with the counts of their ``__own_`` value, in its place, and the size of each language's row."""
+    counts = freeze(evidence_counts(rows, held, languages, column))
+    size = np.full(len(languages), 0.5 * (counts.select("value").distinct().count() + 1))
+    for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect():
+        size[r["best"]] += r["n"]
+    by_value = counts.groupBy("value").agg(F.collect_list("best").alias("__best"), F.collect_list("n").alias("__n"))
+    widest = by_value.agg(F.max(F.size("__best") * 12 + F.length("value") * 4)).first()[0] or 0
+    small = broadcast_if_small(freeze(by_value), 100 + widest)
+    joined = docs.join(small, docs[f"__own_{column}"] == small["value"], "left")
+    packed = F.when(F.col("value").isNotNull(), F.struct("__best", "__n")).alias("__own_" + column)
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != f"__own_{column}"]
+    return joined.select(*keep, packed), size
+
+
+def evidence(entry: dict | None, size: np.ndarray | None) -> np.ndarray | float:
+    """log P(value | language) of a value with the given counts; nothing for an unknown one."""
+    if entry is None:
+        return 0.0
+    seen = np.full(len(size), 0.5)
+    seen[entry["__best"]] += entry["__n"]
+    return np.log(seen / size)
 
 
 def host_shares(rows: DataFrame, languages: list[str], suffixed: bool = True) -> DataFrame:
@@ -149,12 +231,16 @@ def host_shares(rows: DataFrame, languages: list[str], suffixed: bool = True) ->
     Without suffixes hosts are smoothed towards the whole corpus.
     """
 
+    spark, named = rows.sparkSession, [(x, i) for i, x in enumerate(languages) if x is not None]
+    numbers = F.broadcast(spark.createDataFrame(named, "declared string, number int"))
+    known = rows.join(numbers, "declared").groupBy("host", "suffix", "number").agg(F.count("*").alias("n"))
+
     def counted(keys: list[str], name: str) -> DataFrame:
-        each = [F.sum((F.col("declared") == x).cast("double")).alias(f"c{i}") for i, x in enumerate(languages)]
-        known = rows.where("declared is not null" if None in languages else F.col("declared").isin(languages))
-        sums = (known.groupBy(*keys) if keys else known).agg(*each)
-        counts = F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(len(languages))])
-        return sums.select(*keys, counts.alias(name))
+        sums = known.groupBy(*keys, "number").agg(F.sum("n").cast("double").alias("n"))
+        by = F.map_from_entries(F.collect_list(F.struct("number", "n")))
+        each = sums.groupBy(*keys).agg(by.alias("by"))
+        all_numbers = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+        return each.select(*keys, F.transform(all_numbers, lambda i: F.coalesce(F.col("by")[i], F.lit(0.0))).alias(name))
 
     def total(counts: Column) -> Column:
         return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
@@ -163,9 +249,11 @@ def host_shares(rows: DataFrame, languages: list[str], suffixed: bool = True) ->
         size = total(F.col(counts)) + weight
         return F.zip_with(counts, above, lambda c, p: (c + weight * p) / size)
 
-    overall = counted([], "o").first()["o"]
+    overall = [0.0] * len(languages)
+    for r in known.groupBy("number").agg(F.sum("n").alias("n")).collect():
+        overall[r["number"]] = float(r["n"])
     flat = [(c + 1.0) / (sum(overall) + len(languages)) for c in overall]
-    base = F.array(*[F.lit(p) for p in flat])
+    base = F.from_json(F.lit(json.dumps(flat)), "array<double>")
     if not suffixed:
         hosts = counted(["host"], "h")
         none = F.lit(None).cast("string").alias("__suffix")
@@ -188,58 +276,63 @@ def identify(
     """All columns of ``docs`` and __lang, __confidence, __kept."""
     prepare(docs.sparkSession)
     none = F.lit(None).cast("string")
-    evidence = {
-        "declared": none if declared is None else declared.cast("string"),
+    given = {
+        "declared": none if declared is None else primary_language(declared.cast("string")),
         "suffix": none if suffix is None else suffix.cast("string"),
         "host": none if host is None else host.cast("string"),
     }
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in evidence.items()])
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in given.items()])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     outputs = "__lang string, __confidence double, __kept boolean"
     named = rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared")
-    languages = [r["declared"] for r in named.limit(LANGUAGES).collect()]
+    languages = [r["declared"] for r in named.collect()]
     if not languages:
         if docs.isEmpty():
             return docs.selectExpr("*", "cast(null as string) __lang", "0d __confidence", "false __kept")
         languages = [None]
-    tables = likelihoods(*count_trigrams(rows.select("text", "declared"), languages))
-    of_declared = evidence_table(rows.select("text", "declared", "suffix"), tables, languages, 1)
-    of_suffix = {} if suffix is None else evidence_table(rows.select("text", "declared", "suffix"), tables, languages, 2)
+    held = models(rows.select("text", "declared"), languages)
     shares = freeze(host_shares(rows, languages, suffix is not None))
     small = broadcast_if_small(shares, 100 + 8 * len(languages))
-    keyed = docs.withColumns({f"__own_{k}": c for k, c in evidence.items()})
+    keyed = docs.withColumns({f"__own_{k}": c for k, c in given.items()})
     on = keyed["__own_host"].eqNullSafe(small["__host"])
     if suffix is not None:
         on &= keyed["__own_suffix"].eqNullSafe(small["__suffix"])
     keyed = keyed.join(small, on, "left").drop("__host", "__suffix", "__own_host")
+    sizes: list[np.ndarray | None] = []
+    for column in ("declared", "suffix"):
+        size = None
+        if not (column == "declared" and languages == [None]) and not (column == "suffix" and suffix is None):
+            keyed, size = join_evidence(keyed, rows, held, languages, column)
+        sizes.append(size)
+    keyed = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "__own_declared", "__own_suffix", "__share")
     flat = np.full(len(languages), 1.0 / len(languages))
-    noise_prior, zero = math.log(NOISE_PRIOR), np.zeros(len(languages))
-    at_text = docs.columns.index(text_col)
-    held = docs.sparkSession.sparkContext.broadcast(tables)
+    noise_prior, at_text = math.log(NOISE_PRIOR), docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, confidence, kept = [], [], []
-            *own, said, suffixes, share = batch.columns
-            for text, d, s, p in zip(_texts(own[at_text]), said.to_pylist(), suffixes.to_pylist(), share.to_pylist()):
-                scores, noise, letters = text_scores(text, held.value)
-                if not letters:
-                    names.append(None)
-                    confidence.append(0.0)
-                    kept.append(False)
-                    continue
-                prior = np.log(flat if p is None else np.asarray(p))
-                scores = scores + prior + of_declared.get(d, zero) + of_suffix.get(s, zero)
-                best = int(scores.argmax())
-                against = np.append(scores, noise + noise_prior)
-                names.append(languages[best])
-                sure = float(1.0 / np.exp(against - scores[best]).clip(0, 1e300).sum())
-                confidence.append(0.0 if languages[best] is None else round(sure, 4))
-                kept.append(bool(scores[best] >= noise + noise_prior))
-            found = [pa.array(names, pa.string()), pa.array(confidence, pa.float64()), pa.array(kept, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(
-                [*own, *found], names=[*batch.schema.names[:-3], "__lang", "__confidence", "__kept"]
-            )
+        for whole in batches:
+            for batch in _slices(whole, len(languages)):
+                names, confidence, kept = [], [], []
+                *own, said, suffixes, share = batch.columns
+                texts = list(_texts(own[at_text]))
+                found = batch_scores(texts, held)
+                for (scores, noise, letters), d, s, p in zip(found, said, suffixes, share):
+                    if not letters:
+                        names.append(None)
+                        confidence.append(0.0)
+                        kept.append(False)
+                        continue
+                    prior = np.log(flat if not p.is_valid else p.values.to_numpy())
+                    scores = scores + prior + evidence(d.as_py(), sizes[0]) + evidence(s.as_py(), sizes[1])
+                    best = int(scores.argmax())
+                    against = np.append(scores, noise + noise_prior)
+                    names.append(languages[best])
+                    sure = float(1.0 / np.exp(against - scores[best]).clip(0, 1e300).sum())
+                    confidence.append(0.0 if languages[best] is None else round(sure, 4))
+                    kept.append(bool(scores[best] >= noise + noise_prior))
+                out = [pa.array(names, pa.string()), pa.array(confidence, pa.float64()), pa.array(kept, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, *out], names=[*batch.schema.names[:-3], "__lang", "__confidence", "__kept"]
+                )
 
     return keyed.mapInArrow(judge, f"{schema}, {outputs}")
 
