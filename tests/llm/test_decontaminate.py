@@ -95,3 +95,23 @@ def test_odd_rows(spark):
     assert sorted(str(r[0]) for r in dc.drop_contaminated(docs, bench).collect()) == ["1", "2", "4", "None"]
     assert dc.contaminated(docs.where("false"), bench).collect() == []
     assert dc.contaminated(docs, bench.where("false")).collect() == []
+
+
+def test_short_items_are_matched_word_for_word(spark):
+    items = [(1, "What is the capital of France?"), (2, "two words"), (3, "Single"), (4, "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f"),
+             (5, "\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07\u0e02\u0e2d\u0e07\u0e44\u0e17\u0e22"), (6, "a b c d e f g h i j")]
+    docs = [
+        (1, "so: what is the capital, of France then"), (2, "the capital of France is large"), (3, "one two words"),
+        (4, "two other words"), (5, "a single one"), (6, "\u8bf7\u95ee\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\u3002\u8c22\u8c22"),
+        (7, "\u4e2d\u56fd\u7684\u5927\u5b66"), (8, "\u0e01\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07\u0e02\u0e2d\u0e07\u0e44\u0e17\u0e22\u0e01"),
+        (9, "x a b c d e f y"), (10, "x a b c d e f g y"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = dc.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (3, 2), (5, 3), (6, 4), (8, 5), (10, 6)}
+    assert all(r["score"] == (0.7 if r["item_id"] == 6 else 1.0) for r in rows)
+    places = {r["item_id"]: (r["first_word"], r["last_word"]) for r in rows}
+    assert places[1] == (1, 6) and places[2] == (1, 2) and places[3] == (1, 1) and places[4] == (2, 9)
+    short = bench.where("item_id in (2, 3)")
+    assert {r["doc_id"] for r in dc.drop_contaminated(df, short).collect()} == set(range(1, 11)) - {3, 5}

@@ -7,19 +7,23 @@ the item's, so an item that leaked everywhere keeps its seeds.  Where a document
 holds a seed, the passage around it is aligned with the whole item, word by word,
 and the pair is reported if the local alignment reaches half of the best score
 possible: copies, edited copies and paraphrases that keep most words in order.
+At least ``LEAST_WORDS`` aligned words are asked for, so an item of no more words than
+that must be there word for word; items of one or two words are looked up as they are.
+In scripts that do not set spaces between words every character counts as a word.
 
 The benchmark is the small side: it is taken in blocks of at most ``BLOCK_ITEMS``
 items, whose seeds and texts go to the tasks; documents are read once to count
 and once to align for each block, and never shuffled.
 
-Defined results: null and empty texts match nothing; an item of fewer than three
-words has no seed and matches nothing; rows with one id are reported once, by the
+Defined results: null and empty texts match nothing; an item of one or two words
+matches every document that holds just these words in a row; rows with one id are reported once, by the
 best alignment of either; ids may be null; further columns are not looked at; an
 empty table or benchmark gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,14 +39,31 @@ from tidemark.llm.common import keep_rows, prepare, query, table, whole_text
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
+LEAST_WORDS = 7
 RARE_SHARE = 0.001
 RARE_COUNT = 20
 BLOCK_ITEMS = 20_000
 _MARKS = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
+# Letters of scripts without spaces (Thai to Tibetan, Burmese, Khmer, kana, Chinese), and their marks.
+_SPACELESS = (
+    "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+    "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+)
+_WIDE_MARKS = "\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_EITHER = re.compile(f"[{_SPACELESS}{_WIDE_MARKS}]")
+_LETTER, _WIDE_MARK = re.compile(f"[{_SPACELESS}]"), re.compile(f"[{_WIDE_MARKS}]")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_MARKS).split()
+    lower = (text or "").lower()
+    if not lower.isascii() and _EITHER.search(lower):
+        lower = _LETTER.sub(r" \g<0> ", _WIDE_MARK.sub(" ", lower))
+    return lower.encode().translate(_MARKS).split()
+
+
+def least_score(words: int, least: float) -> float:
+    """The alignment score that an item of so many words must reach."""
+    return max(least * MATCH * words, MATCH * min(words, LEAST_WORDS))
 
 
 @dataclass
@@ -63,6 +84,21 @@ class Block:
         at = np.flatnonzero((a > 0) & (b > 0) & (c > 0))
         return (a[at] * base + b[at]) * base + c[at], at
 
+    def short_grams(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gram, place) of the single words and pairs made of the items' words only."""
+        base = len(self.vocabulary) + 1
+        one = np.flatnonzero(numbers > 0)
+        two = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+        grams = [numbers[one] * base, numbers[two] * base + numbers[two + 1]]
+        return np.concatenate(grams), np.concatenate([one, two])
+
+    def short_items(self) -> tuple[np.ndarray, np.ndarray]:
+        """(gram, item) of the items of one or two words, sorted by gram."""
+        items = [i for i, numbers in enumerate(self.items) if 0 < len(numbers) < GRAM]
+        gram = np.array([self.short_grams(self.items[i])[0][-1] for i in items], dtype=np.int64)
+        order = np.argsort(gram, kind="stable")
+        return gram[order], np.array(items, dtype=np.int64)[order]
+
 
 def make_block(rows: list[tuple]) -> Block:
     split = [words_of(text) for _, text in rows]
@@ -135,6 +171,18 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def short_matches(block: Block, numbers: np.ndarray, short: tuple) -> Iterator[tuple[int, float, int, int]]:
+    """(item, 1, first word, last word) of the items of one or two words in a document, first place of each."""
+    keys, items = short
+    gram, at = block.short_grams(numbers)
+    gram, first = np.unique(gram, return_index=True)
+    lo, hi = np.searchsorted(keys, gram), np.searchsorted(keys, gram, side="right")
+    for j in np.flatnonzero(hi > lo):
+        begin = int(at[first[j]])
+        for i in items[lo[j] : hi[j]].tolist():
+            yield i, 1.0, begin, begin + len(block.items[i]) - 1
+
+
 def matches(block: Block, numbers: np.ndarray, seeds: tuple, least: float) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of the items found in a document, best passage of each."""
     keys, items, places = seeds
@@ -159,7 +207,7 @@ def matches(block: Block, numbers: np.ndarray, seeds: tuple, least: float) -> It
         slack = len(item) // 2
         first = max(0, int(start[a]) - slack)
         passage = numbers[first : int(start[b - 1]) + len(item) + slack]
-        need = least * MATCH * len(item)
+        need = least_score(len(item), least)
         if MATCH * np.isin(passage, item).sum() < need:
             continue
         score, end = align(item, passage)
@@ -196,14 +244,15 @@ def contaminated(
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         block = make_block([tuple(r) for r in part.orderBy("item_id", "text").collect()])
         gram, item, place = item_grams(block)
-        if not len(gram):
+        short = block.short_items()
+        if not len(gram) and not len(short[0]):
             continue
         wanted = np.unique(gram)
         counts = np.zeros(len(wanted), dtype=np.int64)
-        for at, n in document_counts(rows, block, wanted).items():
+        for at, n in (document_counts(rows, block, wanted) if len(gram) else {}).items():
             counts[at] = n
         seed = pick_seeds(gram, item, counts[np.searchsorted(wanted, gram)], documents)
-        out = out.union(rows.mapInArrow(_finder(spark, block, (gram[seed], item[seed], place[seed]), least), schema))
+        out = out.union(rows.mapInArrow(_finder(spark, block, (gram[seed], item[seed], place[seed]), short, least), schema))
     top = F.max(F.struct("score", -F.col("first_word"), -F.col("last_word"))).alias("t")
     return out.groupBy("doc_id", "item_id").agg(top).select(
         "doc_id",
@@ -214,18 +263,22 @@ def contaminated(
     )
 
 
-def _finder(spark, block: Block, seeds: tuple, least: float):
-    held = spark.sparkContext.broadcast((block.ids, block.items, block.vocabulary, seeds))
+def _finder(spark, block: Block, seeds: tuple, short: tuple, least: float):
+    held = spark.sparkContext.broadcast((block.ids, block.items, block.vocabulary, seeds, short))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items, vocabulary, keys = held.value
+        ids, items, vocabulary, keys, brief = held.value
         own = Block(ids, items, vocabulary)
         names = ["doc_id", "item_id", "score", "first_word", "last_word"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0), batch.column(1)):
-                for i, share, begin, last in matches(own, own.numbers(words_of(text.as_py())), keys, least):
+                numbers = own.numbers(words_of(text.as_py()))
+                found = list(matches(own, numbers, keys, least))
+                if len(brief[0]):
+                    found += short_matches(own, numbers, brief)
+                for i, share, begin, last in found:
                     for column, value in zip(out, (doc.as_py(), ids[i], share, begin, last)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
