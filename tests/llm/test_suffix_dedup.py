@@ -123,3 +123,20 @@ def test_chunks_of_a_long_text(monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_hot_anchor_with_different_neighbours_meets_by_window(spark):
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(330))
+    texts = ["".join(rng.choice("klmnopqrst ") for _ in range(500)) + line + "".join(rng.choice("uvwxyz ") for _ in range(500)) for _ in range(40)]
+    texts += [texts[0][300:1100] + "!", texts[1][480:900] + "?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").selectExpr("doc", "0L mark", "text")
+    raw = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
+    hot = sorted({int(k) for t in raw[:2] for keys, _, _ in sd.anchor_runs(t) for k in keys})
+    got = {(r["doc"], r["at"] + i) for r in sd.hot_runs(df, hot).collect() for i in range(r["n"])}
+    seen = {}
+    for d, t in enumerate(texts):
+        for a in range(len(t) - sd.WINDOW + 1):
+            seen.setdefault(t[a : a + sd.WINDOW], []).append((d, a))
+    want = {p for places in seen.values() if len(places) > 1 for p in places}
+    assert got == want and len({d for d, _ in want}) == 4

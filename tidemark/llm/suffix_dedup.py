@@ -15,10 +15,11 @@ grows only with the distinct strings of one anchor, its queues lie on disk beyon
 a bound.
 
 Skew: texts that are equal as a whole are found by digest first; one of them takes
-part, all are covered whole.  Strings of an anchor with more than a share of
-1 / (4 * partitions) are merged to one row per distinct string by a partial
-aggregation before they travel, and what is found comes back to their occurrences
-by a join that adaptive execution can split.
+part, all are covered whole.  An anchor with more than a share of 1 / (4 * partitions)
+is hot: its windows are not gathered by anchor.  Each is a key of its own, by a 128-bit
+digest; windows are counted by a partial aggregation, and those that occur twice come
+back to their places by broadcast below a checked size, else by a join that adaptive
+execution can split.
 
 Defined results: a null or empty text has no bytes; a text shorter than a window
 loses nothing; repeated rows are places of their own, so each loses what the other
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,28 +246,39 @@ def covered_runs(found: DataFrame, parts: int) -> DataFrame:
     return sharded.mapInArrow(judge, "doc long, mark long, at long, n long")
 
 
-def hot_runs(found: DataFrame, parts: int) -> DataFrame:
-    """(doc, mark, at, n) for the strings of hot anchors: distinct strings travel, with their count."""
-    named = found.withColumns({"s1": F.xxhash64("packed"), "s2": F.xxhash64(F.lit(1), "packed")})
-    distinct = named.groupBy("key", "packed").agg(F.count(F.lit(1)).alias("times"))
+def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """(doc, mark, at, n) for the windows of hot anchors; each window is a key of its own, by a 128-bit digest."""
+    held = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            if not block.num_rows:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, mark, raw in _texts(batches):
+            for keys, first, n in anchor_runs(np.frombuffer(raw, dtype=np.uint8)):
+                own = _among(keys, held.value)
+                if not own.any():
+                    continue
+                places = np.concatenate([np.arange(a, a + m) for a, m in zip(first[own].tolist(), n[own].tolist())])
+                for i in range(0, len(places), 20_000):
+                    at = places[i : i + 20_000]
+                    digests = [xxhash.xxh3_128_digest(raw[a : a + WINDOW]) for a in at.tolist()]
+                    ids = [pa.array(np.full(len(at), x), pa.int64()) for x in (doc, mark)]
+                    columns = [*ids, pa.array(at, pa.int64()), pa.array(digests, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "at", "window"])
+
+    def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, mark, at = (c.to_numpy() for c in batch.columns)
+            if not len(at):
                 continue
-            packed = block.column("packed").to_pylist()
-            runs = repeated_runs(packed, block.column("times").to_numpy())
-            columns = [pa.array([packed[i] for i, _, _ in runs], pa.binary())]
-            columns += [pa.array([r[k] for r in runs], pa.int64()) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["packed", "a", "n"])
-
-    sharded = distinct.repartition(parts, "key").sortWithinPartitions("key")
-    judged = sharded.mapInArrow(judge, "packed binary, a long, n long").select(
-        F.xxhash64("packed").alias("s1"), F.xxhash64(F.lit(1), "packed").alias("s2"), F.length("packed").alias("size"), "a", "n"
-    )
-    few = broadcast_if_small(freeze(judged), 64)
-    places = named.select("doc", "mark", "at", "s1", "s2", F.length("packed").alias("size"))
-    return places.join(few, ["s1", "s2", "size"]).select("doc", "mark", (F.col("at") + F.col("a")).alias("at"), "n")
+            goes_on = (doc[1:] == doc[:-1]) & (mark[1:] == mark[:-1]) & (at[1:] == at[:-1] + 1)
+            first = np.flatnonzero(np.append(True, ~goes_on))
+            columns = [doc[first], mark[first], at[first], np.diff(np.append(first, len(at)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "mark", "at", "n"])
+
+    windows = rows.mapInArrow(cut, "doc long, mark long, at long, window binary")
+    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
+    few = broadcast_if_small(freeze(again), 64)
+    found = windows.join(few, "window").select("doc", "mark", "at")
+    return found.mapInArrow(touching, "doc long, mark long, at long, n long")
 
 
 def _joined(runs: Column) -> Column:
@@ -312,7 +325,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = np.sort(shared.select("key").toArrow().column("key").to_numpy())
     runs = covered_runs(strings(own, known, hot), parts)
     if hot:
-        runs = runs.union(hot_runs(strings(own, np.sort(np.array(hot, dtype=np.int64)), []), parts))
+        runs = runs.union(hot_runs(own, hot))
     runs = runs.union(copies.select("doc", "mark", F.lit(0).cast("long"), F.lit(WHOLE)))
     cuts = freeze(runs.groupBy("doc", "mark").agg(_joined(F.collect_list(F.struct("at", "n"))).alias("runs")))
     width = cuts.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0
