@@ -2,11 +2,3 @@
 
 Every operator takes a DataFrame plus parameters and returns a DataFrame.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Helpers used inside pandas functions travel with the task, so a cluster does
-# not need this package installed on its workers.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

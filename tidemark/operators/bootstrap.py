@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.hypothesis import grouped_values
 from tidemark.plans.joining import attach, null_safe_join
 from tidemark.plans.quantiles import running_counts, value_counts
+from tidemark.plans.shipping import ship_package
 
 DRAWS = 1000
 MIN_VALUES = 10
@@ -69,6 +70,7 @@ def _values_at_ranks(counted: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def median_draws(long: DataFrame, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """(column, grp, draw, median) for groups of at least ten values."""
+    ship_package(long.sparkSession)
     counted = running_counts(value_counts(long, _KEYS), _KEYS)
     sizes = counted.groupBy(*_KEYS).agg(F.first("total").alias("n")).where(F.col("n") >= MIN_VALUES)
 

@@ -17,6 +17,7 @@ from tidemark.functions.types import as_double, require_columns
 from tidemark.plans.joining import attach, null_safe_join
 from tidemark.plans.ordered import prefix_sums, with_position
 from tidemark.plans.quantiles import SMALL_VALUES, count_quantiles, melt, running_counts, value_counts
+from tidemark.plans.shipping import ship_package
 from tidemark.plans.storage import freeze
 
 ALPHA = 0.05
@@ -176,6 +177,7 @@ def kruskal(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1
 
 
 def shapiro_of(counts: DataFrame) -> DataFrame:
+    ship_package(counts.sparkSession)
     sizes = counts.groupBy(*_KEYS).agg(F.sum("c").alias("__n")).where(F.col("__n").between(SHAPIRO_MIN, SHAPIRO_MAX))
 
     def test(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -243,6 +245,8 @@ def anderson_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     counted = attach(running_counts(counts, keys), moments, keys)
 
+    ship_package(counts.sparkSession)
+
     @F.pandas_udf("double")
     def log_cdf(z: pd.Series) -> pd.Series:
         return pd.Series(log_normal_cdf(z.to_numpy()))
@@ -327,6 +331,7 @@ def _exact_u_tail(u: float, n1: int, n2: int) -> float:
 
 def mann_whitney_p(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
     """Two-sided p-value: exact for small samples without ties, else normal with continuity."""
+    ship_package()
 
     @F.pandas_udf("double")
     def evaluate(us: pd.Series, a: pd.Series, b: pd.Series, tied: pd.Series) -> pd.Series:

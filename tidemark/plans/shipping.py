@@ -13,12 +13,16 @@ from pyspark.sql import SparkSession
 _SHIPPED: dict[str, str] = {}
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession | None = None) -> None:
     """Send the package to the executors once per application.
 
     Functions are pickled by reference to their module, so a worker needs the
-    module even if only the driver has it on its path.
+    module even if only the driver has it on its path.  Without a session the
+    active one is taken; without any, nothing can run yet and nothing is sent.
     """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
