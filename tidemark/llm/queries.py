@@ -8,6 +8,7 @@ from tidemark.llm import (  # noqa: F401
     language_id,
     near_dedup,
     packing,
+    secret_scan,
     substring_dedup,
     suffix_dedup,
     url_filters,
