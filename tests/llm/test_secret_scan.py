@@ -83,9 +83,13 @@ def test_rows(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_query(spark, folder):
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    for row in op13_secret_scan(spark, folder).collect():
+def test_query(spark, tmp_path):
+    rows = [(i, t, "x") for i, t in enumerate([*TEXTS, "db_pwd = 'Zq81-kkLp'"])]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {i: t or "" for i, t, _ in rows}
+    got = op13_secret_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.n_hex for r in got) == 2
+    for row in got:
         want = brute(texts[row.doc_id])
         listed = ",".join(f"{k}:{s}:{e}" for s, e, k in want)
         assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()

@@ -9,8 +9,10 @@ from tidemark.llm import (  # noqa: F401
     near_dedup,
     packing,
     secret_scan,
+    spelling,
     substring_dedup,
     suffix_dedup,
     url_filters,
+    whitening,
 )
 from tidemark.llm.common import ORACLES, QUERIES  # noqa: F401

@@ -144,13 +144,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 @query("op13_secret_scan")
 def op13_secret_scan(spark, folder):
     found = scan_secrets(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "literal")
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]
-    ]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return found.select(
         "doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans")
     )
