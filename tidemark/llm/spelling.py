@@ -208,14 +208,14 @@ def spelling_variants(counts: DataFrame) -> DataFrame:
 @query(
     "op12_spelling_variants",
     r"""
-    WITH RECURSIVE bits AS (SELECT list_transform(range(256), b -> list_reduce(range(9), (c, i) ->
-        CASE WHEN i = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS t),
+    WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS t),
     runs AS (
       SELECT doc_id, run, count(*) AS n FROM (
         SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
           'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
     h AS (
-      SELECT run, n, xor(list_reduce(range(len(x) // 2), (c, i) -> xor(c >> 8, t[(xor(c, ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT) & 255) + 1]),
+      SELECT run, n, xor(list_reduce(range(len(x) // 2), lambda c, i: xor(c >> 8, t[(xor(c, ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT) & 255) + 1]),
         4294967295::BIGINT), 4294967295::BIGINT) AS h
       FROM (SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS x FROM runs), bits),
     w AS (
