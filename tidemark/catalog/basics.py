@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, rounded, table, union_all
 from tidemark.operators import aggregate as agg
 from tidemark.operators import derive, describe, filters, profile
+from tidemark.plans.storage import checkpoint_folder
 from tidemark.sources import readers
 
 LINE_NUMBERS = [
@@ -855,3 +858,46 @@ def profile_summary(spark, folder):
 @query("table_fingerprint")
 def table_fingerprint(spark, folder):
     return profile.table_fingerprint(table(spark, folder, "lineitem"))
+
+
+def _written(spark, suffix: str) -> str:
+    """A new path for a table in the folder every executor reaches."""
+    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}.{suffix}"
+
+
+_ORDERS = """SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+    o_orderstatus, o_orderpriority FROM orders"""
+
+
+def _as_orders(df):
+    """Orders with the types of the given table and the time as text."""
+    return df.select(
+        F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), F.col("o_totalprice").cast("double"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderstatus", "o_orderpriority",
+    )
+
+
+@query("parquet_round_trip", _ORDERS)
+def parquet_round_trip(spark, folder):
+    path = _written(spark, "parquet")
+    readers.write_table(table(spark, folder, "orders"), path, partition_by=["o_orderstatus"])
+    return _as_orders(readers.read_table(spark, path))
+
+
+@query("csv_round_trip", _ORDERS)
+def csv_round_trip(spark, folder):
+    """Types and dates are found again from the text."""
+    path = _written(spark, "csv")
+    table(spark, folder, "orders").write.csv(path, header=True, quote='"', escape='"')
+    found = readers.read_table(spark, path)
+    assert dict(found.dtypes)["o_orderdate"] == "timestamp"
+    return _as_orders(found)
+
+
+@query("json_round_trip", _ORDERS)
+def json_round_trip(spark, folder):
+    path = _written(spark, "json")
+    table(spark, folder, "orders").write.json(path)
+    found = readers.read_table(spark, path, json_lines=True)
+    assert dict(found.dtypes)["o_orderdate"] == "timestamp"
+    return _as_orders(found)

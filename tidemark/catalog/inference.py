@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import sqlmath
 from tidemark.catalog.basics import MEASURES
 from tidemark.catalog.registry import query, rounded, table, union_all
-from tidemark.operators import bootstrap, correlation, hypothesis
+from tidemark.operators import bootstrap, correlation, hypothesis, replicates
 from tidemark.operators.kendall import kendall
 
 _STRENGTH = """CASE WHEN abs(r) >= 0.9 THEN 'very_strong' WHEN abs(r) >= 0.7 THEN 'strong'
@@ -420,3 +420,58 @@ def bootstrap_median_intervals(spark, folder):
 def bootstrap_median_difference(spark, folder):
     line = table(spark, folder, "lineitem")
     return rounded(bootstrap.median_difference_interval(line, _FLAG, "A", "R", "l_extendedprice"))
+
+
+def _replicates(rows: str, draws: int, sums: str, value: str) -> str:
+    """The replicate weights of (grp, name, y, x) and a statistic of their sums."""
+    a, b, c = replicates.MULTIPLIERS
+    m = replicates.MODULUS
+    drawn = " + ".join(f"(h >= {limit})::INT" for limit in replicates.poisson_limits())
+    return f"""WITH r AS (SELECT grp, ('0x' || left(md5('42:' || name), 7))::BIGINT AS s, y, x FROM ({rows})),
+    m AS (SELECT *, avg(y) OVER (PARTITION BY grp) AS centre, avg(x) OVER (PARTITION BY grp) AS middle FROM r),
+    d AS (SELECT grp, centre, y - centre AS y, x - middle AS x, draw,
+          xor((s + 1) * {a} % {m}, (draw + 1) * {b} * {a} % {m}) * {c} % {m} AS g
+          FROM m, (SELECT unnest(range({draws})) AS draw)),
+    w AS (SELECT * EXCLUDE (g), xor(g, g >> 15) * {a} % {m} AS h FROM d),
+    p AS (SELECT *, ({drawn})::DOUBLE AS k FROM w),
+    t AS (SELECT grp, draw, any_value(centre) AS centre, sum(k) AS w, {sums} FROM p WHERE k > 0 GROUP BY grp, draw),
+    v AS (SELECT grp, {value} AS value FROM t)
+    SELECT grp, count(value) AS replicates, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS error,
+      round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper
+    FROM v WHERE value IS NOT NULL GROUP BY grp"""
+
+
+_LINE_ROWS = """SELECT l_returnflag AS grp, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS name,
+    l_quantity AS y, 0.0 AS x FROM lineitem"""
+_LINE_NAMES = ["l_orderkey", "l_linenumber", "l_partkey"]
+_EVENT_ROWS = """SELECT event_type AS grp, event_id::VARCHAR AS name, value AS y, user_id::DOUBLE AS x FROM events
+    WHERE event_type IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL"""
+
+
+@query("bootstrap_mean", _replicates(_LINE_ROWS, 200, "sum(k * y) AS y", "centre + y / w"))
+def bootstrap_mean(spark, folder):
+    line = table(spark, folder, "lineitem")
+    return rounded(replicates.bootstrap(line, "l_quantity", _LINE_NAMES, group=_FLAG))
+
+
+@query(
+    "bootstrap_deviation",
+    _replicates(
+        _EVENT_ROWS, 200, "sum(k * y) AS y, sum(k * y * y) AS yy", "CASE WHEN w > 1 THEN sqrt(greatest(0, yy - y * y / w) / (w - 1)) END"
+    ),
+)
+def bootstrap_deviation(spark, folder):
+    events = table(spark, folder, "events")
+    return rounded(replicates.bootstrap(events, "value", ["event_id"], replicates.DEVIATION, "event_type"))
+
+
+@query(
+    "bootstrap_trend",
+    _replicates(
+        _EVENT_ROWS, 200, "sum(k * x) AS x, sum(k * y) AS y, sum(k * x * y) AS xy, sum(k * x * x) AS xx",
+        "(xy - x * y / w) / nullif(xx - x * x / w, 0)",
+    ),
+)
+def bootstrap_trend(spark, folder):
+    events = table(spark, folder, "events")
+    return rounded(replicates.bootstrap(events, "value", ["event_id"], replicates.SLOPE, "event_type", "user_id"))

@@ -8,14 +8,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.normality import log_normal_cdf, shapiro_wilk
 from tidemark.functions.special import chi2_sf, f_sf, normal_tail, t_ppf, t_sf2
 from tidemark.functions.types import as_double, require_columns
+from tidemark.operators.pairwise_ranks import pair_sums
 from tidemark.plans.joining import attach, null_safe_join
-from tidemark.plans.ordered import prefix_sums, with_position
+from tidemark.plans.ordered import minimum_from_here, prefix_sums, with_position
 from tidemark.plans.quantiles import SMALL_VALUES, count_quantiles, melt, running_counts, value_counts
 from tidemark.plans.shipping import ship_package
 from tidemark.plans.storage import freeze
@@ -352,49 +352,31 @@ def mann_whitney_p(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
 def pairwise_mann_whitney(df: DataFrame, group: str, target: str, min_size: int = 3) -> DataFrame:
     """Mann-Whitney U of every pair of groups with the rank-biserial correlation.
 
-    Distinct values carry one count per group; running counts per group give, for
-    each value of one group, how many values of every other group lie below it.
+    Groups are numbered by name; the pairs come from merging sorted value counts.
     """
     cells = grouped_counts(grouped_values(df, group, [target]), min_size)
-    sizes = cells.groupBy("grp").agg(F.sum("c").alias("n"))
-    names = sorted(r["grp"] for r in sizes.collect())
-    if len(names) < 2:
+    cube = F.col("c").cast("double") * (F.col("c").cast("double") * F.col("c") - 1)
+    sizes = cells.groupBy("grp").agg(F.sum("c").alias("n"), F.sum(cube).alias("own_ties"))
+    numbered = freeze(with_position(sizes, ["grp"], pos="gid", size="groups"))
+    groups = numbered.count()
+    if groups < 2:
         raise ValueError("need at least two groups")
-    counts = cells.groupBy("value").pivot("grp", names).agg(F.sum("c"))
-    counts = counts.select(
-        "value", *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(f"c{i}") for i, g in enumerate(names)]
-    )
-    running = prefix_sums(counts, [], ["value"], {f"b{i}": f"c{i}" for i in range(len(names))})
-    per_group = F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.col(f"b{i}").alias("b")) for i in range(len(names))])
-    first = running.select(per_group.alias("all"), F.posexplode(per_group).alias("i", "one")).where("one.c > 0")
-    both = first.select("i", F.col("one.c").alias("ca"), F.posexplode("all").alias("j", "other")).where("i <> j")
-    ca, cb = F.col("ca").cast("double"), F.col("other.c").cast("double")
-    wins = ca * (F.col("other.b") + cb / 2)
-    cube = lambda t: t * t * t - t
-    pairs = both.groupBy("i", "j").agg(
-        F.sum(wins).alias("u"), F.sum(cube(ca + cb) - cube(cb)).alias("added_ties")
-    )
-    own = running.agg(*[F.sum(cube(F.col(f"c{i}").cast("double"))).alias(f"t{i}") for i in range(len(names))])
-    own_ties = own.select(
-        F.posexplode(F.array(*[F.col(f"t{i}") for i in range(len(names))])).alias("j", "own_ties")
-    )
-    label = F.array(*[F.lit(g) for g in names])
+    keyed = freeze(attach(cells, numbered.select("grp", "gid"), ["grp"], stored=True).select("gid", "value", "c"))
+    pairs = pair_sums(keyed, groups)
     medians = count_quantiles(cells, ["grp"], {"median": 0.5})
-    stats = null_safe_join(sizes, medians, ["grp"])
-    first_of = stats.select(F.col("grp").alias("group1"), F.col("n").alias("n1"), F.col("median").alias("median1"))
-    second_of = stats.select(F.col("grp").alias("group2"), F.col("n").alias("n2"), F.col("median").alias("median2"))
+    stats = freeze(null_safe_join(numbered, medians, ["grp"]))
+    first_of, second_of = (
+        stats.select(
+            F.col("gid").alias(at), F.col("grp").alias(f"group{k}"), F.col("n").alias(f"n{k}"),
+            F.col("median").alias(f"median{k}"), F.col("own_ties").alias(f"own_ties{k}"),
+        )
+        for at, k in (("i", 1), ("j", 2))
+    )
     r = 1 - 2 * F.col("statistic") / (F.col("n1") * F.col("n2"))
     return (
-        pairs.where("i < j")
-        .join(own_ties, "j")
-        .select(
-            label[F.col("i")].alias("group1"),
-            label[F.col("j")].alias("group2"),
-            F.col("u").alias("statistic"),
-            (F.col("added_ties") + F.col("own_ties")).alias("ties"),
-        )
-        .join(first_of, "group1")
-        .join(second_of, "group2")
+        attach(attach(pairs, first_of, ["i"], stored=True), second_of, ["j"], stored=True)
+        .withColumn("ties", F.col("shared_ties") + F.col("own_ties1") + F.col("own_ties2"))
+        .withColumnRenamed("u", "statistic")
         .withColumn("p_value", mann_whitney_p(F.col("statistic"), F.col("n1"), F.col("n2"), F.col("ties")))
         .withColumn("rank_biserial", r)
         .select(
@@ -460,11 +442,9 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = ALPH
     distinct = tested.where("__p is not null").groupBy("__p").agg(F.count(F.lit(1)).alias("c"))
     ranked = prefix_sums(distinct, [], ["__p"], {"before": "c"}, {"tests": "c"})
     scaled = ranked.withColumn("__q", F.col("__p") * F.col("tests") / (F.col("before") + F.col("c")))
-    # The adjusted value is the smallest scaled value at or above p: a running
-    # minimum from the top over distinct p-values, one row per test at most.
-    upward = W.orderBy(F.desc("__p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    adjusted = scaled.select(
-        "__p", "tests", F.least(F.lit(1.0), F.min("__q").over(upward)).alias("p_value_corrected")
+    # The adjusted value is the smallest scaled value at or above p.
+    adjusted = minimum_from_here(scaled, [], ["__p"], "__q", "__lowest").select(
+        "__p", "tests", F.least(F.lit(1.0), F.col("__lowest")).alias("p_value_corrected")
     )
     return (
         attach(tested, adjusted, ["__p"], "left")

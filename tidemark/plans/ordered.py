@@ -71,6 +71,23 @@ def prefix_sums(
     )
 
 
+def minimum_from_here(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add the smallest ``value`` from each row to the end of its key, in ``order``, which is unique within a key.
+
+    A block takes over the smallest value of the blocks after it.
+    """
+    blocked = _blocks(df, keys, order)
+    per_block = blocked.groupBy(*_cols([*keys, _BLOCK])).agg(F.min(f"`{value}`").alias("__least"))
+    whole = W.partitionBy(*_cols(keys)) if keys else W.partitionBy(F.lit(0))
+    later = whole.orderBy(F.desc(_BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+    carried = per_block.select(*_cols([*keys, _BLOCK]), F.min("__least").over(later).alias("__later"))
+    backward = [c.desc() for c in _cols(order)]
+    inside = W.partitionBy(*_cols([*keys, _BLOCK])).orderBy(*backward).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = blocked.withColumn("__here", F.min(f"`{value}`").over(inside))
+    joined = null_safe_join(local, carried, [*keys, _BLOCK])
+    return joined.select(*_cols(df.columns), F.least("__here", "__later").alias(out))
+
+
 def with_position(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), pos: str = "pos", size: str = "n"
 ) -> DataFrame:
