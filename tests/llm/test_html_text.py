@@ -3,6 +3,7 @@
 import html as html_lib
 import itertools
 import math
+import random
 import re
 
 import pytest
@@ -90,3 +91,28 @@ def test_odd_rows(spark):
 def test_tables_of_plain_articles_keep_their_text(spark, page, text):
     df = spark.createDataFrame([(i, "u", page) for i in range(3)], "page_id long, url string, html string")
     assert [tuple(r) for r in ht.extract(df).collect()] == [(i, "u", text, len(text)) for i in range(3)]
+
+
+KEPT = "The ander enst of it, erly. Hat thon was reing by the ouer, and so it ended."
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><meta><article><p>{}</p></article>",
+    "<html><head><title>t <b>x</title><script>'<p>no</p>'</script><style>p > a {{}}</style><p>{}</p>",
+    "<head><link><template><p>no</p></template></head><article><p>{}</p></article>",
+    "<article><div><button>Go</div><p>{}</p></article>",
+    "<article><div><select><option>a<option>b</div><p>{}</p></article>",
+    "<article><div><svg><path></div><p>{}</p></article>",
+    "<article><button><div>Go</div></button><p>{}</p></article>",
+    "<article data-label=\"1\"><p data-label='Price' data-label=x data-label=>{}</p></article>",
+])
+def test_no_article_is_lost(model, page):
+    assert ht.main_text(page.format(KEPT), model) == KEPT
+
+
+def test_any_tags_and_attributes(model):
+    rng = random.Random(3)
+    bits = ["<", ">", "</", "/>", "'", '"', "=", " ", "data-label", "class", "id=9", "&amp;", "&#x;", "text", "<!--", "-->", "\n"]
+    bits += [f"<{t}" for t in [*ht.SKIPPED, *ht.BLOCKS]] + [f"</{t}>" for t in [*ht.SKIPPED, *ht.BLOCKS]]
+    for _ in range(400):
+        assert isinstance(ht.main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 60))), model), str)

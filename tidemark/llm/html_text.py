@@ -48,6 +48,7 @@ SKIPPED = frozenset(
     "head script style noscript template svg math iframe object select button textarea canvas audio video title".split()
 )
 RAW = frozenset("script style textarea title iframe noscript".split())
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
@@ -80,22 +81,28 @@ class _Run:
     linked: int = 0
 
 
-def _marks(attributes: str) -> tuple[tuple[str, ...], int | None]:
+def _marks(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
     found, label = [], None
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
             found += WORD.findall(value.lower())
-        elif name == "data-label":
+        elif labelled and name == "data-label":
             label = int(value.strip("\"'"))
     return tuple(dict.fromkeys(found)), label
 
 
-def parse(html: str) -> list[Node]:
-    """The block tree of a page, parents before children, in page order."""
+def parse(html: str, labelled: bool = False) -> list[Node]:
+    """The block tree of a page, parents before children, in page order.
+
+    Only pages built for training are ``labelled``; elsewhere no attribute is a label.  The
+    head ends at the first element that belongs to a body, and an element that is passed
+    over ends with the block around it, should its own end be missing.
+    """
     nodes, stack, run = [Node(-1, "root")], [0], _Run()
     links = skipping = 0
     skipped = ""
+    inside: Counter = Counter()
 
     def close_run() -> None:
         nonlocal run
@@ -124,8 +131,19 @@ def parse(html: str) -> list[Node]:
         if skipping:
             if tag == skipped:
                 skipping += -1 if closing else tag not in VOID and not token[3].endswith("/")
-            elif skipped == "head" and tag == "body":
-                skipping = 0
+            elif skipped == "head":
+                if tag not in IN_HEAD and not closing:
+                    skipping = 0
+                elif not closing and (tag in RAW or tag == "template"):
+                    stop = re.compile(f"</{tag}", re.I).search(html, at)
+                    at = stop.start() if stop else end
+            elif tag in BLOCKS:
+                if not closing:
+                    inside[tag] += 1
+                elif inside[tag]:
+                    inside[tag] -= 1
+                elif any(nodes[i].tag == tag for i in stack[1:]):
+                    skipping = 0
             if skipping:
                 continue
         if tag in SKIPPED:
@@ -134,6 +152,7 @@ def parse(html: str) -> list[Node]:
                     stop = re.compile(f"</{tag}", re.I).search(html, at)
                     at = stop.start() if stop else end
                 skipping, skipped = 1, tag
+                inside.clear()
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -159,7 +178,7 @@ def parse(html: str) -> list[Node]:
                     break
         if tag == "hr":
             continue
-        marks, label = _marks(token[3])
+        marks, label = _marks(token[3], labelled)
         nodes.append(Node(stack[-1], tag, marks, label=label))
         stack.append(len(nodes) - 1)
     close_run()
@@ -215,7 +234,7 @@ def train(pages: list[str]) -> Model:
     moves = [[[0.5, 0.5], [0.5, 0.5]] for _ in range(4)]
     leaf_feature: dict[str, bool] = {}
     for html in pages:
-        nodes = parse(html)
+        nodes = parse(html, labelled=True)
         labels = labels_of(nodes)
         for i in range(1, len(nodes)):
             leaf = nodes[i].text is not None
