@@ -112,3 +112,12 @@ def test_primary_language(spark):
     df = spark.createDataFrame([(t,) for t in tags], "t string")
     got = [r[0] for r in df.select(li.primary_language(F.col("t"))).collect()]
     assert got == ["en", "en", "de", "zh", "x-own", None, None]
+
+
+def test_columns_with_any_name(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clash = docs.withColumns({c: F.lit(c) for c in ("value", "n", "row", "key", "best", "count", "language", "bucket")})
+    kept = li.keep_identified(clash)
+    assert kept.columns == clash.columns
+    assert kept.select("doc_id").exceptAll(li.keep_identified(docs).select("doc_id")).isEmpty()
+    assert kept.count() == li.keep_identified(docs).count()

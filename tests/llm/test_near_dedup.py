@@ -99,3 +99,17 @@ def test_signatures_estimate_similarity():
     other[:57] = rng.integers(0, 1 << 62, 57, dtype=np.uint64)  # 343 / 457
     same = [(nd.signature(base, seed=s) == nd.signature(other, seed=s)).mean() for s in range(20)]
     assert abs(np.mean(same) - 343 / 457) < 0.03
+
+
+def test_a_group_whose_first_copy_is_apart(spark):
+    """The smallest id of each bucket is near few of the rest, so other classes take the middle in turn."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(base[:95] + [f"z{i}" for i in range(25)]))]
+    for i in range(1, 60):
+        copy = list(base)
+        copy[100 + i % 20] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    rows = [(i, t, "clash") for i, t in rows]
+    got = nd.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)

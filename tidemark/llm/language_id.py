@@ -209,9 +209,9 @@ def join_evidence(
         size[r["best"]] += r["n"]
     by_value = counts.groupBy("value").agg(F.collect_list("best").alias("__best"), F.collect_list("n").alias("__n"))
     widest = by_value.agg(F.max(F.size("__best") * 12 + F.length("value") * 4)).first()[0] or 0
-    small = broadcast_if_small(freeze(by_value), 100 + widest)
-    joined = docs.join(small, docs[f"__own_{column}"] == small["value"], "left")
-    packed = F.when(F.col("value").isNotNull(), F.struct("__best", "__n")).alias("__own_" + column)
+    small = broadcast_if_small(freeze(by_value.withColumnRenamed("value", "__value")), 100 + widest)
+    joined = docs.join(small, docs[f"__own_{column}"] == small["__value"], "left")
+    packed = F.when(F.col("__value").isNotNull(), F.struct("__best", "__n")).alias("__own_" + column)
     keep = [F.col(f"`{c}`") for c in docs.columns if c != f"__own_{column}"]
     return joined.select(*keep, packed), size
 

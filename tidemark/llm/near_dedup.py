@@ -8,8 +8,9 @@ and the labels a shingle meets are one contiguous slice of the label table.
 
 32 bands of four coordinates: a pair at similarity 0.75 shares none with a
 probability of 5e-6.  Equal sets are one class from the start.  In a bucket every
-class is compared with the smallest one.  The classes of buckets that still hold
-several components meet across components by an exact prefix filter, so no new
+class is compared with the smallest one, and while that links, with another one of
+each bucket that still holds several components.  The classes of buckets left open
+meet across components by an exact prefix filter, so no new
 link between them is left out, classes already joined are not paired again, and a
 passage that many documents share pairs none of them.  Every candidate is confirmed on the whole
 sets, by integers: 100 * intersection >= 75 * union.
@@ -41,6 +42,8 @@ SHINGLE = 5
 RING = 1 << 20
 # How many word hashes a Python worker remembers before it starts anew.
 WORDS_KEPT = 100_000
+# Stars are tried again while more than one in so many of their pairs links; what they leave meets by the prefix filter.
+STAR_SHARE = 10
 BANDS = 32
 ROWS = 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -216,11 +219,34 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     nodes = classes.select(F.col("class").alias("node"))
     found = freeze(connected_components(nodes, links))
 
-    # buckets that still hold several components
+    # buckets that still hold several components: another class of each takes the middle, as long as that links
+    tried, turn = stars, 0
+    while True:
+        placed = shared.select("key", "class", "size").join(found.withColumnRenamed("node", "class"), "class")
+        mixed = placed.groupBy("key").agg(
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+            F.min_by(F.struct("class", "size", "component"), F.xxhash64("class", F.lit(turn))).alias("head"),
+        )
+        open_ = freeze(placed.join(mixed.where("lo < hi").select("key", "head"), "key"))
+        rays = open_.where((F.col("component") != F.col("head.component")) & _could("size", "head.size", percent))
+        rays = rays.select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b"))
+        rays = freeze(rays.distinct().join(tried, ["a", "b"], "left_anti"))
+        fresh = freeze(confirm(rays, sets, percent))
+        tested, linked = rays.count(), fresh.count()
+        tried = tried.union(rays)
+        if linked:
+            links = links.union(fresh)
+            found = freeze(connected_components(nodes, links))
+        turn += 1
+        if linked * STAR_SHARE <= tested:
+            break
+
+    # what is left open meets across components
     placed = shared.select("key", "class").join(found.withColumnRenamed("node", "class"), "class")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_ = placed.join(mixed.select("key"), "key").select("class", "component").distinct()
-    across = freeze(pairs_across(open_, sets, percent).join(stars, ["a", "b"], "left_anti"))
+    across = freeze(pairs_across(open_, sets, percent).join(tried, ["a", "b"], "left_anti"))
     more = freeze(confirm(across, sets, percent))
     if not more.isEmpty():
         found = freeze(connected_components(nodes, links.union(more)))
