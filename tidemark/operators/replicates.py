@@ -77,10 +77,12 @@ def row_seed(names: Sequence[str], seed: int) -> Column:
 def weight(row: Column, draw: Column) -> Column:
     """How often a row is drawn in a replicate."""
     a, b, c = MULTIPLIERS
-    mixed = ((row + 1) * a % MODULUS).bitwiseXOR((draw + 1) * b * a % MODULUS)
-    mixed = mixed * c % MODULUS
-    mixed = mixed.bitwiseXOR(F.shiftright(mixed, 15)) * a % MODULUS
-    return sum(((mixed >= limit).cast("int") for limit in poisson_limits()[1:]), (mixed >= poisson_limits()[0]).cast("int"))
+    first = ((row + 1) * a % MODULUS).bitwiseXOR((draw + 1) * b * a % MODULUS) * c % MODULUS
+    # arrays of one entry name what is used several times, which the optimizer would otherwise copy out
+    last = F.transform(F.array(first), lambda m: m.bitwiseXOR(F.shiftright(m, 15)) * a % MODULUS)
+    none, *more = poisson_limits()
+    times = F.transform(last, lambda h: sum(((h >= limit).cast("int") for limit in more), (h >= none).cast("int")))
+    return F.aggregate(times, F.lit(0), lambda total, t: total + t)
 
 
 def bootstrap_draws(
