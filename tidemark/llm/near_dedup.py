@@ -12,8 +12,10 @@ class is compared with the smallest one, and while that links, with another one
 each bucket that still holds several components.  The classes of buckets left open
 meet across components by an exact prefix filter, so no new
 link between them is left out, classes already joined are not paired again, and a
-passage that many documents share pairs none of them.  Every candidate is confirmed on the whole
-sets, by integers: 100 * intersection >= 75 * union.
+passage that many documents share pairs none of them.  A bitmap of each set rules out
+most candidates that are not similar enough: every bit that two bitmaps do not share
+stands for a shingle that the sets do not share, so none that is similar is lost.  Every
+candidate left is confirmed on the whole sets, by integers: 100 * intersection >= 75 * union.
 
 Shingles are compared by 64-bit hashes of their five word hashes.
 
@@ -27,12 +29,12 @@ columns are not looked at; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, freeze, keep_rows, prepare, query, table, whole_text
@@ -46,6 +48,8 @@ WORDS_KEPT = 100_000
 STAR_SHARE = 10
 BANDS = 32
 ROWS = 4
+# 64-bit words of a set's bitmap.  Sets of far more shingles than bits are not ruled out by it, only confirmed.
+BITMAP_WORDS = 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_HASHES: dict[bytes, int] = {}
@@ -111,29 +115,43 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each value that the leading bits of the shingles' hashes take."""
+    flags = np.zeros(64 * BITMAP_WORDS, dtype=np.uint8)
+    flags[(shingles >> np.uint64(32)) % np.uint64(len(flags))] = 1
+    return np.packbits(flags).view(np.int64)
+
+
 def sketches(rows: DataFrame, bands: int = BANDS, rows_: int = ROWS) -> DataFrame:
-    """(row, size, low, high, bands) of (row, text): set size, a 128-bit hash of the set, band keys."""
+    """(row, size, low, high, bands, bits) of (row, text): set size, a 128-bit hash of the set, band keys, bitmap."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, low, high, signs = [], [], [], []
+            sizes, low, high, signs, maps = [], [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py())
                 both = xxhash.xxh3_128_intdigest(found.tobytes())
                 sizes.append(len(found))
                 low.append((both & ((1 << 64) - 1)) - (1 << 63))
                 high.append((both >> 64) - (1 << 63))
+                maps.append(bitmap(found))
                 if len(found):
                     signs.append(signature(found, bands, rows_))
             keys = band_keys(np.stack(signs), bands, rows_) if signs else np.empty((0, bands), dtype=np.int64)
             ends = np.cumsum([0] + [bands * (n > 0) for n in sizes])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+            words = np.concatenate(maps) if maps else np.empty(0, dtype=np.int64)
+            bits = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(sizes) + 1) * BITMAP_WORDS, pa.int32()), pa.array(words)
+            )
+            columns = [pa.array(c, pa.int64()) for c in (sizes, low, high)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), lists],
-                names=["row", "size", "low", "high", "bands"],
+                [batch.column(0), *columns, lists, bits], names=["row", "size", "low", "high", "bands", "bits"]
             )
 
-    return rows.mapInArrow(sketch, "row long, size long, low long, high long, bands array<long>")
+    return rows.mapInArrow(
+        sketch, "row long, size long, low long, high long, bands array<long>, bits array<long>"
+    )
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -161,12 +179,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
 
 
-def _could(a: str, b: str, percent: int):
-    """Whether sets of these sizes can reach the similarity at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _could(percent: int) -> Column:
+    """Whether sets of sizes ``size_a``, ``size_b`` and bitmaps ``bits_a``, ``bits_b`` can be similar enough at all."""
+    a, b = F.col("size_a"), F.col("size_b")
+    apart = [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP_WORDS)]
+    # at most (a + b - apart) / 2 shingles in common, of which percent / (100 + percent) of a + b are needed
+    reach = (100 + percent) * (a + b - reduce(lambda x, y: x + y, apart)) >= 2 * percent * (a + b)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & reach
+
 
+def possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and bitmaps do not rule out."""
+    left, right = (
+        marks.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
+        for x in "ab"
+    )
+    return pairs.join(right, "b").join(left, "a").where(_could(percent)).select("a", "b")
 
-def pairs_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def pairs_across(placed: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that could be similar enough.
 
     An exact prefix filter.  Such a pair shares at least percent of the shingles of
@@ -174,25 +205,29 @@ def pairs_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many shingles that lie in several components, and with these in order from the
     rarest on, the pair must share one among the first k - needed + 1 of both.
     Shingles that many components share stand last and bring no pairs together.
+    Where many do meet, sizes and bitmaps let through those that may be similar.
     """
-    one = sets.join(placed, sets["row"] == placed["class"]).select(
-        "class", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s")
-    )
-    one = one.withColumn("needed", F.ceil(F.col("size") * percent / 100))
-    spread = one.groupBy("s").agg(
+    ours = sets.join(placed, sets["row"] == placed["class"])
+    one = ours.select("class", F.explode("shingles").alias("s"))
+    spread = ours.select("component", F.explode("shingles").alias("s")).groupBy("s").agg(
         F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
     common = one.join(spread.where("lo < hi").select("s", "n"), "s")
-    enough = common.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.min("needed").alias("least")).where("k >= least")
-    ranked = common.join(enough.drop("least"), "class").withColumn(
-        "rank", F.row_number().over(W.partitionBy("class").orderBy("n", "s"))
+    # a class's own shingles, from the rarest on
+    ranked = common.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("common"))
+    sized = ranked.join(placed, "class").join(marks, "class").withColumns(
+        {"k": F.size("common"), "needed": F.ceil(F.col("size") * percent / 100).cast("int")}
+    )
+    first = sized.where("k >= needed").select(
+        "class", "component", "size", "bits", "k", F.posexplode(F.slice("common", 1, F.expr("k - needed + 1")))
+    )
+    first = freeze(
+        first.select("class", "component", "size", "bits", F.col("col.s").alias("s"), (F.col("k") - F.col("pos")).alias("rest"))
     )
-    first = ranked.where("rank <= k - needed + 1").withColumn("rest", F.col("k") - F.col("rank") + 1)
-    first = freeze(first.select("class", "component", "size", "s", "rest"))
     left, right = (first.select("s", *[F.col(c).alias(f"{c}_{x}") for c in first.columns if c != "s"]) for x in "ab")
     # at the first shingle that a pair shares, what is left of both must hold the whole intersection
-    reach = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
-    met = left.join(right, "s").where((F.col("component_a") < F.col("component_b")) & reach)
+    rest = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
+    met = left.join(right, "s").where((F.col("component_a") < F.col("component_b")) & rest & _could(percent))
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
@@ -200,13 +235,14 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     """(row, size, component) of (row, text) with distinct rows; empty sets are components of their own."""
     sketch = freeze(sketches(rows, bands, rows_))
     filled = sketch.where("size > 0")
-    classes = freeze(filled.groupBy("size", "low", "high").agg(F.min("row").alias("class"), F.min_by("bands", "row").alias("bands")))
-    keyed = freeze(classes.select("class", "size", F.explode("bands").alias("key")))
+    classes = freeze(
+        filled.groupBy("size", "low", "high").agg(F.min("row").alias("class"), F.min_by(F.struct("bands", "bits"), "row").alias("of"))
+    )
+    marks = classes.select("class", "size", "of.bits")
+    keyed = freeze(classes.select("class", "size", F.explode("of.bands").alias("key")))
     buckets = keyed.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = freeze(keyed.join(buckets, "key"))
-    sizes = classes.select(F.col("class").alias("a"), F.col("size").alias("size_a"))
-    stars = shared.where("a != class").select("a", F.col("class").alias("b"), "size").distinct()
-    stars = freeze(stars.join(sizes, "a").where(_could("size_a", "size", percent)).select("a", "b"))
+    stars = freeze(possible(shared.where("a != class").select("a", F.col("class").alias("b")).distinct(), marks, percent))
 
     # sets of the classes that share a bucket with another
     needed = shared.select(F.col("class").alias("row")).distinct()
@@ -222,16 +258,16 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     # buckets that still hold several components: another class of each takes the middle, as long as that links
     tried, turn = stars, 0
     while True:
-        placed = shared.select("key", "class", "size").join(found.withColumnRenamed("node", "class"), "class")
+        placed = shared.select("key", "class").join(found.withColumnRenamed("node", "class"), "class")
         mixed = placed.groupBy("key").agg(
             F.min("component").alias("lo"),
             F.max("component").alias("hi"),
-            F.min_by(F.struct("class", "size", "component"), F.xxhash64("class", F.lit(turn))).alias("head"),
+            F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn))).alias("head"),
         )
         open_ = freeze(placed.join(mixed.where("lo < hi").select("key", "head"), "key"))
-        rays = open_.where((F.col("component") != F.col("head.component")) & _could("size", "head.size", percent))
+        rays = open_.where(F.col("component") != F.col("head.component"))
         rays = rays.select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b"))
-        rays = freeze(rays.distinct().join(tried, ["a", "b"], "left_anti"))
+        rays = freeze(possible(rays.distinct(), marks, percent).join(tried, ["a", "b"], "left_anti"))
         fresh = freeze(confirm(rays, sets, percent))
         tested, linked = rays.count(), fresh.count()
         tried = tried.union(rays)
@@ -246,7 +282,7 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     placed = shared.select("key", "class").join(found.withColumnRenamed("node", "class"), "class")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_ = placed.join(mixed.select("key"), "key").select("class", "component").distinct()
-    across = freeze(pairs_across(open_, sets, percent).join(tried, ["a", "b"], "left_anti"))
+    across = freeze(pairs_across(open_, sets, marks, percent).join(tried, ["a", "b"], "left_anti"))
     more = freeze(confirm(across, sets, percent))
     if not more.isEmpty():
         found = freeze(connected_components(nodes, links.union(more)))
