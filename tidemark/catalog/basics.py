@@ -736,6 +736,33 @@ def top_categories(spark, folder):
     return profile.top_categories(table(spark, folder, "part"))
 
 
+@query(
+    "document_top_categories",
+    union_all(
+        """SELECT '{c}' AS "column", row_number() OVER (ORDER BY n DESC, v)::INT AS rank, v AS value, n AS "count"
+        FROM (SELECT {c} AS v, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1) QUALIFY rank <= 10""",
+        ["text", "lang", "source"],
+    ),
+)
+def document_top_categories(spark, folder):
+    """Whole texts among the values: only digests are shuffled, the winners are looked up."""
+    return profile.top_categories(table(spark, folder, "documents"))
+
+
+@query(
+    "document_categories",
+    union_all(
+        """SELECT '{c}' AS "column", count({c}) AS "count", count(DISTINCT {c}) AS "unique",
+        (SELECT {c} FROM documents WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_value,
+        (SELECT max(n) FROM (SELECT count({c}) AS n FROM documents GROUP BY {c})) AS top_freq,
+        round(count(DISTINCT {c}) / count(*), 6) AS cardinality_ratio FROM documents""",
+        ["text", "lang", "source"],
+    ),
+)
+def document_categories(spark, folder):
+    return rounded(describe.describe_categorical(table(spark, folder, "documents")))
+
+
 @query(
     "datetime_profile",
     """WITH d AS (SELECT DISTINCT o_orderdate AS m FROM orders),

@@ -86,6 +86,20 @@ def document_consistency(spark, folder):
     return quality.consistency_findings(table(spark, folder, "documents"))
 
 
+@query(
+    "document_case_variants",
+    """WITH d AS (SELECT text FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT lower(substr(text, 1, 1)) || substr(text, 2) FROM documents WHERE text IS NOT NULL)
+    SELECT 'text' AS "column", count(*) AS keys, count(*) FILTER (n > 1) AS inconsistent
+    FROM (SELECT count(DISTINCT text) AS n FROM d GROUP BY lower(text))""",
+)
+def document_case_variants(spark, folder):
+    """All documents, and each once more with a small first letter."""
+    docs = table(spark, folder, "documents").select("text")
+    small = docs.select(F.expr("concat(lower(substr(text, 1, 1)), substr(text, 2))").alias("text"))
+    return quality.case_variants(docs.union(small))
+
+
 @query(
     "case_variants",
     """SELECT 'code' AS "column", count(*) AS keys, count(*) FILTER (WHERE v > 1) AS inconsistent FROM

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.summaries import summarise
 from tidemark.functions.types import as_double, is_missing, numeric_columns, string_columns
-from tidemark.operators.describe import long_frequencies
+from tidemark.operators.frequencies import most_frequent, text_frequencies
 from tidemark.plans.ordered import forward_fill
+from tidemark.plans.storage import freeze
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -47,9 +48,8 @@ def fill_means_and_modes(df: DataFrame) -> DataFrame:
         fills |= {r["column"]: r["v"] for r in measured.collect() if r["gaps"]}
     texts = string_columns(df)
     if texts:
-        order = F.struct(-F.col("count"), F.col("value"))
-        modes = long_frequencies(df, texts).groupBy("column").agg(F.min_by("value", order).alias("v"))
-        fills |= {r["column"]: r["v"] for r in modes.collect()}
+        modes = most_frequent(df, freeze(text_frequencies(df, texts)))
+        fills |= {r["column"]: r["value"] for r in modes.collect()}
     rest = [c for c in df.columns if c not in numbers and c not in texts]
     for c in rest:
         counted = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("value")).count()

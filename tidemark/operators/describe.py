@@ -17,8 +17,10 @@ from tidemark.functions.types import (
     type_group,
 )
 from tidemark.operators.aggregate import duplicate_rows
+from tidemark.operators.frequencies import most_frequent, text_frequencies
 from tidemark.plans.joining import null_safe_join
 from tidemark.plans.quantiles import SMALL_VALUES, melt, quantiles
+from tidemark.plans.storage import freeze
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -71,26 +73,13 @@ def describe_numeric(
     return null_safe_join(moments, q, ["column"]).withColumn("median", F.col("q50"))
 
 
-def long_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, count) for several text columns from one shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column", "value").count()
-
-
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, distinct values, top value (tie: smallest), its frequency, cardinality ratio."""
     columns = string_columns(df) if columns is None else list(columns)
-    order = F.struct(-F.col("count"), F.col("value"))
-    found = (
-        long_frequencies(df, columns)
-        .groupBy("column")
-        .agg(
-            F.sum("count").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.min_by("value", order).alias("top_value"),
-            F.max("count").alias("top_freq"),
-        )
-    )
+    freq = freeze(text_frequencies(df, columns))
+    sizes = freq.groupBy("column").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("unique"))
+    top = most_frequent(df, freq).select("column", F.col("value").alias("top_value"), F.col("count").alias("top_freq"))
+    found = null_safe_join(sizes, top, ["column"])
     rows = summarise(df, columns, lambda c: {"rows": F.count(F.lit(1))})
     return null_safe_join(rows, found, ["column"], "left").select(
         "column",

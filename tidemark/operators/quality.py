@@ -19,6 +19,7 @@ from tidemark.functions.types import (
 from tidemark.operators.aggregate import duplicate_rows
 from tidemark.operators.correlation import pearson_pairs
 from tidemark.operators.describe import missing_by_column
+from tidemark.operators.frequencies import short_key
 from tidemark.operators.profile import column_profile, fence_counts
 from tidemark.plans.joining import null_safe_join
 from tidemark.plans.quantiles import SMALL_VALUES, quantiles
@@ -144,13 +145,18 @@ def case_variants(df: DataFrame) -> DataFrame:
     """Per text column: lower-cased values, and how many of them are spelled in several ways.
 
     Two spellings exist exactly if the smallest and largest differ, so no set of
-    spellings is kept.
+    spellings is kept.  Long texts take part by their digests.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in string_columns(df)])
-    spelled = df.select(F.inline(pairs)).where("value is not null")
-    per_key = spelled.groupBy("column", F.lower("value").alias("k")).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi")
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"), short_key(F.lower(f"`{c}`")).alias("k"), short_key(F.col(f"`{c}`")).alias("value")
+            )
+            for c in string_columns(df)
+        ]
     )
+    spelled = df.select(F.inline(pairs)).where("value is not null")
+    per_key = spelled.groupBy("column", "k").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     return per_key.groupBy("column").agg(
         F.count(F.lit(1)).alias("keys"), F.count_if(F.col("lo") != F.col("hi")).alias("inconsistent")
     )
