@@ -113,3 +113,14 @@ def test_a_group_whose_first_copy_is_apart(spark):
     rows = [(i, t, "clash") for i, t in rows]
     got = nd.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_bitmaps_bound_the_difference():
+    """No two bitmaps differ in more bits than their sets in shingles, so no similar pair is ruled out."""
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 5, 150, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for gone in {0, size // 10, size}:
+            b = np.union1d(a[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64))
+            apart = sum(int(x).bit_count() for x in (nd.bitmap(a) ^ nd.bitmap(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b))
