@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.types import as_double, require_columns
 from tidemark.operators.derive import choose_features
-from tidemark.plans.joining import null_safe_join
+from tidemark.plans.boxtree import box_gap, leaf_boxes, near_leaves, with_leaf
+from tidemark.plans.joining import attach, null_safe_join
 from tidemark.plans.quantiles import SMALL_VALUES, quantiles
 from tidemark.plans.storage import freeze
 
@@ -23,6 +24,8 @@ CANDIDATE_K = range(2, 11)
 LARGEST_K = 6
 MIN_ROWS = 10
 NOISE = -1
+# Centres are compared in leaves of at most so many.
+LEAF_CENTRES = 256
 
 
 def scaled_name(feature: str) -> str:
@@ -126,52 +129,85 @@ def _squares(columns: Sequence[str], other: Sequence[Column]) -> Column:
     )
 
 
+def worst_ratios(centres: DataFrame, d: int) -> DataFrame:
+    """(cluster, worst): the largest (s + s') / distance of a centre to any other.
+
+    ``centres`` has a cluster, ``m0`` ... and the spread ``s``.  Centres meet in the leaves
+    of a tree; what a leaf's own centres reach rules out leaves too far away to exceed
+    it.  Centres at one place give infinity.
+    """
+    at = F.array(*[F.col(f"m{i}") for i in range(d)])
+    leafed = freeze(with_leaf(centres.select("cluster", "s", at.alias("at")), "at", d, LEAF_CENTRES))
+
+    def ratios(pairs: DataFrame | None) -> DataFrame:
+        one, two = (leafed.select(*[F.col(c).alias(f"{c}{end}") for c in leafed.columns]) for end in "12")
+        if pairs is None:
+            met = one.join(two, (F.col("leaf1") == F.col("leaf2")) & (F.col("cluster1") != F.col("cluster2")))
+        else:
+            met = pairs.join(one, "leaf1").join(two, "leaf2").where("cluster1 <> cluster2")
+        square = reduce(
+            lambda a, b: a + b, [(F.col("at1")[i] - F.col("at2")[i]) * (F.col("at1")[i] - F.col("at2")[i]) for i in range(d)]
+        )
+        ratio = F.when(square > 0, (F.col("s1") + F.col("s2")) / F.sqrt(square)).otherwise(F.lit(float("inf")))
+        return met.groupBy(F.col("cluster1").alias("cluster")).agg(F.max(ratio).alias("worst"))
+
+    own = freeze(ratios(None))
+    if leafed.where("leaf <> '0'").isEmpty():
+        return own
+    known = null_safe_join(leafed, own, ["cluster"], "left")
+    boxes = leaf_boxes(known, "at", d, most=F.max("s"), least=F.min(F.coalesce("worst", F.lit(0.0))))
+
+    def may_exceed(a: str, b: str) -> Column:
+        reached = F.col(f"least{a}") * (1 - 1e-9)
+        both = F.col(f"most{a}") + F.col(f"most{b}")
+        gap = box_gap(a, b, d)
+        return (gap == 0) | (both * both >= reached * reached * gap)
+
+    return ratios(near_leaves(boxes, d, may_exceed, {"most": F.max, "least": F.min}))
+
+
 def validate_clusters(labelled: DataFrame, features: Sequence[str]) -> DataFrame:
     """Quality of a labelling on the scaled features, one row.
 
     The silhouette uses squared Euclidean distances, for which it follows from
     cluster sums in one pass.  Noise (-1) is left out of the silhouette; the
     Calinski-Harabasz and Davies-Bouldin indices are given only without noise.
+    Centres stay a table, of any number of clusters.
     """
     columns = [scaled_name(f) for f in features]
+    means = [f"m{i}" for i in range(len(columns))]
     counts = labelled.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("cluster") == NOISE).alias("noise")
     ).first()
     inside = labelled.where(F.col("cluster") != NOISE)
-    centres = inside.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]
-    ).collect()
-    k, n = len(centres), counts["n"]
+    centres = freeze(
+        inside.groupBy("cluster").agg(
+            F.count(F.lit(1)).alias("size"), *[F.avg(f"`{c}`").alias(m) for m, c in zip(means, columns)]
+        )
+    )
+    sums = centres.agg(
+        F.count(F.lit(1)).alias("k"), F.sum("size").alias("rows"), *[F.sum(F.col("size") * F.col(m)).alias(m) for m in means]
+    ).first()
+    k, n, rows = sums["k"], counts["n"], sums["rows"]
     out = {"n_samples": n, "n_features": len(features), "n_clusters": k, "n_noise": counts["noise"],
            "noise_ratio": counts["noise"] / n if n else 0.0}
     scores = {"silhouette_squared": None, "inertia": None, "calinski_harabasz": None, "davies_bouldin": None}
     if 1 < k < n:
-        mean_of = {r["cluster"]: [r[f"m{i}"] for i in range(len(columns))] for r in centres}
-        # One centre per cluster: a literal map, bounded by the number of clusters.
-        centre = F.create_map(
-            *[x for c, m in mean_of.items() for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in m]))]
-        )[F.col("cluster")]
-        square = _squares(columns, [centre[i] for i in range(len(columns))])
-        spread = {
-            r["cluster"]: r
-            for r in inside.groupBy("cluster").agg(F.sum(square).alias("ss"), F.avg(F.sqrt(square)).alias("s")).collect()
-        }
-        size = {r["cluster"]: r["size"] for r in centres}
-        rows = sum(size.values())
-        within = sum(r["ss"] for r in spread.values())
+        numbers = inside.select("cluster", *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+        placed = attach(numbers, centres, ["cluster"], stored=True)
+        square = _squares([f"x{i}" for i in range(len(columns))], [F.col(m) for m in means])
+        spread = placed.groupBy("cluster").agg(F.sum(square).alias("ss"), F.avg(F.sqrt(square)).alias("s"))
+        described = freeze(null_safe_join(centres, spread, ["cluster"]))
+        grand = [sums[m] / rows for m in means]
+        between, within = described.agg(
+            F.sum(F.col("size") * _squares(means, [F.lit(float(g)) for g in grand])), F.sum("ss")
+        ).first()
         vectors = VectorAssembler(inputCols=columns, outputCol="vector").transform(inside)
         evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
         scores |= {"silhouette_squared": float(evaluator.evaluate(vectors)), "inertia": float(within)}
         if counts["noise"] == 0:
-            dims = range(len(columns))
-            grand = [sum(size[c] * m[i] for c, m in mean_of.items()) / rows for i in dims]
-            between = sum(size[c] * sum((m[i] - grand[i]) ** 2 for i in dims) for c, m in mean_of.items())
-
-            def ratio(a: int, b: int) -> float:
-                gap = sum((mean_of[a][i] - mean_of[b][i]) ** 2 for i in dims) ** 0.5
-                return (spread[a]["s"] + spread[b]["s"]) / gap if gap else float("inf")
-
-            scores["davies_bouldin"] = sum(max(ratio(a, b) for b in mean_of if b != a) for a in mean_of) / k
+            worst = worst_ratios(described.select("cluster", "s", *means), len(columns))
+            scores["davies_bouldin"] = worst.agg(F.sum("worst")).first()[0] / k
             scores["calinski_harabasz"] = (
                 float(between / (k - 1) / (within / (rows - k))) if within and rows > k else None
             )

@@ -2,7 +2,9 @@
 
 Cells are so small that two points of one cell are always neighbours.  A cell
 holding ``min_samples`` rows is therefore all core points of one cluster, and only
-points of thin cells are compared with the points of nearby cells.
+points of thin cells are compared with the points of nearby cells.  With up to three
+features nearby cells are looked up by their indices, with more by a tree of boxes
+over the occupied cells.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.clustering import NOISE, prepare_features, scaled_name
 from tidemark.operators.components import connected_components
 from tidemark.operators.derive import choose_features
+from tidemark.plans.boxtree import box_gap, leaf_boxes, near_leaves, with_leaf
 from tidemark.plans.joining import attach, null_safe_join
 from tidemark.plans.ordered import with_position
 from tidemark.plans.quantiles import SMALL_VALUES
@@ -27,7 +30,10 @@ from tidemark.plans.storage import freeze
 CHUNK_POINTS = 10_000
 # Two groups of points are compared directly up to this many pairs, else subdivided.
 DIRECT_PAIRS = 10_000
+# With more features than this, nearby cells are found by a tree instead of index offsets.
 GRID_DIMENSIONS = 3
+# A leaf of that tree holds at most so many occupied cells.
+LEAF_CELLS = 64
 
 
 def _xs(d: int, prefix: str = "x") -> list[str]:
@@ -52,33 +58,43 @@ def _grid(names: Sequence[str], side: float) -> Column:
     return F.array(*[F.floor(F.col(n) / side) for n in names])
 
 
-def _neighbour_cells(cells: DataFrame, d: int, side: float, eps: float) -> DataFrame:
-    """Pairs of occupied cells (cid1, cid2, chunks2) that may hold points within ``eps``.
-
-    Neighbours are looked up by index offsets on the first dimensions; the others
-    are checked on the boxes.
-    """
-    g = min(d, GRID_DIMENSIONS)
+def _cells_by_offset(cells: DataFrame, d: int) -> DataFrame:
+    """Pairs of occupied cells, one looked up by each index offset within reach of the other."""
     reach = int(math.isqrt(d)) + 1
     offsets = [
         o
-        for o in itertools.product(range(-reach, reach + 1), repeat=g)
+        for o in itertools.product(range(-reach, reach + 1), repeat=d)
         if sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d
     ]
     shift = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offsets]))
-    near_key = F.zip_with(F.slice("cell1", 1, g), "shift", lambda c, o: c + o)
+    near_key = F.zip_with("cell1", "shift", lambda c, o: c + o)
     left = cells.select(F.col("cid").alias("cid1"), F.col("cell").alias("cell1")).withColumn("shift", shift)
-    right = cells.select(
-        F.col("cid").alias("cid2"), F.col("cell").alias("cell2"), F.col("chunks").alias("chunks2"),
-        F.slice("cell", 1, g).alias("key"),
+    right = cells.select(F.col("cid").alias("cid2"), F.col("cell").alias("cell2"), F.col("chunks").alias("chunks2"))
+    return left.withColumn("key", near_key).join(right, F.col("key") == F.col("cell2"))
+
+
+def _cells_by_tree(cells: DataFrame, d: int, side: float, slack: float) -> DataFrame:
+    """Pairs of occupied cells from leaves of a tree that lie near each other.
+
+    Leaves are of bounded size and both sides of a pair are keyed by leaf, so neither a
+    slab with most of the cells nor the number of features makes a key crowded.
+    """
+    leafed = freeze(with_leaf(cells.select("cid", "cell", "chunks"), "cell", d, LEAF_CELLS))
+    pairs = near_leaves(
+        leaf_boxes(leafed, "cell", d), d, lambda a, b: box_gap(a, b, d, slack=1) * F.lit(side * side) <= slack
     )
-    slack = eps * eps * (1 + 1e-9)
-    return (
-        left.withColumn("key", near_key)
-        .join(right, "key")
-        .where(_box_gap("cell1", "cell2", d, side, nearest=True) <= slack)
-        .select("cid1", "cid2", "chunks2")
+    left = leafed.select(F.col("leaf").alias("leaf1"), F.col("cid").alias("cid1"), F.col("cell").alias("cell1"))
+    right = leafed.select(
+        F.col("leaf").alias("leaf2"), F.col("cid").alias("cid2"), F.col("cell").alias("cell2"), F.col("chunks").alias("chunks2")
     )
+    return pairs.join(left, "leaf1").join(right, "leaf2")
+
+
+def _neighbour_cells(cells: DataFrame, d: int, side: float, eps: float) -> DataFrame:
+    """Pairs of occupied cells (cid1, cid2, chunks2) that may hold points within ``eps``."""
+    slack = eps * eps * (1 + 1e-9)
+    pairs = _cells_by_offset(cells, d) if d <= GRID_DIMENSIONS else _cells_by_tree(cells, d, side, slack)
+    return pairs.where(_box_gap("cell1", "cell2", d, side, nearest=True) <= slack).select("cid1", "cid2", "chunks2")
 
 
 def _within(probes: DataFrame, near: DataFrame, targets: DataFrame, d: int, eps: float) -> DataFrame:
