@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -93,20 +94,84 @@ def kmeans_chosen_k(spark, folder):
     return rounded(clustering.validate_clusters(labelled, features))
 
 
-@query("dbscan_profile")
+def _dbscan(source: str, features: list[str], eps: float, needed: int) -> str:
+    """Common tables that end in ``labelled`` (v0 ..., cluster): all pairs of near points, by boxes of side ``eps``."""
+    dims = range(len(features))
+    points = {"l": 0.01, "a": 0.25, "b": 0.5, "c": 0.75, "h": 0.99}
+    side = eps / math.sqrt(len(features)) * (1 - 1e-9)
+
+    def each(template: str, by: str = ", ") -> str:
+        return by.join(template.replace("@", str(i)) for i in dims)
+
+    limits = ", ".join(f"quantile_cont(v{i}, {q}) AS {n}{i}" for i in dims for n, q in points.items())
+    scaled = each("(least(greatest(v@, l@), h@) - b@) / CASE WHEN c@ = a@ THEN 1 ELSE c@ - a@ END AS s@")
+    shifts = ", ".join(f"(SELECT unnest(range(-1, 2)) AS o{i})" for i in dims)
+    return f"""WITH RECURSIVE src AS (SELECT {", ".join(f"{f}::DOUBLE AS v{i}" for i, f in enumerate(features))}
+      FROM {source} WHERE {" AND ".join(f"{f} IS NOT NULL" for f in features)}),
+    lim AS (SELECT {limits} FROM src),
+    scaled AS (SELECT {each("least(greatest(v@, l@), h@) AS v@")}, {scaled} FROM src, lim),
+    pts AS (SELECT {each("s@")}, count(*) AS w, {each(f"floor(s@ / {side!r})::BIGINT AS c@")},
+      {each(f"floor(s@ / {eps!r})::BIGINT AS g@")} FROM scaled GROUP BY {each("s@")}),
+    shifted AS (SELECT * EXCLUDE ({each("g@")}), {each("g@ + o@ AS g@")} FROM pts, {shifts}),
+    near AS (SELECT {each("a.s@")}, {each("a.c@")}, {each("b.s@ AS t@")}, {each("b.c@ AS d@")}, b.w FROM shifted a
+      JOIN pts b ON {each("b.g@ = a.g@", " AND ")} WHERE {each("(a.s@ - b.s@) ** 2", " + ")} <= {eps * eps!r}),
+    core AS (SELECT {each("s@")}, {each("c@")} FROM near GROUP BY ALL HAVING sum(w) >= {needed}),
+    reached AS (SELECT n.* FROM near n JOIN core c ON {each("c.s@ = n.t@", " AND ")}),
+    node AS (SELECT {each("c@")}, row_number() OVER (ORDER BY {each("c@")}) AS id FROM (SELECT DISTINCT {each("c@")} FROM core)),
+    edge AS (SELECT DISTINCT a.id AS a, b.id AS b FROM reached r JOIN core c ON {each("c.s@ = r.s@", " AND ")}
+      JOIN node a ON {each("a.c@ = r.c@", " AND ")} JOIN node b ON {each("b.c@ = r.d@", " AND ")}),
+    part_of(id, low) USING KEY (id) AS (SELECT id, id FROM node UNION
+      SELECT e.b, min(p.low) FROM part_of p JOIN edge e ON e.a = p.id JOIN recurring.part_of r ON r.id = e.b
+      WHERE p.low < r.low GROUP BY e.b),
+    numbered AS (SELECT {each("c@")}, (dense_rank() OVER (ORDER BY low) - 1)::INT AS cluster FROM part_of
+      JOIN node USING (id)),
+    marked AS (SELECT {each("s@")}, cluster FROM core JOIN numbered USING ({each("c@")}) UNION ALL
+      SELECT {each("r.s@")}, min(cluster) FROM reached r JOIN numbered k ON {each("k.c@ = r.d@", " AND ")}
+      ANTI JOIN core c ON {each("c.s@ = r.s@", " AND ")} GROUP BY {each("r.s@")}),
+    labelled AS (SELECT {each("s.v@")}, coalesce(m.cluster, -1) AS cluster FROM scaled s
+      LEFT JOIN marked m ON {each("m.s@ = s.s@", " AND ")})
+    """
+
+
+@query(
+    "dbscan_profile",
+    _dbscan("part", ["p_size", "p_retailprice"], 0.05, 4)
+    + "\nUNION ALL\n".join(
+        f"""SELECT cluster, '{name}' AS "column", count(*) AS size, round(avg({c}), 6) AS mean,
+        round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max,
+        round(count(*) / (SELECT count(*) FROM labelled) * 100, 6) AS percentage, round(median({c}), 6) AS median,
+        CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster_' || cluster::VARCHAR END AS cluster_name
+        FROM labelled GROUP BY cluster"""
+        for c, name in (("v0", "p_size"), ("v1", "p_retailprice"))
+    ),
+)
 def dbscan_profile(spark, folder):
     features = ["p_size", "p_retailprice"]
     labelled = dbscan.dbscan(table(spark, folder, "part"), features, eps=0.05, min_samples=4)
     return rounded(clustering.cluster_profile(labelled, features))
 
 
-@query("dbscan_line_items")
+@query(
+    "dbscan_line_items",
+    _dbscan("lineitem", ["l_quantity", "l_extendedprice"], 0.05, 4)
+    + "SELECT cluster, count(*) AS size FROM labelled GROUP BY cluster",
+)
 def dbscan_line_items(spark, folder):
     features = ["l_quantity", "l_extendedprice"]
     labelled = dbscan.dbscan(table(spark, folder, "lineitem"), features, eps=0.05, min_samples=4)
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
+@query(
+    "dbscan_four_features",
+    _dbscan("lineitem", MEASURES, 0.1, 5) + "SELECT cluster, count(*) AS size FROM labelled GROUP BY cluster",
+)
+def dbscan_four_features(spark, folder):
+    """All four measures of line items: more features than index offsets serve."""
+    labelled = dbscan.dbscan(table(spark, folder, "lineitem"), MEASURES, eps=0.1, min_samples=5)
+    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
 def numbered_clusters(spark, folder):
     """Line items labelled by their line number, with features named as the validation expects."""
     line = table(spark, folder, "lineitem")
