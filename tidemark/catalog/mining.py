@@ -81,17 +81,147 @@ def association_report(spark, folder):
 _CLUSTER_FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-@query("kmeans_profile")
+def _scaled(source: str, features: list[str]) -> str:
+    """Common tables src, lim and pts: features clipped to q01-q99 as v0 ..., robustly scaled as s0 ..."""
+    dims = range(len(features))
+    points = {"l": 0.01, "a": 0.25, "b": 0.5, "c": 0.75, "h": 0.99}
+    limits = ", ".join(f"quantile_cont(v{i}, {q}) AS {n}{i}" for i in dims for n, q in points.items())
+    columns = ", ".join(
+        f"least(greatest(v{i}, l{i}), h{i}) AS v{i}, (least(greatest(v{i}, l{i}), h{i}) - b{i}) / "
+        f"CASE WHEN c{i} = a{i} THEN 1 ELSE c{i} - a{i} END AS s{i}"
+        for i in dims
+    )
+    return f"""src AS (SELECT {", ".join(f"{f}::DOUBLE AS v{i}" for i, f in enumerate(features))}
+      FROM {source} WHERE {" AND ".join(f"{f} IS NOT NULL" for f in features)}),
+    lim AS (SELECT {limits} FROM src), pts AS MATERIALIZED (SELECT {columns} FROM src, lim)"""
+
+
+def _kmeans(source: str, features: list[str], k: int | None = None) -> str:
+    """Common tables that end in ``labelled`` (v0 ..., s0 ..., cluster).
+
+    A clustering is one row: its number, lists of centres, sums of squares and sizes.
+    """
+    dims = range(len(features))
+    far = " + ".join(f"(s{i} - q[{i + 1}]) ** 2" for i in dims)
+    means = ", ".join(f"avg(s{i})" for i in dims)
+    squares = ", ".join(f"var_pop(s{i}) * count(*)" for i in dims)
+
+    def near(clustering: str) -> str:
+        return f"""(SELECT *, list_position(ds, list_min(ds)) AS j FROM (SELECT pts.*, z.*, list_transform(z.c,
+          lambda q: {far}) AS ds FROM pts, {clustering} z))"""
+
+    def described(clustering: str) -> str:
+        return f"""SELECT list(m ORDER BY j) AS c, list(ss ORDER BY j) AS ss, list(n ORDER BY j) AS n FROM
+          (SELECT j, [{means}] AS m, [{squares}] AS ss, count(*) AS n FROM {near(clustering)} GROUP BY j)"""
+
+    most = k or max(clustering.CANDIDATE_K)
+    steps = [f"(SELECT [[{means}]] AS c FROM pts)"]
+    tables = [f"g1 AS MATERIALIZED ({described(steps[0])})"]
+    for i in range(2, most + 1):
+        tables.append(
+            f"""w{i} AS (SELECT *, list_position(ss[pick], list_max(ss[pick])) AS dim FROM (SELECT *, list_position(costs,
+              list_max(costs)) AS pick FROM (SELECT *, list_transform(ss, lambda q: list_sum(q)) AS costs FROM g{i - 1}))),
+            r{i} AS (SELECT *, sqrt(ss[pick][dim] / n[pick]) AS reach FROM w{i}),
+            p{i} AS (SELECT list_append(list_transform(c, lambda q, i: CASE WHEN i = pick THEN list_transform(q,
+              lambda x, t: x - CASE WHEN t = dim THEN reach ELSE 0 END) ELSE q END), list_transform(c[pick],
+              lambda x, t: x + CASE WHEN t = dim THEN reach ELSE 0 END)) AS c FROM r{i}),
+            a{i} AS MATERIALIZED ({described(f"p{i}")}),
+            g{i} AS MATERIALIZED ({described(f"(SELECT c FROM a{i})")})"""
+        )
+    grown = " UNION ALL ".join(
+        f"SELECT {i} AS k, c, list_sum(list_transform(ss, lambda q: list_sum(q))) AS cost FROM g{i}"
+        for i in range(1, most + 1)
+    )
+    chosen = str(k) if k else f"""(SELECT CASE WHEN max("drop") > 0 THEN least(arg_max(k, "drop"),
+        {clustering.LARGEST_K}) ELSE {clustering.CANDIDATE_K[0]} END FROM (SELECT k, gain - lead(gain) OVER (ORDER BY k)
+        AS "drop" FROM (SELECT k, lag(cost) OVER (ORDER BY k) - cost AS gain FROM grown
+        WHERE k >= {clustering.CANDIDATE_K[0]})))"""
+    return f"""WITH RECURSIVE {_scaled(source, features)}, {", ".join(tables)}, grown AS MATERIALIZED ({grown}),
+    settled(step, c, moved) AS (SELECT 0, c, 1e300::DOUBLE FROM grown WHERE k = {chosen} UNION ALL
+      SELECT step + 1, list(m ORDER BY j), max(list_distance(m, old)) FROM
+      (SELECT step, j, [{means}] AS m, any_value(c[j]) AS old FROM
+      {near(f"(SELECT * FROM settled WHERE step < {clustering.MAX_ITERATIONS} AND moved > {clustering.TOLERANCE})")}
+      GROUP BY step, j) GROUP BY step),
+    final AS MATERIALIZED (SELECT list_sort(arg_max(c, step)) AS c FROM settled),
+    labelled AS MATERIALIZED (SELECT * EXCLUDE (c, ds, j), (j - 1)::INT AS cluster FROM {near("final")})
+    """
+
+
+def _profile(features: list[str], name: str = "'cluster_' || cluster::VARCHAR") -> str:
+    """The profile of ``labelled`` (v0 ..., cluster)."""
+    return "\nUNION ALL\n".join(
+        f"""SELECT cluster, '{f}' AS "column", count(*) AS size, round(avg(v{i}), 6) AS mean,
+        round(stddev_samp(v{i}), 6) AS std, round(min(v{i}), 6) AS min, round(max(v{i}), 6) AS max,
+        round(count(*) / (SELECT count(*) FROM labelled) * 100, 6) AS percentage, round(median(v{i}), 6) AS median,
+        {name} AS cluster_name FROM labelled GROUP BY cluster"""
+        for i, f in enumerate(features)
+    )
+
+
+# Validation of p (c, x, y), to follow the common table p.
+_VALIDATION = """,
+    m AS (SELECT c, count(*) AS k, avg(x) AS mx, avg(y) AS my, sum(x * x + y * y) AS sq FROM p GROUP BY 1),
+    g AS (SELECT count(*) AS clusters, sum(k) AS n, sum(k * mx) / sum(k) AS gx, sum(k * my) / sum(k) AS gy FROM m),
+    w AS (SELECT c, sum((x - mx) ** 2 + (y - my) ** 2) AS ss, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s
+      FROM p JOIN m USING (c) GROUP BY 1),
+    b AS (SELECT sum(k * ((mx - gx) ** 2 + (my - gy) ** 2)) AS between FROM m, g),
+    r AS (SELECT a.c, max((wa.s + wb.s) / sqrt((a.mx - z.mx) ** 2 + (a.my - z.my) ** 2)) AS worst FROM m a JOIN m z
+      ON a.c <> z.c JOIN w wa ON wa.c = a.c JOIN w wb ON wb.c = z.c GROUP BY 1),
+    d AS (SELECT p.c, p.x, p.y, m.c = p.c AS own, CASE WHEN m.c = p.c THEN (k * (x * x + y * y) - 2 * k * (x * mx + y * my)
+      + sq) / nullif(k - 1, 0) ELSE (x * x + y * y) - 2 * (x * mx + y * my) + sq / k END AS dist FROM p, m),
+    q AS (SELECT any_value(i) AS i, max(dist) FILTER (WHERE own) AS a, min(dist) FILTER (WHERE NOT own) AS b FROM
+      (SELECT *, x AS i FROM d) GROUP BY c, x, y),
+    n AS (SELECT c, x, y, count(*) AS copies FROM p GROUP BY 1, 2, 3),
+    s AS (SELECT sum(copies * (b - a) / greatest(a, b)) / sum(copies) AS sil FROM (SELECT c, x, y,
+      max(dist) FILTER (WHERE own) AS a, min(dist) FILTER (WHERE NOT own) AS b FROM d GROUP BY 1, 2, 3) JOIN n
+      USING (c, x, y))
+    SELECT n::BIGINT AS n_samples, 2 AS n_features, clusters::INT AS n_clusters, 0::BIGINT AS n_noise,
+      0.0::DOUBLE AS noise_ratio, round(sil, 6) AS silhouette_squared, round((SELECT sum(ss) FROM w), 2) AS inertia,
+      round(between / (clusters - 1) / ((SELECT sum(ss) FROM w) / (n - clusters)), 6) AS calinski_harabasz,
+      round(db, 4) AS davies_bouldin, CASE WHEN sil > 0.7 THEN 'strong' WHEN sil > 0.5 THEN 'reasonable' WHEN sil > 0.25 THEN 'weak' ELSE 'poor' END
+      AS silhouette_interpretation,
+      CASE WHEN db < 1 THEN 'good' WHEN db < 2 THEN 'acceptable' ELSE 'poor' END
+      AS davies_bouldin_interpretation, CASE WHEN sil > 0.5 THEN 'good' WHEN sil > 0.25 THEN 'fair' ELSE 'poor' END AS overall_quality FROM g, b, s,
+      (SELECT avg(worst) AS db FROM r)"""
+
+
+@query("kmeans_profile", _kmeans("lineitem", _CLUSTER_FEATURES, 4) + _profile(_CLUSTER_FEATURES))
 def kmeans_profile(spark, folder):
     labelled = clustering.kmeans(table(spark, folder, "lineitem"), _CLUSTER_FEATURES, k=4)
     return rounded(clustering.cluster_profile(labelled, _CLUSTER_FEATURES))
 
 
-@query("kmeans_chosen_k")
+_PART_FEATURES = ["p_size", "p_retailprice"]
+
+
+@query(
+    "kmeans_chosen_k",
+    _kmeans("part", _PART_FEATURES) + ", p AS (SELECT cluster AS c, s0 AS x, s1 AS y FROM labelled)" + _VALIDATION,
+)
 def kmeans_chosen_k(spark, folder):
-    features = ["p_size", "p_retailprice"]
-    labelled = clustering.kmeans(table(spark, folder, "part"), features)
-    return rounded(clustering.validate_clusters(labelled, features))
+    labelled = clustering.kmeans(table(spark, folder, "part"), _PART_FEATURES)
+    return rounded(clustering.validate_clusters(labelled, _PART_FEATURES), 6, inertia=2, davies_bouldin=4)
+
+
+def planted_clusters(spark, folder):
+    """Line items with two features that put them into three groups, the planted truth."""
+    line = table(spark, folder, "lineitem").withColumn("truth", F.col("l_orderkey") % 3)
+    return line.select(
+        "truth",
+        (F.col("truth") * 1000 + F.col("l_quantity")).alias("far"),
+        (F.pmod(F.col("truth") * 2, F.lit(3)) * 10 + F.col("l_discount")).alias("wide"),
+    )
+
+
+@query(
+    "kmeans_planted",
+    """SELECT dense_rank() OVER (ORDER BY l_orderkey % 3)::INT - 1 AS cluster, l_orderkey % 3 AS truth,
+    count(*) AS rows FROM lineitem GROUP BY l_orderkey % 3""",
+)
+def kmeans_planted(spark, folder):
+    """Three groups planted among line items: their number is found, and each comes back whole."""
+    labelled = clustering.kmeans(planted_clusters(spark, folder), ["far", "wide"])
+    return labelled.groupBy("cluster", "truth").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _dbscan(source: str, features: list[str], eps: float, needed: int) -> str:
@@ -183,27 +313,8 @@ def numbered_clusters(spark, folder):
 
 @query(
     "cluster_validation",
-    """WITH p AS (SELECT l_linenumber - 1 AS c, l_quantity * 0.1 AS x, l_discount * 10.0 AS y FROM lineitem),
-    m AS (SELECT c, count(*) AS k, avg(x) AS mx, avg(y) AS my, sum(x * x + y * y) AS sq FROM p GROUP BY 1),
-    g AS (SELECT count(*) AS clusters, sum(k) AS n, sum(k * mx) / sum(k) AS gx, sum(k * my) / sum(k) AS gy FROM m),
-    w AS (SELECT c, sum((x - mx) ** 2 + (y - my) ** 2) AS ss, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s
-      FROM p JOIN m USING (c) GROUP BY 1),
-    b AS (SELECT sum(k * ((mx - gx) ** 2 + (my - gy) ** 2)) AS between FROM m, g),
-    r AS (SELECT a.c, max((wa.s + wb.s) / sqrt((a.mx - z.mx) ** 2 + (a.my - z.my) ** 2)) AS worst FROM m a JOIN m z
-      ON a.c <> z.c JOIN w wa ON wa.c = a.c JOIN w wb ON wb.c = z.c GROUP BY 1),
-    d AS (SELECT p.c, p.x, p.y, m.c = p.c AS own, CASE WHEN m.c = p.c THEN (k * (x * x + y * y) - 2 * k * (x * mx + y * my)
-      + sq) / nullif(k - 1, 0) ELSE (x * x + y * y) - 2 * (x * mx + y * my) + sq / k END AS dist FROM p, m),
-    q AS (SELECT any_value(i) AS i, max(dist) FILTER (WHERE own) AS a, min(dist) FILTER (WHERE NOT own) AS b FROM
-      (SELECT *, x AS i FROM d) GROUP BY c, x, y),
-    n AS (SELECT c, x, y, count(*) AS copies FROM p GROUP BY 1, 2, 3),
-    s AS (SELECT sum(copies * (b - a) / greatest(a, b)) / sum(copies) AS sil FROM (SELECT c, x, y,
-      max(dist) FILTER (WHERE own) AS a, min(dist) FILTER (WHERE NOT own) AS b FROM d GROUP BY 1, 2, 3) JOIN n
-      USING (c, x, y))
-    SELECT n::BIGINT AS n_samples, 2 AS n_features, clusters::INT AS n_clusters, 0::BIGINT AS n_noise,
-      0.0::DOUBLE AS noise_ratio, round(sil, 6) AS silhouette_squared, round((SELECT sum(ss) FROM w), 2) AS inertia,
-      round(between / (clusters - 1) / ((SELECT sum(ss) FROM w) / (n - clusters)), 6) AS calinski_harabasz,
-      round((SELECT avg(worst) FROM r), 4) AS davies_bouldin, 'poor' AS silhouette_interpretation,
-      'poor' AS davies_bouldin_interpretation, 'poor' AS overall_quality FROM g, b, s""",
+    """WITH p AS (SELECT l_linenumber - 1 AS c, l_quantity * 0.1 AS x, l_discount * 10.0 AS y FROM lineitem)"""
+    + _VALIDATION,
 )
 def cluster_validation(spark, folder):
     out = clustering.validate_clusters(numbered_clusters(spark, folder), ["l_quantity", "l_discount"])

@@ -1,11 +1,16 @@
-"""Clustering: preparation, k-means with choice of k, and validation of any labelling."""
+"""Clustering: preparation, k-means with choice of k, and validation of any labelling.
+
+K-means grows its clusterings: the one into k+1 clusters starts from that into k, so all
+candidates share one stored table of points and none is fitted anew.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -28,6 +33,14 @@ NOISE = -1
 LEAF_CENTRES = 256
 
 
+class Cluster(NamedTuple):
+    """Rows of a cluster, their mean, and per feature the sum of squares about it."""
+
+    size: int
+    mean: list[float]
+    squares: list[float]
+
+
 def scaled_name(feature: str) -> str:
     return f"scaled_{feature}"
 
@@ -57,16 +70,87 @@ def prepare_features(df: DataFrame, features: Sequence[str] | None = None, small
     )
 
 
-def _vectors(prepared: DataFrame, features: Sequence[str]) -> DataFrame:
-    assembler = VectorAssembler(inputCols=[scaled_name(f) for f in features], outputCol="vector")
-    return assembler.transform(prepared)
+def _distance(columns: Sequence[str], centre: Sequence[float]) -> Column:
+    return _squares(columns, [F.lit(float(x)) for x in centre])
+
+
+def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centre; the first of equally near ones."""
+    numbered = [
+        F.struct(_distance(columns, c).alias("far"), F.lit(j).alias("j")) for j, c in enumerate(centres)
+    ]
+    return F.least(*numbered)["j"] if len(numbered) > 1 else F.lit(0)
+
+
+def assign_and_describe(points: DataFrame, centres: Sequence[Sequence[float]]) -> list[Cluster]:
+    """One pass: rows go to their nearest centre; size, means and sums of squares of what came together.
+
+    A centre that no row is nearest to stays where it is.  The driver gets a row per centre.
+    """
+    columns = points.columns
+    found = {
+        r["j"]: r
+        for r in points.withColumn("j", nearest(columns, centres))
+        .groupBy("j")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+            *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+        )
+        .collect()
+    }
+    dims = range(len(columns))
+    return [
+        Cluster(r["n"], [r[f"m{i}"] for i in dims], [r[f"v{i}"] * r["n"] for i in dims])
+        if (r := found.get(j))
+        else Cluster(0, list(centre), [0.0 for _ in dims])
+        for j, centre in enumerate(centres)
+    ]
+
 
+def split_costliest(clusters: Sequence[Cluster]) -> list[list[float]] | None:
+    """Centres with the costliest cluster's cut in two, a deviation apart from its mean in its widest feature.
 
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42) -> KMeansModel:
-    return KMeans(
-        k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=TOLERANCE, initMode="k-means||", featuresCol="vector",
-        predictionCol="cluster",
-    ).fit(vectors)
+    None if no cluster has any spread: there are no more distinct points than centres.
+    """
+    costs = [sum(c.squares) for c in clusters]
+    at = costs.index(max(costs))
+    if costs[at] <= 0:
+        return None
+    widest = clusters[at].squares.index(max(clusters[at].squares))
+    reach = math.sqrt(clusters[at].squares[widest] / clusters[at].size)
+    centres = [list(c.mean) for c in clusters]
+    low, high = list(centres[at]), list(centres[at])
+    low[widest] -= reach
+    high[widest] += reach
+    centres[at] = low
+    return [*centres, high]
+
+
+def grow(points: DataFrame, k: int) -> list[list[Cluster]]:
+    """Clusterings into 1, 2, ... ``k`` clusters, each grown from the one before in two passes.
+
+    The costliest cluster is split, rows are assigned to the new centres, and once more to
+    the means.  Nothing is drawn at random.  Fewer are returned where the distinct points are fewer.
+    """
+    start = points.agg(*[F.avg(c) for c in points.columns]).first()
+    grown = [assign_and_describe(points, [list(start)])]
+    while len(grown) < k and (centres := split_costliest(grown[-1])) is not None:
+        moved = assign_and_describe(points, centres)
+        grown.append(assign_and_describe(points, [c.mean for c in moved]))
+    return grown
+
+
+def settle(points: DataFrame, clusters: Sequence[Cluster]) -> list[list[float]]:
+    """Centres after assigning and averaging until none moves further than ``TOLERANCE``, in ascending order."""
+    centres = [list(c.mean) for c in clusters]
+    for _ in range(MAX_ITERATIONS):
+        means = [c.mean for c in assign_and_describe(points, centres)]
+        moved = max(math.dist(a, b) for a, b in zip(centres, means))
+        centres = means
+        if moved <= TOLERANCE:
+            break
+    return sorted(centres)
 
 
 def elbow(costs: Sequence[float], first_k: int = 2, largest: int = LARGEST_K) -> int:
@@ -78,28 +162,33 @@ def elbow(costs: Sequence[float], first_k: int = 2, largest: int = LARGEST_K) ->
     return min(first_k + 1 + drops.index(max(drops)), largest)
 
 
-def choose_k(
-    vectors: DataFrame, seed: int = 42, candidates: Sequence[int] = CANDIDATE_K, largest: int = LARGEST_K
-) -> int:
-    """Number of clusters, at most ``largest``, from the training cost of each candidate; one fit per k."""
-    costs = [fit_kmeans(vectors, k, seed).summary.trainingCost for k in candidates]
-    return elbow(costs, candidates[0], largest)
-
-
 def kmeans(
     df: DataFrame,
     features: Sequence[str] | None = None,
     k: int | None = None,
-    seed: int = 42,
     small_values: int = SMALL_VALUES,
     largest: int = LARGEST_K,
+    candidates: Sequence[int] = CANDIDATE_K,
 ) -> DataFrame:
-    """Complete rows with a ``cluster`` column (0 … k-1), clipped and scaled features."""
+    """Complete rows with a ``cluster`` column (0 ... k-1), clipped and scaled features.
+
+    Without ``k``, the elbow of the costs of ``candidates`` (consecutive numbers) decides, at
+    most ``largest``; all of them come from one growing row of clusterings.  Clusters are
+    numbered by their centres.  With fewer distinct points than ``k`` there are fewer clusters.
+    """
     features = choose_features(df) if features is None else list(features)
     prepared = freeze(prepare_features(df, features, small_values))
-    vectors = _vectors(prepared, features)
-    k = choose_k(vectors, seed, largest=largest) if k is None else k
-    return fit_kmeans(vectors, k, seed).transform(vectors).drop("vector")
+    columns = [scaled_name(f) for f in features]
+    points = prepared.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(columns)]).persist()
+    try:
+        grown = grow(points, max(candidates) if k is None else k)
+        if k is None:
+            costs = [sum(sum(c.squares) for c in clusters) for clusters in grown[min(candidates) - 1 :]]
+            k = elbow(costs, min(candidates), largest)
+        centres = settle(points, grown[min(k, len(grown)) - 1])
+    finally:
+        points.unpersist()
+    return prepared.withColumn("cluster", nearest(columns, centres))
 
 
 def cluster_profile(labelled: DataFrame, features: Sequence[str], small_values: int = SMALL_VALUES) -> DataFrame:

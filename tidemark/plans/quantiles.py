@@ -15,6 +15,10 @@ from tidemark.plans.storage import freeze
 # bound the value map its tasks hold.
 SMALL_VALUES = 200_000
 
+# A sketch places a quantile within 1 / SKETCH_ACCURACY of the rows; a bracket reaches ten times as far to each side.
+SKETCH_ACCURACY = 10_000
+BRACKET_SHARE = 10 / SKETCH_ACCURACY
+
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form (``by``…, ``column``, ``value``) of numeric columns, nulls dropped."""
@@ -93,6 +97,54 @@ def long_quantiles(
     return grouped.select(*key_cols, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
 
 
+def brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[tuple[float, float]]]:
+    """Per column, ascending ranges of values that hold the rows at each probability and their neighbours.
+
+    One pass with a mergeable sketch per column.  A column of fewer rows than the
+    sketch's accuracy, where a bracket could end between two neighbours, has none.
+    """
+    ends = [end for p in sorted(probs) for end in (max(p - BRACKET_SHARE, 0.0), min(p + BRACKET_SHARE, 1.0))]
+    found = df.agg(
+        *[F.percentile_approx(as_double(df, c), ends, SKETCH_ACCURACY).alias(f"e{i}") for i, c in enumerate(columns)],
+        *[F.count(as_double(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
+    ).first()
+    out = {}
+    for i, c in enumerate(columns):
+        if found[f"n{i}"] < SKETCH_ACCURACY:
+            continue
+        ranges: list[tuple[float, float]] = []
+        for low, high in zip(found[f"e{i}"][::2], found[f"e{i}"][1::2]):
+            if ranges and low <= ranges[-1][1]:
+                before = ranges.pop()
+                low, high = before[0], max(high, before[1])
+            ranges.append((low, high))
+        out[c] = ranges
+    return out
+
+
+def narrowed(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Long form (``column``, ``value``) in which quantiles at ``probs`` are those of ``df``, with few distinct values.
+
+    Values between two brackets are moved to the lower one's end, and values below all
+    to the first one's start: rows keep their order, and those at the asked positions their values.
+    """
+    held = brackets(df, columns, probs)
+
+    def moved(c: str) -> Column:
+        v = as_double(df, c)
+        if c not in held:
+            return v
+        first, *others = held[c]
+        out = F.when(v.isNull(), v).when(v <= first[0], F.lit(first[0])).when(v <= first[1], v)
+        last = first[1]
+        for low, high in others:
+            out = out.when(v < low, F.lit(last)).when(v <= high, v)
+            last = high
+        return out.otherwise(F.lit(last))
+
+    return melt(df.select(*[moved(c).alias(c) for c in columns]), columns)
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -101,7 +153,12 @@ def quantiles(
     small_values: int = SMALL_VALUES,
     accuracy: int | None = None,
 ) -> DataFrame:
-    """Quantiles of several columns in one pass: one row per (``by``…, ``column``)."""
+    """Quantiles of several columns together: one row per (``by``…, ``column``).
+
+    Without groups a sketch first narrows down which values have to be counted exactly.
+    """
+    if accuracy is None and not by and columns:
+        return long_quantiles(narrowed(df, columns, list(probs.values())), ["column"], probs, small_values)
     return long_quantiles(melt(df, columns, by), [*by, "column"], probs, small_values, accuracy)
 
 
