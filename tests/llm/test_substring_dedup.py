@@ -82,3 +82,13 @@ def test_block_with_colliding_hashes(monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, [])  == []
+
+
+def test_one_word_repeated_in_two_documents_is_hot(spark):
+    rows = [(1, "the " * 30_000, ""), (2, "the " * 29_000 + "end", ""), (3, " ".join(f"w{i}" for i in range(500)), "")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id as doc", "0L as mark", "text")
+    shared = sd.shared_minimisers(df)
+    assert shared.agg({"n": "max"}).first()[0] > 50_000
+    assert len(sd.hot_minimisers(shared, 4)) == 1
+    got = {r[0]: (r[1], r[2]) for r in run(spark, rows)}
+    assert got == {1: (30_000, 0), 2: (29_001, 29_000), 3: (500, 0)}

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, freeze, prepare, query, shuffle_parts, table, whole_text
@@ -41,6 +41,9 @@ WINDOW = 13
 GRAM = 2
 # How many word hashes a Python worker remembers before it starts anew.
 WORDS_KEPT = 100_000
+# Minimisers are merged within a task once so many are at hand, and strings leave it by so many.
+COUNT_ROWS = 1_000_000
+BATCH_KMERS = 20_000
 # Buckets are judged together until so many super-k-mers are at hand.
 BLOCK_ROWS = 8_000
 NO_ID = (1 << 63) - 1
@@ -85,25 +88,28 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[b
 
 
 def shared_minimisers(rows: DataFrame) -> DataFrame:
-    """(key, n) of the minimisers that lie in more than one document."""
+    """(key, n) of the minimisers that lie in more than one document; n counts their super-k-mers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
+        keys, docs, counts, held = [], [], [], 0
         for doc, _, words in _texts(batches):
-            keys.append(np.unique(minimisers(words)[0]))
-            docs.append(np.full(len(keys[-1]), doc))
-            if len(keys) >= 20_000:
-                yield grouped(np.concatenate(keys), np.concatenate(docs))
-                keys, docs = [], []
+            found, n = np.unique(minimisers(words)[0], return_counts=True)
+            keys.append(found)
+            docs.append(np.full(len(found), doc))
+            counts.append(n)
+            held += len(found)
+            if held >= COUNT_ROWS:
+                yield grouped(*map(np.concatenate, (keys, docs, counts)))
+                keys, docs, counts, held = [], [], [], 0
         if keys:
-            yield grouped(np.concatenate(keys), np.concatenate(docs))
+            yield grouped(*map(np.concatenate, (keys, docs, counts)))
 
-    def grouped(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    def grouped(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         last = np.append(first[1:], len(keys)) - 1
-        columns = [keys[first].view(np.int64), last - first + 1, docs[first], docs[last]]
+        columns = [keys[first].view(np.int64), np.add.reduceat(counts[order], first), docs[first], docs[last]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n", "lo", "hi"])
 
     sums = rows.mapInArrow(count, "key long, n long, lo long, hi long").groupBy("key")
@@ -143,15 +149,17 @@ def super_kmers(rows: DataFrame, shared: DataFrame, hot: list[int]) -> DataFrame
             if not own.any():
                 continue
             ends = np.append(first[1:], len(words) - WINDOW + 1) + WINDOW - 1
-            keys, first, ends = keys[own], first[own], ends[own]
-            out[0].append(keys.view(np.int64))
-            out[1].append(np.full(len(keys), doc))
-            out[2].append(np.full(len(keys), mark))
-            out[3].append(first)
-            out[4] += [b" ".join(words[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
-            if len(out[4]) > 20_000:
-                yield batch(out)
-                out = [[], [], [], [], []]
+            keys, first, ends = keys[own].view(np.int64), first[own], ends[own]
+            for i in range(0, len(keys), BATCH_KMERS):
+                part = slice(i, i + BATCH_KMERS)
+                out[0].append(keys[part])
+                out[1].append(np.full(len(keys[part]), doc))
+                out[2].append(np.full(len(keys[part]), mark))
+                out[3].append(first[part])
+                out[4] += [b" ".join(words[a:b]) for a, b in zip(first[part].tolist(), ends[part].tolist())]
+                if len(out[4]) >= BATCH_KMERS:
+                    yield batch(out)
+                    out = [[], [], [], [], []]
         if out[4]:
             yield batch(out)
 
@@ -253,8 +261,9 @@ def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
             keys, first = minimisers(words)
             ends = np.append(first[1:], len(words) - WINDOW + 1)
             own = _among(keys, hot_keys)
-            at = [i for a, b in zip(first[own].tolist(), ends[own].tolist()) for i in range(a, b)]
-            if at:
+            windows = [i for a, b in zip(first[own].tolist(), ends[own].tolist()) for i in range(a, b)]
+            for start in range(0, len(windows), BATCH_KMERS):
+                at = windows[start : start + BATCH_KMERS]
                 columns = [
                     pa.array(np.full(len(at), doc), pa.int64()),
                     pa.array(np.full(len(at), mark), pa.int64()),
@@ -294,29 +303,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if hot:
         runs = runs.union(hot_runs(own, hot))
     runs = runs.union(copies.select("doc", "mark", F.lit(0).cast("long"), F.lit(NO_ID // 2)))
-    cuts = freeze(runs.groupBy("doc", "mark").agg(_joined(F.collect_list(F.struct("at", "n"))).alias("runs")))
+    cuts = freeze(_joined(runs).groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
     width = cuts.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0
     return _cut(rows.join(F.broadcast(cuts) if width <= BROADCAST_BYTES else cuts, ["doc", "mark"], "left"))
 
 
-def _joined(runs: Column) -> Column:
-    """Runs of one document in order, those whose words touch made one."""
-    kind = "array<struct<at:bigint,n:bigint>>"
-
-    def add(done: Column, run: Column) -> Column:
-        last = F.element_at(done, -1)
-        end = F.greatest(last["at"] + last["n"], run["at"] + run["n"])
-        longer = F.array(F.struct(last["at"].alias("at"), (end - last["at"]).alias("n")))
-        touches = run["at"] <= last["at"] + last["n"] + (WINDOW - 1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), longer)
-        return (
-            F.when(F.size(done) == 0, F.array(run))
-            .when(touches, grown)
-            .otherwise(F.concat(done, F.array(run)))
-            .cast(kind)
-        )
-
-    return F.aggregate(F.sort_array(runs), F.expr(f"cast(array() as {kind})"), add)
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs of one document whose words touch made one, in one pass over its sorted runs."""
+    ordered = Window.partitionBy("doc", "mark").orderBy("at", "n")
+    reached = F.max(F.col("at") + F.col("n")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = reached.isNull() | (F.col("at") > reached + (WINDOW - 1))
+    joined = runs.withColumn("opens", opens.cast("long")).withColumn("run", F.sum("opens").over(ordered))
+    ends = F.max(F.col("at") + F.col("n"))
+    return joined.groupBy("doc", "mark", "run").agg(F.min("at").alias("at"), (ends - F.min("at")).alias("n"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
