@@ -62,8 +62,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORD_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(minimiser, first window) of the super-k-mers of a document with at least a window of words."""
+def gram_hashes(words: list[bytes], gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of each run of ``gram`` words, which orders them."""
     h = word_hashes(words)
     with np.errstate(over="ignore"):
         grams = h[: len(h) - gram + 1].copy()
@@ -71,6 +71,15 @@ def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tu
             grams = (grams ^ (grams >> np.uint64(29))) * ODD + h[j : len(h) - gram + 1 + j]
         grams = (grams ^ (grams >> np.uint64(32))) * ODD
         grams ^= grams >> np.uint64(29)
+    return grams
+
+
+def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(minimiser, first window) of the super-k-mers of a document with at least a window of words."""
+    return _minimisers(gram_hashes(words, gram), window, gram)
+
+
+def _minimisers(grams: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     span = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
@@ -258,7 +267,10 @@ def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, mark, words in _texts(batches):
-            keys, first = minimisers(words)
+            grams = gram_hashes(words)
+            if not _among(grams, hot_keys).any():
+                continue
+            keys, first = _minimisers(grams)
             ends = np.append(first[1:], len(words) - WINDOW + 1)
             own = _among(keys, hot_keys)
             windows = [i for a, b in zip(first[own].tolist(), ends[own].tolist()) for i in range(a, b)]
