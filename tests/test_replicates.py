@@ -26,6 +26,39 @@ def test_weights_are_poisson_and_independent_of_partitions(spark):
     assert abs(totals.mean() - 20_000) < 300 and totals.std() < 400
 
 
+def test_table_of_weights_is_that_of_the_columns(spark):
+    rows, draws = [0, 1, 77, (1 << 28) - 1, *random.Random(5).sample(range(1 << 28), 300)], 40
+    df = spark.createDataFrame([(r,) for r in rows], "row long").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    want = {(r["row"], r["draw"]): r["w"] for r in df.withColumn("w", replicates.weight(F.col("row"), F.col("draw").cast("long"))).collect()}
+    got = replicates.weight_table(np.array(rows), np.arange(draws))
+    assert all(got[k, i] == want[r, k] for i, r in enumerate(rows) for k in range(draws))
+
+
+def test_no_row_for_each_row_and_replicate(spark):
+    df = spark.range(1000).withColumn("y", F.col("id") * 1.5)
+    found = replicates.bootstrap_draws(df, "y", ["id"], draws=50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan
+    assert found.count() == 50
+
+
+def test_sums_of_groups_follow_the_plain_definition(spark):
+    rows = [(i, float(i % 17) if i % 5 else None, f"g{i % 7 if i % 11 else 'x'}") for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, y double, g string").repartition(3)
+    halves = replicates.Statistic({"half": lambda y, x: F.when(y > 0, y / 2)}, lambda s: s["half"] / s["w"])
+    got = {(r.grp, r.draw): r.value for r in replicates.bootstrap_draws(df, "y", ["i"], halves, "g", draws=9).collect()}
+    seeds = {r.i: r.s for r in df.select("i", replicates.row_seed(["i"], 42).alias("s")).collect()}
+    known = [r for r in rows if r[1] is not None]
+    for g in {r[2] for r in known}:
+        own = [r for r in known if r[2] == g]
+        centre = sum(r[1] for r in own) / len(own)
+        w = replicates.weight_table(np.array([seeds[r[0]] for r in own]), np.arange(9)).astype(float)
+        for k in range(9):
+            above = [(w[k, j], r[1] - centre) for j, r in enumerate(own) if w[k, j] > 0 and r[1] > centre]
+            want = sum(a * v / 2 for a, v in above) / w[k].sum() if above else None
+            assert got.get((g, k)) == (None if want is None else pytest.approx(want))
+
+
 @pytest.mark.parametrize("statistic", ["MEAN", "DEVIATION", "SLOPE"])
 def test_errors_agree_with_theory(spark, statistic):
     rng = np.random.default_rng(4)

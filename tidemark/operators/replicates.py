@@ -2,10 +2,11 @@
 
 A resample of n rows gives each row a count that is close to Poisson(1).  So a replicate
 needs no resampling: each row draws its weight for each replicate from a hash of what names
-the row, and one aggregation keyed by group and replicate adds up the weighted sums.  Equal
-partial sums meet before the shuffle, which then carries one row for each group, replicate
-and task.  The hash is integer arithmetic that any SQL engine repeats, so draws depend
-neither on partitions nor on the order of rows.
+the row, and one aggregation keyed by group and replicate adds up the weighted sums.  A task
+draws the weights of some rows and all replicates as one small array and adds them up at
+once, so no row for each row and replicate is ever made; the shuffle carries one row for each
+group, replicate and batch at most.  The hash is integer arithmetic that any SQL engine
+repeats, so draws depend neither on partitions nor on the order of rows.
 
 Defined results: rows without a value (or without a place, for a trend) take no part; null
 groups have no interval; rows with equal names share their weights; a replicate in which the
@@ -16,14 +17,17 @@ gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.types import as_double, require_columns
 from tidemark.plans.joining import attach
+from tidemark.plans.shipping import ship_package
 from tidemark.plans.storage import freeze
 
 DRAWS = 200
@@ -31,6 +35,8 @@ MODULUS = (1 << 31) - 1
 # Multipliers of the hash, and the most often a row may be drawn.
 MULTIPLIERS = (48271, 69621, 16807)
 MOST = 12
+# Weights drawn at once: arrays of so many entries stay in a core's cache.
+WEIGHTS_AT_ONCE = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -85,6 +91,63 @@ def weight(row: Column, draw: Column) -> Column:
     return F.aggregate(times, F.lit(0), lambda total, t: total + t)
 
 
+def _reduced(product: np.ndarray) -> np.ndarray:
+    """Remainders by ``MODULUS``, which is one less than a power of two, of numbers below 2^62."""
+    folded = ((product & MODULUS) + (product >> 31)).astype(np.uint32)
+    return np.minimum(folded, folded - np.uint32(MODULUS))
+
+
+def weight_table(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """``weight`` of all given replicates (down) and rows (across), as small integers."""
+    a, b, c = MULTIPLIERS
+    of_row, of_draw = (rows.astype(np.int64) + 1) * a % MODULUS, (draws.astype(np.int64) + 1) * b * a % MODULUS
+    m = _reduced((of_draw[:, None] ^ of_row[None, :]) * c)
+    h = _reduced((m ^ (m >> np.uint32(15))).astype(np.int64) * a).view(np.int32)
+    out = np.zeros(h.shape, np.uint8)
+    for limit in poisson_limits():
+        out += (h >= np.int32(limit)).view(np.uint8)
+    return out
+
+
+def _adder(schema: pa.Schema, draws: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums by group and replicate of (grp, row, summands): one row for each of a batch in which a row is drawn."""
+    replicate, step = np.arange(draws), max(1, WEIGHTS_AT_ONCE // max(draws, 1))
+
+    def added(rows: np.ndarray, summands: list[pa.Array]) -> tuple[np.ndarray, list[np.ndarray]]:
+        drawn = np.zeros(draws)
+        totals, counted = [np.zeros(draws) for _ in summands], [np.zeros(draws) for _ in summands]
+        values = [s.fill_null(0.0).to_numpy(zero_copy_only=False) for s in summands]
+        known = [s.is_valid().to_numpy(zero_copy_only=False) if s.null_count else None for s in summands]
+        finite = [bool(np.isfinite(v).all()) for v in values]
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            w = weight_table(rows[part], replicate).astype(float)
+            drawn += w.sum(axis=1)
+            for k, v in enumerate(values):
+                # a row that is not drawn adds nothing, an infinite value of it neither
+                totals[k] += np.einsum("dr,r->d", w, v[part]) if finite[k] else np.where(w > 0, w * v[part], 0.0).sum(axis=1)
+                if known[k] is not None:
+                    counted[k] += np.einsum("dr,r->d", w, known[k][part].astype(float))
+        # like a sum in SQL, one without a known value is null
+        nulls = [counted[k] == 0 if known[k] is not None else None for k in range(len(summands))]
+        return drawn, [pa.array(t, mask=m) for t, m in zip(totals, nulls)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("grp").dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+            for g, (start, end) in enumerate(zip(np.r_[0, ends], ends)):
+                own = batch.take(pa.array(order[start:end]))
+                drawn, totals = added(own.column("row").to_numpy(), [own.column(i) for i in range(2, own.num_columns)])
+                names = pa.array([coded.dictionary[g].as_py()] * draws, pa.string())
+                full = pa.RecordBatch.from_arrays([names, pa.array(replicate, pa.int32()), pa.array(drawn), *totals], schema=schema)
+                yield full.filter(pa.array(drawn > 0))
+
+    return add
+
+
 def bootstrap_draws(
     df: DataFrame,
     target: str,
@@ -107,11 +170,12 @@ def bootstrap_draws(
     centred = attach(rows, centres, ["grp"], stored=True)
     y, x = F.col("y") - F.col("centre"), F.col("x") - F.col("middle")
     sums = {name: fn(y, x) for name, fn in statistic.sums.items()}
-    each = centred.select("grp", "row", *[c.alias(f"s_{name}") for name, c in sums.items()], F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    weighed = each.withColumn("w", weight(F.col("row"), F.col("draw").cast("long"))).where("w > 0")
-    added = weighed.groupBy("grp", "draw").agg(
-        F.sum("w").cast("double").alias("w"), *[F.sum(F.col("w") * F.col(f"s_{name}")).alias(f"t_{name}") for name in sums]
-    )
+    ship_package(df.sparkSession)
+    each = centred.select("grp", "row", *[c.cast("double").alias(f"s_{name}") for name, c in sums.items()])
+    parts = ["w", *[f"t_{name}" for name in sums]]
+    schema = pa.schema([("grp", pa.string()), ("draw", pa.int32()), *[(c, pa.float64()) for c in parts]])
+    weighed = each.mapInArrow(_adder(schema, draws), ", ".join(["grp string", "draw int", *[f"`{c}` double" for c in parts]]))
+    added = weighed.groupBy("grp", "draw").agg(*[F.sum(f"`{c}`").alias(c) for c in parts])
     known = {"w": F.col("w"), "centre": F.col("centre"), "middle": F.col("middle"), **{name: F.col(f"t_{name}") for name in sums}}
     return attach(added, centres, ["grp"], stored=True).select("grp", "draw", statistic.value(known).alias("value"))
 
