@@ -17,6 +17,7 @@ SMALL_LOG_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_LOG_SD = [-0.4803, -0.082676, 0.0030302]
 SMALL_GAMMA = [-2.273, 0.459]
+ERFC_LIMIT = 25.0
 
 
 def _poly(coefficients: list[float], x: float) -> float:
@@ -67,24 +68,26 @@ def shapiro_wilk(sample: np.ndarray) -> tuple[float, float]:
     return w, normal_tail((y - mean) / sd)
 
 
-def log_normal_cdf(z: np.ndarray) -> np.ndarray:
-    """log of the standard normal distribution function, elementwise."""
+def log_normal_tails(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the standard normal distribution function at ``z`` and at ``-z``, elementwise."""
     z = np.asarray(z, dtype=float)
     x = np.abs(z) / math.sqrt(2.0)
-    near = np.minimum(x, 2.5)
-    term = near.copy()
-    series = near.copy()
-    for k in range(1, 80):
-        term = term * (2.0 * near * near) / (2 * k + 1)
-        series = series + term
-    erf_near = 2.0 / math.sqrt(math.pi) * np.exp(-near * near) * series
-    far = np.maximum(x, 2.5)
-    tail = far.copy()
-    for k in range(160, 0, -1):
-        tail = far + (k / 2.0) / tail
-    log_tail_far = -far * far - np.log(tail) - 0.5 * math.log(math.pi) - math.log(2.0)
-    is_near = x < 2.5
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log_upper = np.where(is_near, np.log(np.maximum(0.5 * (1.0 - erf_near), 1e-300)), log_tail_far)
-        log_lower = np.log1p(-np.exp(log_upper))
-    return np.where(z < 0, log_upper, log_lower)
+    tail = 0.5 * np.fromiter(map(math.erfc, x.tolist()), float, len(x))
+    with np.errstate(divide="ignore"):
+        upper = np.log(tail)
+    # beyond, the tail is too small for a double: its continued fraction
+    far = x > ERFC_LIMIT
+    if far.any():
+        reach = x[far]
+        fraction = reach.copy()
+        for k in range(60, 0, -1):
+            fraction = reach + (k / 2.0) / fraction
+        with np.errstate(invalid="ignore"):
+            upper[far] = -reach * reach - np.log(fraction) - 0.5 * math.log(math.pi) - math.log(2.0)
+    lower = np.log1p(-tail)
+    return np.where(z < 0, upper, lower), np.where(z < 0, lower, upper)
+
+
+def log_normal_cdf(z: np.ndarray) -> np.ndarray:
+    """log of the standard normal distribution function, elementwise."""
+    return log_normal_tails(z)[0]

@@ -8,15 +8,16 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.normality import log_normal_cdf, shapiro_wilk
+from tidemark.functions.normality import log_normal_tails, shapiro_wilk
 from tidemark.functions.special import chi2_sf, f_sf, normal_tail, t_ppf, t_sf2
 from tidemark.functions.types import as_double, require_columns
 from tidemark.operators.pairwise_ranks import pair_sums
 from tidemark.plans.joining import attach, null_safe_join
-from tidemark.plans.ordered import minimum_from_here, prefix_sums, with_position
-from tidemark.plans.quantiles import SMALL_VALUES, count_quantiles, melt, running_counts, value_counts
+from tidemark.plans.ordered import blocks_in_order, minimum_from_here, prefix_sums, with_position
+from tidemark.plans.quantiles import SMALL_VALUES, count_quantiles, melt, quantiles_of_counts, running_counts, value_counts
 from tidemark.plans.shipping import ship_package
 from tidemark.plans.storage import freeze
 
@@ -64,6 +65,42 @@ def grouped_counts(long: DataFrame, min_size: int = 1) -> DataFrame:
     return attach(counts, sizes, _KEYS).drop("__n")
 
 
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """Stored ``counts`` with their places, from one sort by value.
+
+    Adds ``before`` and ``total`` (rows of the group with a smaller value, and all) and
+    ``below``, ``same`` and ``everyone`` (those of all groups together).
+    """
+    blocked = blocks_in_order(counts, ["column"], ["value"])
+    earlier = lambda *by: W.partitionBy(*by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    first = lambda of, *by: F.coalesce(F.sum(of).over(earlier(*by)), F.lit(0))
+    per_group = blocked.groupBy(*_KEYS, "__block").agg(F.sum("c").alias("__c"))
+    per_column = freeze(blocked.groupBy("column", "__block").agg(F.sum("c").alias("__c")))
+    of_group = freeze(
+        per_group.select(*_KEYS, "__block", first("__c", *_KEYS).alias("__g"), F.sum("__c").over(W.partitionBy(*_KEYS)).alias("total"))
+    )
+    of_column = freeze(
+        per_column.select(
+            "column", "__block", first("__c", "column").alias("__a"), F.sum("__c").over(W.partitionBy("column")).alias("everyone")
+        )
+    )
+    by_value = W.partitionBy("column", "__block").orderBy("value")
+    inside = W.partitionBy(*_KEYS, "__block").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    # a block holds all rows of a value
+    local = (
+        blocked.withColumn("same", F.sum("c").over(by_value.rangeBetween(W.currentRow, W.currentRow)))
+        .withColumn("__l", F.sum("c").over(by_value.rangeBetween(W.unboundedPreceding, W.currentRow)) - F.col("same"))
+        .withColumn("__b", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    )
+    placed = attach(attach(local, of_group, [*_KEYS, "__block"], stored=True), of_column, ["column", "__block"], stored=True)
+    return freeze(
+        placed.select(
+            *_KEYS, "value", "c", (F.col("__g") + F.col("__b")).alias("before"), "total",
+            (F.col("__a") + F.col("__l")).alias("below"), "same", "everyone",
+        )
+    )
+
+
 def group_moments(long: DataFrame, min_size: int = 1) -> DataFrame:
     """Per group: n, mean, sample deviation, extremes and inner sum of squares."""
     n = F.count(F.lit(1))
@@ -125,7 +162,10 @@ def anova(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1)
 
 
 def levene_of(long: DataFrame, counts: DataFrame, small_values: int = SMALL_VALUES) -> DataFrame:
-    medians = count_quantiles(counts, _KEYS, {"__median": 0.5}, small_values)
+    return levene_around(long, count_quantiles(counts, _KEYS, {"__median": 0.5}, small_values))
+
+
+def levene_around(long: DataFrame, medians: DataFrame) -> DataFrame:
     spread = attach(long, medians, _KEYS).select(*_KEYS, F.abs(F.col("value") - F.col("__median")).alias("value"))
     return anova_of(spread).drop("eta_squared")
 
@@ -138,28 +178,26 @@ def levene(
     return levene_of(long, grouped_counts(long, min_size), small_values)
 
 
-def kruskal_of(cells: DataFrame) -> DataFrame:
-    per_value = cells.groupBy("column", "value").agg(F.sum("c").alias("t"))
-    ranked = prefix_sums(per_value, ["column"], ["value"], {"before": "t"}, {"total": "t"})
-    t = F.col("t").cast("double")
-    totals = per_value.groupBy("column").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"))
-    middle = (F.col("total") + 1) / 2
-    centred = ranked.select("column", "value", (F.col("before") + (F.col("t") + 1) / 2 - middle).alias("u"))
-    # Equal values of one group are one row, so a value has at most one row per group.
-    sums = (
-        cells.join(centred, ["column", "value"])
-        .groupBy("column", "grp")
-        .agg(F.sum(F.col("c") * F.col("u")).alias("r"), F.sum("c").alias("n"))
+def kruskal_of(ranked: DataFrame) -> DataFrame:
+    """From ``ranked_counts``."""
+    c, t = F.col("c"), F.col("same").cast("double")
+    u = F.col("below") + (F.col("same") + 1) / 2 - (F.col("everyone") + 1) / 2
+    # each of the rows that share a value adds its part of t³ - t
+    facts = (
+        ranked.groupBy("column", "grp")
+        .agg(F.sum(c * u).alias("r"), F.sum("c").alias("n"), F.sum(c * (t * t - 1)).alias("own_ties"), F.max("everyone").alias("total"))
         .groupBy("column")
-        .agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("spread"), F.count(F.lit(1)).alias("groups"))
+        .agg(
+            F.sum(F.col("r") * F.col("r") / F.col("n")).alias("spread"), F.count(F.lit(1)).alias("groups"),
+            F.sum("own_ties").alias("ties"), F.max("total").alias("total"),
+        )
         .where("groups > 1")
     )
     n = F.col("total").cast("double")
     correction = 1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0))
     h = 12.0 / (n * (n + 1)) * F.col("spread") / F.nullif(correction, F.lit(0.0))
     return (
-        null_safe_join(sums, totals, ["column"])
-        .withColumn("statistic", h)
+        facts.withColumn("statistic", h)
         .withColumn("p_value", chi2_sf(F.col("statistic"), F.col("groups") - 1))
         .withColumn(
             "epsilon_squared",
@@ -173,12 +211,16 @@ def kruskal_of(cells: DataFrame) -> DataFrame:
 
 def kruskal(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 1) -> DataFrame:
     """Kruskal-Wallis H, tie-corrected, with epsilon²."""
-    return kruskal_of(grouped_counts(grouped_values(df, group, targets), min_size))
+    return kruskal_of(ranked_counts(grouped_counts(grouped_values(df, group, targets), min_size)))
 
 
 def shapiro_of(counts: DataFrame) -> DataFrame:
-    ship_package(counts.sparkSession)
     sizes = counts.groupBy(*_KEYS).agg(F.sum("c").alias("__n")).where(F.col("__n").between(SHAPIRO_MIN, SHAPIRO_MAX))
+    return _shapiro(attach(counts, sizes, _KEYS))
+
+
+def _shapiro(fitting: DataFrame) -> DataFrame:
+    ship_package(fitting.sparkSession)
 
     def test(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         sample = np.repeat(frame["value"].to_numpy(), frame["c"].to_numpy())
@@ -186,8 +228,7 @@ def shapiro_of(counts: DataFrame) -> DataFrame:
         return pd.DataFrame({"column": [key[0]], "grp": [key[1]], "n": [len(sample)], "statistic": [w], "p_value": [p]})
 
     schema = "column string, grp string, n long, statistic double, p_value double"
-    fitting = attach(counts, sizes, _KEYS).select(*_KEYS, "value", "c")
-    return fitting.groupBy(*_KEYS).applyInPandas(test, schema).withColumn("normal", F.col("p_value") > ALPHA)
+    return fitting.select(*_KEYS, "value", "c").groupBy(*_KEYS).applyInPandas(test, schema).withColumn("normal", F.col("p_value") > ALPHA)
 
 
 def anderson_p(statistic: Column, n: Column) -> Column:
@@ -205,25 +246,25 @@ def anderson_p(statistic: Column, n: Column) -> Column:
     )
 
 
-def normality_of(counts: DataFrame) -> DataFrame:
-    """(column, grp, n, test, statistic, p_value, normal) of every group of three or more values.
+def normality_of(ranked: DataFrame) -> DataFrame:
+    """(column, grp, n, test, statistic, p_value, normal) of every group of three or more values, from ``ranked_counts``.
 
     Shapiro-Wilk where it is defined, up to 5000 values, and Anderson-Darling above.
     """
-    sizes = counts.groupBy(*_KEYS).agg(F.sum("c").alias("__n")).where(F.col("__n") > SHAPIRO_MAX)
-    large = freeze(attach(counts, sizes, _KEYS).select(*_KEYS, "value", "c"))
     names = ["n", "test", "statistic", "p_value", "normal"]
-    small = shapiro_of(counts).withColumn("test", F.lit("shapiro_wilk")).select(*_KEYS, *names)
+    small = _shapiro(ranked.where(F.col("total").between(SHAPIRO_MIN, SHAPIRO_MAX))).withColumn("test", F.lit("shapiro_wilk"))
+    small = small.select(*_KEYS, *names)
+    large = ranked.where(F.col("total") > SHAPIRO_MAX)
     if large.isEmpty():
         return small
-    tested = anderson_of(large, _KEYS).withColumn("p_value", anderson_p(F.col("statistic"), F.col("n")))
+    tested = anderson_of_ranked(large, _KEYS).withColumn("p_value", anderson_p(F.col("statistic"), F.col("n")))
     tested = tested.withColumns({"test": F.lit("anderson_darling"), "normal": F.col("p_value") > ALPHA})
     return small.union(tested.select(*_KEYS, *names))
 
 
 def shapiro(df: DataFrame, group: str, targets: Sequence[str]) -> DataFrame:
     """Normality per group: Shapiro-Wilk for 3 to 5000 values, Anderson-Darling for larger groups."""
-    return normality_of(grouped_counts(grouped_values(df, group, targets)))
+    return normality_of(ranked_counts(grouped_counts(grouped_values(df, group, targets))))
 
 
 def anderson_darling(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -233,32 +274,32 @@ def anderson_darling(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def anderson_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The statistic per key, from (keys, value, c)."""
-    c = F.col("c")
-    mean = F.sum(F.col("value") * c) / F.sum(c)
-    moments = freeze(counts.groupBy(*keys).agg(mean.alias("m"), F.sum(c).alias("__size")))
-    gaps = attach(counts, moments, keys, stored=True)
-    spread = gaps.groupBy(*keys).agg(
-        F.sum(c * (F.col("value") - F.col("m")) * (F.col("value") - F.col("m"))).alias("__ss")
-    )
-    moments = null_safe_join(moments, spread, keys).select(
+    return anderson_of_ranked(freeze(running_counts(counts, keys)), keys)
+
+
+def anderson_of_ranked(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The statistic per key, from stored (keys, value, c, before, total)."""
+    ship_package(counted.sparkSession)
+    c, b, n = F.col("c"), F.col("before"), F.col("total")
+    means = freeze(counted.groupBy(*keys).agg((F.sum(F.col("value") * c) / F.sum(c)).alias("m"), F.sum(c).alias("__size")))
+    gap = F.col("value") - F.col("m")
+    spread = attach(counted, means, keys, stored=True).groupBy(*keys).agg(F.sum(c * gap * gap).alias("__ss"))
+    moments = null_safe_join(means, spread, keys).select(
         *keys, "m", F.sqrt(F.col("__ss") / F.nullif(F.col("__size") - 1, F.lit(0))).alias("s")
     )
-    counted = attach(running_counts(counts, keys), moments, keys)
-
-    ship_package(counts.sparkSession)
 
-    @F.pandas_udf("double")
-    def log_cdf(z: pd.Series) -> pd.Series:
-        return pd.Series(log_normal_cdf(z.to_numpy()))
+    @F.pandas_udf("low double, high double")
+    def log_tails(z: pd.Series) -> pd.DataFrame:
+        low, high = log_normal_tails(z.to_numpy())
+        return pd.DataFrame({"low": low, "high": high})
 
-    z = (F.col("value") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))
-    c, b, n = F.col("c"), F.col("before"), F.col("total")
-    lower = c * (2 * b + c).cast("double") * F.col("low")
-    upper = c * (2 * n - 2 * b - c).cast("double") * F.col("high")
+    lower = c * (2 * b + c).cast("double") * F.col("log.low")
+    upper = c * (2 * n - 2 * b - c).cast("double") * F.col("log.high")
     summed = (
-        counted.withColumn("z", z)
+        attach(counted, moments, keys)
+        .withColumn("z", gap / F.nullif(F.col("s"), F.lit(0.0)))
         .where("z is not null")
-        .withColumns({"low": log_cdf("z"), "high": log_cdf(-F.col("z"))})
+        .withColumn("log", log_tails("z"))
         .groupBy(*keys, "total")
         .agg(F.sum(lower + upper).alias("terms"))
     )
@@ -468,17 +509,16 @@ def correction_summary(corrected: DataFrame, p: str = "p_value", alpha: float =
     )
 
 
-def compare_groups(
-    df: DataFrame, group: str, targets: Sequence[str], min_size: int = 3, small_values: int = SMALL_VALUES
-) -> DataFrame:
+def compare_groups(df: DataFrame, group: str, targets: Sequence[str], min_size: int = 3) -> DataFrame:
     """ANOVA where every group looks normal and variances agree, else Kruskal-Wallis.
 
+    Medians, normality and rank sums read one table sorted by value.
     Normality is by Shapiro-Wilk up to 5000 values of a group and by Anderson-Darling above.
     """
     long = grouped_values(df, group, targets)
-    counts = grouped_counts(long, min_size)
-    normal = normality_of(counts).groupBy("column").agg(F.min("p_value").alias("lowest_normal_p"))
-    equal = levene_of(long, counts, small_values).select("column", F.col("p_value").alias("levene_p"))
+    ranked = ranked_counts(grouped_counts(long, min_size))
+    normal = normality_of(ranked).groupBy("column").agg(F.min("p_value").alias("lowest_normal_p"))
+    equal = levene_around(long, quantiles_of_counts(ranked, _KEYS, {"__median": 0.5})).select("column", F.col("p_value").alias("levene_p"))
     # what was not tested is not taken for normal
     met = (F.coalesce("lowest_normal_p", F.lit(0.0)) > ALPHA) & (F.coalesce("levene_p", F.lit(0.0)) > ALPHA)
     checked = freeze(null_safe_join(equal, normal, ["column"], "left").withColumn("assumptions_met", met))
@@ -490,7 +530,7 @@ def compare_groups(
     for wanted, name, measure in ((True, "anova", "eta_squared"), (False, "kruskal_wallis", "epsilon_squared")):
         chosen = F.col("column").isin([c for c, flag in flags.items() if flag == wanted])
         if wanted in flags.values():
-            tested = anova_of(long.where(chosen), min_size) if wanted else kruskal_of(counts.where(chosen))
+            tested = anova_of(long.where(chosen), min_size) if wanted else kruskal_of(ranked.where(chosen))
             parts.append(
                 tested.select(
                     "column", "groups", "n", F.lit(name).alias("test"), "statistic", "p_value",

@@ -25,7 +25,8 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def blocks_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Stored ``df`` in range-partitioned blocks with their number ``__block``; rows of equal keys and order share one."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *_cols([*keys, *order]))
     return freeze(ranged.withColumn(_BLOCK, F.spark_partition_id()))
@@ -45,7 +46,7 @@ def prefix_sums(
     unique within a key, so that a block boundary can fall between any two rows.
     """
     totals = dict(totals or {})
-    blocked = _blocks(df, keys, order)
+    blocked = blocks_in_order(df, keys, order)
     needed = sorted({*sums.values(), *totals.values()})
     per_block = blocked.groupBy(*_cols([*keys, _BLOCK])).agg(
         *[F.sum(f"`{c}`").alias(f"__s_{c}") for c in needed]
@@ -76,7 +77,7 @@ def minimum_from_here(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     A block takes over the smallest value of the blocks after it.
     """
-    blocked = _blocks(df, keys, order)
+    blocked = blocks_in_order(df, keys, order)
     per_block = blocked.groupBy(*_cols([*keys, _BLOCK])).agg(F.min(f"`{value}`").alias("__least"))
     whole = W.partitionBy(*_cols(keys)) if keys else W.partitionBy(F.lit(0))
     later = whole.orderBy(F.desc(_BLOCK)).rowsBetween(W.unboundedPreceding, -1)
@@ -193,7 +194,7 @@ def forward_fill(
     A fill can reach back any distance, so each block hands its last known value
     on to the later ones instead of copying rows.
     """
-    blocked = _blocks(df, keys, order)
+    blocked = blocks_in_order(df, keys, order)
     when_set = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(*_cols(order))) for c in columns}
     tails = blocked.groupBy(*_cols([*keys, _BLOCK])).agg(
         *[F.max_by(F.col(f"`{c}`"), when_set[c]).alias(f"__t_{c}") for c in columns]
