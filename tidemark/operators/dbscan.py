@@ -113,11 +113,12 @@ def _within(probes: DataFrame, near: DataFrame, targets: DataFrame, d: int, eps:
 
 
 def _cell_links(core: DataFrame, near: DataFrame, d: int, side: float, eps: float) -> DataFrame:
-    """Pairs of cells (a, b) with core points within ``eps`` of each other.
+    """Pairs of cells (a, b) that join the same cells as all pairs with core points within ``eps`` of each other.
 
     Boxes of points are compared first by their extent and by one sample point
-    each; pairs that stay open are compared point by point if small, else both
-    boxes are halved and the halves compared.
+    each.  Cells that these links join already are not compared further; the other
+    pairs are compared point by point if small, else both boxes are halved and the
+    halves compared.
     """
     x, y = _xs(d), _xs(d, "y")
     has_core = core.select("cid").distinct()
@@ -127,30 +128,35 @@ def _cell_links(core: DataFrame, near: DataFrame, d: int, side: float, eps: floa
         .join(has_core.withColumnRenamed("cid", "cid2"), "cid2", "left_semi")
         .select("cid1", "cid2")
     )
-    found = None
-    open_pairs, parts = pairs, None
-    level_side = side
+    nodes = freeze(has_core.select(F.col("cid").alias("node")))
+    joined, open_pairs, level_side, points = None, pairs, side, core
     while True:
-        points = core.withColumn("box", _grid(x, level_side))
-        parts = points.groupBy("cid", "box").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(*x)).alias("sample")
+        points = points.withColumn("box", _grid(x, level_side))
+        # the points of a box are summed up once; any of them serves as its sample
+        parts = freeze(
+            points.groupBy("cid", "box").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in x])
         ).withColumn("parent", F.transform("box", lambda v: F.floor(v / 2)))
-        one = parts.select(*[F.col(c).alias(f"{c}1") for c in ("cid", "box", "n", "sample", "parent")])
-        two = parts.select(*[F.col(c).alias(f"{c}2") for c in ("cid", "box", "n", "sample", "parent")])
-        if found is None:
+        one, two = (parts.select(*[F.col(c).alias(f"{c}{end}") for c in ("cid", "box", "n", *x, "parent")]) for end in "12")
+        if joined is None:
             compared = open_pairs.join(one, "cid1").join(two, "cid2")
         else:
             compared = open_pairs.join(one, ["cid1", "parent1"]).join(two, ["cid2", "parent2"])
-        gap = F.lit(0.0)
-        for c in x:
-            gap = gap + (F.col(f"sample1.{c}") - F.col(f"sample2.{c}")) * (F.col(f"sample1.{c}") - F.col(f"sample2.{c}"))
+        gap = _square([f"{c}1" for c in x], [f"{c}2" for c in x])
         judged = freeze(
             compared.withColumn(
                 "hit", (gap <= eps * eps) | (_box_gap("box1", "box2", d, level_side, nearest=False) <= eps * eps * (1 - 1e-9))
-            ).where(_box_gap("box1", "box2", d, level_side, nearest=True) <= eps * eps * (1 + 1e-9))
+            )
+            .where(_box_gap("box1", "box2", d, level_side, nearest=True) <= eps * eps * (1 + 1e-9))
+            .select("cid1", "cid2", "box1", "box2", "n1", "n2", "hit")
         )
-        sure = judged.where("hit").select("cid1", "cid2").distinct()
-        undecided = judged.join(sure, ["cid1", "cid2"], "left_anti")
+        sure = judged.where("hit").select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
+        label = freeze(connected_components(nodes, sure if joined is None else joined.union(sure)))
+        joined = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        undecided = judged.where("not hit")
+        for end in "12":
+            of = label.select(F.col("node").alias(f"cid{end}"), F.col("component").alias(f"component{end}"))
+            undecided = attach(undecided, of, [f"cid{end}"], stored=True)
+        undecided = freeze(undecided.where("component1 != component2").drop("component1", "component2"))
         small = undecided.where(F.col("n1") * F.col("n2") <= DIRECT_PAIRS)
         left = points.select(F.col("cid").alias("cid1"), F.col("box").alias("box1"), *x)
         right = points.select(F.col("cid").alias("cid2"), F.col("box").alias("box2"), *[F.col(a).alias(b) for a, b in zip(x, y)])
@@ -161,15 +167,19 @@ def _cell_links(core: DataFrame, near: DataFrame, d: int, side: float, eps: floa
             .where(_square(x, y) <= F.lit(eps * eps))
             .select("cid1", "cid2")
         )
-        linked = freeze(sure.union(direct).distinct())
-        found = linked if found is None else found.union(linked)
+        if undecided.isEmpty():
+            return joined
+        linked = freeze(direct.distinct())
+        joined = joined.union(linked.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")))
         open_pairs = freeze(
             undecided.where(F.col("n1") * F.col("n2") > DIRECT_PAIRS)
             .join(linked, ["cid1", "cid2"], "left_anti")
             .select("cid1", "cid2", F.col("box1").alias("parent1"), F.col("box2").alias("parent2"))
         )
         if open_pairs.isEmpty():
-            return found.select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
+            return joined
+        still = open_pairs.select(F.col("cid1").alias("cid")).union(open_pairs.select("cid2")).distinct()
+        points = freeze(core.join(still, "cid", "left_semi"))
         level_side /= 2
 
 
