@@ -92,3 +92,22 @@ def test_one_word_repeated_in_two_documents_is_hot(spark):
     assert len(sd.hot_minimisers(shared, 4)) == 1
     got = {r[0]: (r[1], r[2]) for r in run(spark, rows)}
     assert got == {1: (30_000, 0), 2: (29_001, 29_000), 3: (500, 0)}
+
+
+def test_texts_of_common_words_bring_few_strings_to_travel(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(300)), "") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id as doc", "0L as mark", "text")
+    assert (sd.shared_minimisers(df).agg({"n": "sum"}).first()[0] or 0) < 300 * 288 / 100
+
+
+def test_pieces_within_and_beyond_a_word(spark, monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK_BYTES", 16)
+    sd._POWERS.clear()
+    texts_ = [b" a\tbb  c" + b"x" * 100 + b" a " + b"yy " * 40, b"", b"bb", b"\xc3\xa9 a"]
+    raw, starts, ends, hashes, upto = sd.word_hashes(texts_)
+    words = [w for t in texts_ for w in t.split()]
+    assert [raw[a:b] for a, b in zip(starts, ends)] == words
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    assert upto.tolist() == np.cumsum([len(t.split()) for t in texts_]).tolist()
+    sd._POWERS.clear()

@@ -1,8 +1,8 @@
 r"""Substring dedup: word windows that an earlier document already has are removed.
 
 Words are ``[^\x20\x09-\x0D]+`` and a window is 13 consecutive words of one
-document.  Consecutive windows that share a minimiser (the word pair with the
-smallest hash among those of the window) travel together as one packed string, a
+document.  Consecutive windows that share a minimiser (the run of five words with
+the smallest hash among those of the window) travel together as one packed string, a
 super-k-mer, to the minimiser's bucket.  Equal windows have equal minimisers, so
 they meet; there the windows of a bucket are sorted, and the smallest document of
 each window sequence is found exactly, bytes compared.  Minimisers are counted
@@ -12,7 +12,7 @@ super-k-mers stay at home.  The shared ones are sent to the tasks while they fit
 
 Skew: equal texts are found first by digest; one of them takes part and the others
 are known to be covered.  A minimiser that holds more than a quarter of a
-partition's share of the super-k-mers that travel is hot; there are at most four
+partition's share of the windows that travel is hot; there are at most four
 per shuffle partition.  Its windows are not gathered by bucket: each is a key of its own, the
 smallest document comes from a partial aggregation, and a join brings it back to
 the occurrences: by broadcast below a checked size, else by a shuffle, which
@@ -31,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, freeze, prepare, query, shuffle_parts, table, whole_text
 
 WINDOW = 13
-GRAM = 2
-# How many word hashes a Python worker remembers before it starts anew.
-WORDS_KEPT = 100_000
+# Long enough that texts of common words seldom share one by chance: what is shared by chance travels for nothing.
+GRAM = 5
+SPAN = WINDOW - GRAM + 1
+# Texts are hashed together until so many bytes are at hand.
+CHUNK_BYTES = 1 << 20
 # Minimisers are merged within a task once so many are at hand, and strings leave it by so many.
 COUNT_ROWS = 1_000_000
 BATCH_KMERS = 20_000
@@ -50,76 +51,138 @@ NO_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 
-_WORD_HASHES: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word; known words are looked up."""
-    if len(_WORD_HASHES) > WORDS_KEPT:
-        _WORD_HASHES.clear()
-    for w in set(words).difference(_WORD_HASHES):
-        _WORD_HASHES[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_WORD_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def gram_hashes(words: list[bytes], gram: int = GRAM) -> np.ndarray:
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, at least ``size`` of each."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        _POWERS.clear()
+        for base in (ODD, np.uint64(pow(int(ODD), -1, 1 << 64))):
+            power = np.full(max(size, CHUNK_BYTES), base)
+            power[0] = 1
+            with np.errstate(over="ignore"):
+                np.multiply.accumulate(power, out=power)
+            _POWERS.append(power)
+    return _POWERS[0], _POWERS[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def _places(blob: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, 64-bit hash) of the words of bytes that end with white space, a piece of whole words at a time."""
+    at = 0
+    while at < len(blob):
+        size = CHUNK_BYTES
+        space = _SPACE[blob[at : at + size]]
+        while not space.any():  # a word longer than a piece
+            size *= 2
+            space = _SPACE[blob[at : at + size]]
+        upto = len(space) - int(space[::-1].argmax())
+        edges = np.diff(space[:upto].view(np.int8), prepend=1)
+        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        power, inverse = _powers(upto)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(upto + 1, dtype=np.uint64)
+            np.cumsum((blob[at : at + upto] + np.uint64(7)) * power[:upto], dtype=np.uint64, out=sums[1:])
+            hashes = _mixed((sums[ends] - sums[starts]) * inverse[starts])
+        yield starts + at, ends + at, hashes
+        at += upto
+
+
+def word_hashes(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end and 64-bit hash of each word in them, words up to the end of each text) of joined texts."""
+    raw = b"\n".join(texts) + b"\n"
+    starts, ends, hashes = map(np.concatenate, zip(*_places(np.frombuffer(raw, dtype=np.uint8))))
+    upto = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return raw, starts, ends, hashes, upto
+
+
+def gram_hashes(hashes: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of each run of ``gram`` words, which orders them."""
-    h = word_hashes(words)
+    n = len(hashes) - gram + 1
     with np.errstate(over="ignore"):
-        grams = h[: len(h) - gram + 1].copy()
+        grams = hashes[:n].copy()
         for j in range(1, gram):
-            grams = (grams ^ (grams >> np.uint64(29))) * ODD + h[j : len(h) - gram + 1 + j]
-        grams = (grams ^ (grams >> np.uint64(32))) * ODD
-        grams ^= grams >> np.uint64(29)
-    return grams
-
-
-def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(minimiser, first window) of the super-k-mers of a document with at least a window of words."""
-    return _minimisers(gram_hashes(words, gram), window, gram)
+            grams = (grams ^ (grams >> np.uint64(29))) * ODD + hashes[j : n + j]
+        return _mixed(grams)
 
 
-def _minimisers(grams: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    span = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return grams[at[first]], first
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of every ``span`` consecutive values."""
+    out, width = values, 1
+    while 2 * width <= span:
+        out, width = np.minimum(out[:-width], out[width:]), 2 * width
+    return out if width == span else np.minimum(out[: len(values) - span + 1], out[span - width :])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(document, row mark, words) of every document with a window."""
+def minimisers(hashes: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, text, first word, windows) of the super-k-mers of joined texts; none holds over ``SPAN`` windows."""
+    inside = np.ones(max(0, len(hashes) - WINDOW + 1), dtype=bool)
+    for j in range(1, WINDOW):  # a window ends with its text
+        late = upto - j
+        inside[late[(late >= 0) & (late < len(inside))]] = False
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64), at, at, at
+    least = _least(gram_hashes(hashes), SPAN)[at]
+    new = np.append(True, (least[1:] != least[:-1]) | (np.diff(at) != 1))
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    parts = -(-n // SPAN)
+    if parts.max() > 1:  # one gram repeated on and on
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, n = np.repeat(first, parts) + k * SPAN, np.minimum(np.repeat(n, parts) - k * SPAN, SPAN)
+    return least[first], np.searchsorted(upto, at[first], side="right"), at[first], n
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(documents, row marks, texts) of rows with about ``CHUNK_BYTES`` of text, those too short for a window left out."""
+    docs, marks, texts, size = [], [], [], 0
     for batch in batches:
-        docs, marks, texts = batch.column(0), batch.column(1), batch.column(2)
-        for i in range(batch.num_rows):
-            words = texts[i].as_py().encode().split()
-            if len(words) >= WINDOW:
-                yield docs[i].as_py(), marks[i].as_py(), words
+        for doc, mark, text in zip(*(batch.column(i) for i in range(3))):
+            raw = text.as_py().encode()
+            if len(raw) < 2 * WINDOW - 1:
+                continue
+            docs.append(doc.as_py())
+            marks.append(mark.as_py())
+            texts.append(raw)
+            size += len(raw)
+            if size >= CHUNK_BYTES:
+                yield np.array(docs), np.array(marks), texts
+                docs, marks, texts, size = [], [], [], 0
+    if texts:
+        yield np.array(docs), np.array(marks), texts
 
 
 def shared_minimisers(rows: DataFrame) -> DataFrame:
-    """(key, n) of the minimisers that lie in more than one document; n counts their super-k-mers."""
+    """(key, n) of the minimisers that lie in more than one document; n counts their windows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, counts, held = [], [], [], 0
-        for doc, _, words in _texts(batches):
-            found, n = np.unique(minimisers(words)[0], return_counts=True)
-            keys.append(found)
-            docs.append(np.full(len(found), doc))
-            counts.append(n)
-            held += len(found)
-            if held >= COUNT_ROWS:
-                yield grouped(*map(np.concatenate, (keys, docs, counts)))
-                keys, docs, counts, held = [], [], [], 0
-        if keys:
-            yield grouped(*map(np.concatenate, (keys, docs, counts)))
-
-    def grouped(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((docs, keys))
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for docs, _, texts in _chunks(batches):
+            keys, of, _, n = minimisers(*word_hashes(texts)[3:])
+            held.append((keys, docs[of], n))
+            size += len(keys)
+            if size >= COUNT_ROWS:
+                yield grouped(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield grouped(*map(np.concatenate, zip(*held)))
+
+    def grouped(keys: np.ndarray, docs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
         keys, docs = keys[order], docs[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        last = np.append(first[1:], len(keys)) - 1
-        columns = [keys[first].view(np.int64), np.add.reduceat(counts[order], first), docs[first], docs[last]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n", "lo", "hi"])
+        sums, lo, hi = np.add.reduceat(n[order], first), np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+        columns = [pa.array(c, pa.int64()) for c in (keys[first].view(np.int64), sums, lo, hi)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "n", "lo", "hi"])
 
     sums = rows.mapInArrow(count, "key long, n long, lo long, hi long").groupBy("key")
     sums = sums.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -149,36 +212,30 @@ def super_kmers(rows: DataFrame, shared: DataFrame, hot: list[int]) -> DataFrame
     held = sc.broadcast(_keys(shared.select("key").toArrow().column("key").to_numpy())) if few else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], []]
-        for doc, mark, words in _texts(batches):
-            keys, first = minimisers(words)
+        for docs, marks, texts in _chunks(batches):
+            raw, starts, ends, hashes, upto = word_hashes(texts)
+            keys, of, first, n = minimisers(hashes, upto)
             own = ~_among(keys, hot_keys)
             if held is not None:
                 own &= _among(keys, held.value)
-            if not own.any():
-                continue
-            ends = np.append(first[1:], len(words) - WINDOW + 1) + WINDOW - 1
-            keys, first, ends = keys[own].view(np.int64), first[own], ends[own]
-            for i in range(0, len(keys), BATCH_KMERS):
-                part = slice(i, i + BATCH_KMERS)
-                out[0].append(keys[part])
-                out[1].append(np.full(len(keys[part]), doc))
-                out[2].append(np.full(len(keys[part]), mark))
-                out[3].append(first[part])
-                out[4] += [b" ".join(words[a:b]) for a, b in zip(first[part].tolist(), ends[part].tolist())]
-                if len(out[4]) >= BATCH_KMERS:
-                    yield batch(out)
-                    out = [[], [], [], [], []]
-        if out[4]:
-            yield batch(out)
-
-    def batch(out: list[list]) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(c), pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "doc", "mark", "at", "packed"])
+            own = np.flatnonzero(own)
+            for i in range(0, len(own), BATCH_KMERS):
+                part = own[i : i + BATCH_KMERS]
+                text, word = of[part], first[part]
+                a, b = starts[word], ends[word + n[part] + WINDOW - 2]
+                at = word - np.append(0, upto)[text]
+                columns = [pa.array(c, pa.int64()) for c in (keys[part].view(np.int64), docs[text], marks[text], at)]
+                columns.append(pa.array(_packed(raw, a, b), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "mark", "at", "packed"])
 
     return rows.mapInArrow(cut, "key long, doc long, mark long, at long, packed binary")
 
 
+def _packed(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The words between each start and end, joined by one space."""
+    return [b" ".join(raw[a:b].split()) for a, b in zip(starts.tolist(), ends.tolist())]
+
+
 def judge_block(doc: np.ndarray, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, window in it, number) of the runs of windows that also start in a smaller document."""
     blob = np.frombuffer(b" ".join(packed) + b" ", dtype=np.uint8)
@@ -266,22 +323,18 @@ def hot_runs(rows: DataFrame, hot: list[int]) -> DataFrame:
     hot_keys = _keys(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, mark, words in _texts(batches):
-            grams = gram_hashes(words)
-            if not _among(grams, hot_keys).any():
-                continue
-            keys, first = _minimisers(grams)
-            ends = np.append(first[1:], len(words) - WINDOW + 1)
+        for docs, marks, texts in _chunks(batches):
+            raw, starts, ends, hashes, upto = word_hashes(texts)
+            keys, of, first, n = minimisers(hashes, upto)
             own = _among(keys, hot_keys)
-            windows = [i for a, b in zip(first[own].tolist(), ends[own].tolist()) for i in range(a, b)]
-            for start in range(0, len(windows), BATCH_KMERS):
-                at = windows[start : start + BATCH_KMERS]
-                columns = [
-                    pa.array(np.full(len(at), doc), pa.int64()),
-                    pa.array(np.full(len(at), mark), pa.int64()),
-                    pa.array(at, pa.int64()),
-                    pa.array([b" ".join(words[i : i + WINDOW]) for i in at], pa.binary()),
-                ]
+            of, first, n = of[own], first[own], n[own]
+            words = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            of = np.repeat(of, n)
+            for i in range(0, len(words), BATCH_KMERS):
+                word, text = words[i : i + BATCH_KMERS], of[i : i + BATCH_KMERS]
+                at = word - np.append(0, upto)[text]
+                columns = [pa.array(c, pa.int64()) for c in (docs[text], marks[text], at)]
+                columns.append(pa.array(_packed(raw, starts[word], ends[word + WINDOW - 1]), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "at", "packed"])
 
     windows = rows.mapInArrow(cut, "doc long, mark long, at long, packed binary")
