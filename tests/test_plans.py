@@ -1,12 +1,15 @@
 """Ordered computations and quantiles against plain pandas."""
 
+import pathlib
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import table
 from tidemark.operators.components import connected_components
-from tidemark.plans import ordered, quantiles
+from tidemark.plans import ordered, quantiles, storage
 from tidemark.plans.joining import attach, null_safe_join
 
 
@@ -122,3 +125,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {got[i] for i in range(201)} == {0}
     assert {got[i] for i in range(1000, 1050)} == {1000}
     assert got[5000] == 5000
+
+
+def test_freezing_leaves_no_shuffle_files(spark):
+    jvm = spark.sparkContext._jvm
+    folders = [pathlib.Path(str(f)) for f in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in folders for f in d.rglob("shuffle_*")}
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before = files()
+    frozen = storage.freeze(df)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert frozen.count() == df.count() == 10

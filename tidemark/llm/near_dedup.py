@@ -231,6 +231,19 @@ def pairs_across(placed: DataFrame, sets: DataFrame, marks: DataFrame, percent:
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
+def joined_by(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, component) of ``found`` with further links: only its components, each a node, are linked."""
+    ends = links
+    for x in "ab":
+        of = found.select(F.col("node").alias(x), F.col("component").alias(f"__{x}"))
+        ends = ends.join(of, x)
+    ends = freeze(ends.where("__a != __b").select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct())
+    moved = connected_components(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct(), ends)
+    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    joined = found.join(moved, "component", "left")
+    return joined.select("node", F.coalesce("__to", "component").alias("component"))
+
+
 def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows_: int = ROWS) -> DataFrame:
     """(row, size, component) of (row, text) with distinct rows; empty sets are components of their own."""
     sketch = freeze(sketches(rows, bands, rows_))
@@ -252,8 +265,7 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     sets = freeze(shingle_sets(rows.join(few, "row", "left_semi")))
 
     links = freeze(confirm(stars, sets, percent))
-    nodes = classes.select(F.col("class").alias("node"))
-    found = freeze(connected_components(nodes, links))
+    found = freeze(connected_components(classes.select(F.col("class").alias("node")), links))
 
     # buckets that still hold several components: another class of each takes the middle, as long as that links
     tried, turn = stars, 0
@@ -272,8 +284,7 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
         tested, linked = rays.count(), fresh.count()
         tried = tried.union(rays)
         if linked:
-            links = links.union(fresh)
-            found = freeze(connected_components(nodes, links))
+            found = freeze(joined_by(found, fresh))
         turn += 1
         if linked * STAR_SHARE <= tested:
             break
@@ -285,7 +296,7 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
     across = freeze(pairs_across(open_, sets, marks, percent).join(tried, ["a", "b"], "left_anti"))
     more = freeze(confirm(across, sets, percent))
     if not more.isEmpty():
-        found = freeze(connected_components(nodes, links.union(more)))
+        found = freeze(joined_by(found, more))
 
     of_class = classes.select("size", "low", "high", F.col("class").alias("node")).join(found, "node").drop("node")
     members = filled.join(of_class, ["size", "low", "high"]).select("row", "size", "component")
