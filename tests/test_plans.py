@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import table
+from tidemark.operators import components
 from tidemark.operators.components import connected_components
 from tidemark.plans import ordered, quantiles, storage
 from tidemark.plans.joining import attach, null_safe_join
@@ -127,6 +128,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got[5000] == 5000
 
 
+def test_components_that_are_stars_are_stored_twice(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(components, "freeze", lambda df: stored.append(df) or storage.freeze(df))
+    edges = spark.range(1, 40).selectExpr("id as a", "id % 3 as b").where("a > 2")
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    got = {r["node"]: r["component"] for r in components.connected_components(nodes, edges).collect()}
+    assert got == {i: i % 3 for i in range(40)}
+    assert len(stored) == 2
+
+
+def test_a_round_of_components_shuffles_its_links_once(spark):
+    edges = storage.freeze(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+    stars = components._star(components._star(edges, large=True), large=False).distinct()
+    stars.collect()
+    final = stars._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(shuffles) == 3, final
+
+
 def test_freezing_leaves_no_shuffle_files(spark):
     jvm = spark.sparkContext._jvm
     folders = [pathlib.Path(str(f)) for f in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, freeze, keep_rows, prepare, query, table, whole_text
-from tidemark.operators.components import connected_components
+from tidemark.operators.components import connected_components, smaller_nodes
 
 SHINGLE = 5
 RING = 1 << 20
@@ -171,12 +171,12 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b), with what else they hold, whose sets are similar enough."""
     left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("__a"))
     right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("__b"))
     both = F.size(F.array_intersect("__a", "__b")).cast("long")
     union = F.size("__a") + F.size("__b") - both
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select(pairs.columns)
 
 
 def _could(percent: int) -> Column:
@@ -189,16 +189,16 @@ def _could(percent: int) -> Column:
 
 
 def possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and bitmaps do not rule out."""
+    """The pairs (a, b) of classes, with what else they hold, that sizes and bitmaps do not rule out."""
     left, right = (
         marks.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
         for x in "ab"
     )
-    return pairs.join(right, "b").join(left, "a").where(_could(percent)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(_could(percent)).select(pairs.columns)
 
 
 def pairs_across(placed: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that could be similar enough.
+    """Pairs (a, b) of classes of different components (lo, hi) that could be similar enough.
 
     An exact prefix filter.  Such a pair shares at least percent of the shingles of
     either side, and none that lies in one component only.  So a class needs that
@@ -228,17 +228,17 @@ def pairs_across(placed: DataFrame, sets: DataFrame, marks: DataFrame, percent:
     # at the first shingle that a pair shares, what is left of both must hold the whole intersection
     rest = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("size_a") + F.col("size_b"))
     met = left.join(right, "s").where((F.col("component_a") < F.col("component_b")) & rest & _could(percent))
-    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    return met.select(
+        F.least("class_a", "class_b").alias("a"),
+        F.greatest("class_a", "class_b").alias("b"),
+        F.col("component_a").alias("lo"),
+        F.col("component_b").alias("hi"),
+    ).distinct()
 
 
 def joined_by(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The (node, component) of ``found`` with further links: only its components, each a node, are linked."""
-    ends = links
-    for x in "ab":
-        of = found.select(F.col("node").alias(x), F.col("component").alias(f"__{x}"))
-        ends = ends.join(of, x)
-    ends = freeze(ends.where("__a != __b").select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct())
-    moved = connected_components(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct(), ends)
+    """The (node, component) of ``found`` with ``links`` (lo, hi) between its components, each of which is a node."""
+    moved = smaller_nodes(links.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
     moved = moved.select(F.col("node").alias("component"), F.col("component").alias("__to"))
     joined = found.join(moved, "component", "left")
     return joined.select("node", F.coalesce("__to", "component").alias("component"))
@@ -278,11 +278,16 @@ def similar_classes(rows: DataFrame, percent: int = 75, bands: int = BANDS, rows
         )
         open_ = freeze(placed.join(mixed.where("lo < hi").select("key", "head"), "key"))
         rays = open_.where(F.col("component") != F.col("head.component"))
-        rays = rays.select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b"))
+        rays = rays.select(
+            F.least("class", "head.class").alias("a"),
+            F.greatest("class", "head.class").alias("b"),
+            F.least("component", "head.component").alias("lo"),
+            F.greatest("component", "head.component").alias("hi"),
+        )
         rays = freeze(possible(rays.distinct(), marks, percent).join(tried, ["a", "b"], "left_anti"))
         fresh = freeze(confirm(rays, sets, percent))
         tested, linked = rays.count(), fresh.count()
-        tried = tried.union(rays)
+        tried = tried.union(rays.select("a", "b"))
         if linked:
             found = freeze(joined_by(found, fresh))
         turn += 1
